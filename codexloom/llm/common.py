@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import importable
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at once; a single longer document is a step of its own.
 STEP_BYTES = 2 << 20
@@ -150,4 +152,5 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             if batch.num_rows:
                 yield from f(batch)
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)

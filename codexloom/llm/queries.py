@@ -43,10 +43,85 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference_format import conversations, format_preferences, mismatched_pairs
+
+    rows = format_preferences(mismatched_pairs(conversations(table(spark, sf_dir, "conversations"))))
+    masks = [F.expr(f"array_join(transform({c}, m -> concat(m.start, '-', m.end)), ',')").alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return rows.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *masks, "degenerate")
+
+
+OP3_SQL = """
+WITH t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+l AS (SELECT conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS n FROM t),
+e AS (SELECT conv_id, turns[1:n] AS c, turns[n] AS reply FROM l WHERE n IS NOT NULL),
+x AS (SELECT conv_id, c, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM e),
+y AS (SELECT conv_id, c, list_append(c[1:len(c) - 1], other) AS r, len(c) - 1 + CASE WHEN c[len(c)] IS NOT DISTINCT FROM other THEN 1 ELSE 0 END AS n FROM x),
+z AS (SELECT conv_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM y)
+SELECT conv_id, CAST(n AS BIGINT) AS n_prompt_turns,
+  coalesce(array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+  CASE WHEN len(c) = 0 THEN '' ELSE '14-' || (length(c[1].text) + 22) END AS chosen_mask,
+  CASE WHEN len(r) = 0 THEN '' ELSE '14-' || (length(r[1].text) + 22) END AS rejected_mask,
+  len(c) = 0 OR len(r) = 0 AS degenerate FROM z
+"""
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import in_training_order
+
+    return in_training_order(table(spark, sf_dir, "documents"), word_tokenizer(), key=20240607)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    model = fit(docs.filter(remainder != 2))
+    rows = predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    net = fit(docs, table(spark, sf_dir, "labels").filter(remainder != 0))
+    return predict(docs, net).select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outlier_rules import judge
+
+    rows = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiset_fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_robust_outliers": op2_robust_outliers,
+    "op3_preference_format": op3_preference_format,
+    "op5_training_order": op5_training_order,
+    "op6_multiset_fingerprint": op6_multiset_fingerprint,
+    "op7_language_id": op7_language_id,
+    "op8_mixing": op8_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_cnn": op10_quality_cnn,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
-
-
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_preference_format": OP3_SQL}
