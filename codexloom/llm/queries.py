@@ -68,6 +68,12 @@ SELECT conv_id, CAST(n AS BIGINT) AS n_prompt_turns,
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .training_order import in_training_order
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_robust_outliers": op2_robust_outliers,
     "op3_preference_format": op3_preference_format,
+    "op4_ngram_join": op4_ngram_join,
     "op5_training_order": op5_training_order,
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_language_id": op7_language_id,
