@@ -1,11 +1,68 @@
-"""A corpus pipeline: each stage reads what the one before kept."""
+"""A corpus pipeline: each stage reads what the one before kept, and all but the last return the columns of documents.
 
-STAGES = []
-ORACLE_SQL = None
+Language ID drops documents without a language and ambiguous ones and sets ``lang``; the n-gram join leaves the first
+document of each group; substring dedup cuts repeated passages out of the texts and drops what is then empty; mixing
+draws documents by raked weights; packing places the tokens of what is left.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codexloom.llm.language_id import UNKNOWN, fit, predict
+from codexloom.llm.mixing import mix
+from codexloom.llm.ngram_join import similarity_classes
+from codexloom.llm.packing import pack
+from codexloom.llm.queries import word_tokenizer
+from codexloom.llm.substring_dedup import remove_repeats
+from codexloom.llm.training_order import shared_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = predict(docs.select(*COLUMNS), fit(docs))
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = similarity_classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(docs.select(*COLUMNS), keep=("lang", "source", "n_chars")).filter("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    return rows.withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, word_tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("ngram_join", ngram_join),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Classifiers, similarity classes and packing are not expressible in SQL; tests/llm holds the stages against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each result a table in the shared folder that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = shared_table(docs)
     return docs
