@@ -70,20 +70,21 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*[c for c in out.columns if c not in ("_w", "n_symbols", "n_dup_lines")], "_w.n_words", "_w.word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
 
 
+def _bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a Generate node, so that later expressions refer to their values, not to their formulas."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.withColumn("_b", F.explode(F.array(made))).select("*", "_b.*").drop("_b")
+
+
 def _inverse_factor(c: dict[tuple[int, int], Column], df: DataFrame) -> DataFrame:
-    """Columns w<i><j>: the inverse of the covariance's lower Cholesky factor."""
-    for i in range(P):
-        for j in range(i + 1):
-            s = c[i, j]
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
+    """Columns w<i><j>: the inverse of the covariance's lower Cholesky factor l<i><j>."""
+    for j in range(P):
+        rest = {i: c[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)) for i in range(j, P)}
+        top = F.sqrt(F.greatest(rest[j], F.lit(1e-12)))
+        df = _bound(df, {f"l{i}{j}": top if i == j else rest[i] / top for i in range(j, P)})
     for i in range(P):
-        for j in range(i + 1):
-            s = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                s = s - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-            df = df.withColumn(f"w{i}{j}", s / F.col(f"l{i}{i}"))
+        sums = {j: F.lit(1.0 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) for j in range(i + 1)}
+        df = _bound(df, {f"w{i}{j}": sums[j] / F.col(f"l{i}{i}") for j in range(i + 1)})
     return df
 
 
@@ -108,9 +109,7 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _estimate(sums: DataFrame, scale: float) -> DataFrame:
     """Mean and inverse Cholesky factor per key from n, sums and product sums."""
-    df = sums
-    for j in range(P):
-        df = df.withColumn(f"m{j}", F.col(f"s{j}") / F.col("n"))
+    df = _bound(sums, {f"m{j}": F.col(f"s{j}") / F.col("n") for j in range(P)})
     c = {}
     for i in range(P):
         for j in range(i + 1):
