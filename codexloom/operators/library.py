@@ -99,3 +99,45 @@ def last_wins(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
     """The last row of each key in input order."""
     rest = [c for c in rows.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), pos).alias("_r")).select(*key, "_r.*")
+
+
+def preview(verses: DataFrame, at: dict[str, object], target: int, last: int) -> DataFrame:
+    """Verses from one before the target on, those of the range marked."""
+    rows = verses.filter(reduce(Column.__and__, [F.col(c) == v for c, v in at.items()]) & (F.col("verse") >= target - 1))
+    return rows.withColumn("marked", F.col("verse").between(target, last)).orderBy("verse")
+
+
+def overview(marks: DataFrame, canon: DataFrame) -> DataFrame:
+    """Decoded annotations without tombstones and undecodable ones, by canon place, then the newest first."""
+    shape = "book string, chapter int, verseStart int, verseEnd int, color int, text string, created string"
+    rows = marks.filter("value <> ''").withColumn("m", F.from_json("value", shape)).filter("m.book is not null").select("key", "m.*")
+    placed = rows.join(F.broadcast(canon.select(F.col("osis").alias("book"), F.col("book").alias("_at"))), "book", "left")  # 66 rows
+    return placed.withColumn("place", F.coalesce(F.col("_at").cast("long"), F.lit(4294967295))).drop("_at").orderBy("place", "chapter", "verseStart", F.desc("created"))
+
+
+def covered(marks: DataFrame, runs: DataFrame, origin: str) -> DataFrame:
+    """Runs of text that a mark covers: by byte range in the module it was made in, whole verses elsewhere."""
+    inside = (F.col("start") < F.col("end_offset")) & (F.col("start_offset") < F.col("end"))
+    return marks.join(runs, (marks.verse_start <= runs.verse) & (runs.verse <= marks.verse_end) & (marks.chapter == runs.chapter)).filter((F.col("module") != F.col(origin)) | inside)
+
+
+def note_view(notes: DataFrame, verses: DataFrame, on: list[str]) -> DataFrame:
+    """Notes with their mark: a running letter through the chapter by verse, offset and seq, or the verse's number where it has no text."""
+    from ..functions.text import marker_label
+
+    known = notes.join(verses.select(*on, F.lit(True).alias("_has")).distinct(), on, "left")
+    chapter = [c for c in on if c != "verse"]
+    w = Window.partitionBy(*chapter, "_has").orderBy("verse", "offset", "seq")
+    label = F.when(F.col("_has"), marker_label(F.row_number().over(w) - 1)).otherwise(F.col("verse").cast("string"))
+    return known.withColumn("label", label).drop("_has")
+
+
+def last_place(located: DataFrame, verses: DataFrame) -> DataFrame:
+    """Notes that name (chapter, verse) bound to the last such verse of any book."""
+    best = verses.groupBy("chapter", "verse").agg(F.max("book").alias("book"))
+    return located.join(best, ["chapter", "verse"])
+
+
+def selector_rows(spine: DataFrame, capacity: int) -> DataFrame:
+    """Chapters of each book dealt into rows of ``capacity``."""
+    return spine.withColumn("row", F.expr(f"(row_number() over (partition by book order by chapter) - 1) div {capacity}"))
