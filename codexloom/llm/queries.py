@@ -119,6 +119,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def _op8_sql(rounds: int = 10, powers: tuple[float, ...] = (0.7, 0.8, 0.9), seed: str = "mix") -> str:
+    """The same raking, one common table expression for each step."""
+    margins = ("source", "lang", "topic")
+    steps, last = [], "r0"
+    for i in range(rounds):
+        for m in margins:
+            steps.append(f"r{i}{m} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.w * t.t * (SELECT sum(tokens) FROM cells) / sum(c.w) OVER (PARTITION BY c.{m}) AS w FROM {last} c JOIN t_{m} t ON c.{m} IS NOT DISTINCT FROM t.{m})")
+            last = f"r{i}{m}"
+    targets = [f"t_{m} AS (SELECT {m}, pow(sum(tokens), {p}) / (SELECT sum(p) FROM (SELECT pow(sum(tokens), {p}) AS p FROM cells GROUP BY {m})) AS t FROM cells GROUP BY {m})" for m, p in zip(margins, powers, strict=True)]
+    return rf"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+n AS (SELECT doc_id, source, lang, tokens, tokens / (1 + length(text) - length(replace(text, chr(10), ''))) AS per, CASE WHEN per < 8 THEN 'list' WHEN per < 40 THEN 'prose' ELSE 'block' END AS topic FROM d),
+cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM n GROUP BY 1, 2, 3 HAVING sum(tokens) > 0), {", ".join(targets)},
+r0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells), {", ".join(steps)},
+f AS (SELECT source, lang, topic, w / tokens AS weight, round(w / tokens / (SELECT max(w / tokens) FROM {last}), 9) AS probability FROM {last}),
+j AS (SELECT n.doc_id, n.source, n.lang, n.topic, n.tokens, coalesce(weight, 1) AS weight, coalesce(probability, 1) AS probability FROM n LEFT JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.lang IS NOT DISTINCT FROM f.lang AND n.topic = f.topic)
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability FROM j
+WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8) AS BIGINT) / 4294967296.0 < probability
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_robust_outliers": op2_robust_outliers,
@@ -131,4 +152,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_cnn": op10_quality_cnn,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_preference_format": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_preference_format": OP3_SQL, "op8_mixing": _op8_sql()}
