@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import golden_queries, ingest_queries, library_queries  # noqa: F401
+    from . import golden_queries, ingest_queries, library_queries, more_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
