@@ -84,10 +84,13 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words of consecutive documents: byte ranges, 64-bit hashes, and each document's first word."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
+        """cuts: where words are cut besides, between byte i and i + 1."""
         self.raw, base = raw, offsets - offsets[0]
         solid = ~_SPACE[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
+        if cuts is not None:
+            edge[1:-1] = cuts
         edge[base] = True
         before = np.concatenate(([False], solid))
         after = np.concatenate((solid, [False]))

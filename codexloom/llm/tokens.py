@@ -1,26 +1,43 @@
-"""Token ids of whole texts, vectorised: each different word is encoded once per task.
+"""Token ids of whole texts, vectorised: each different piece of text is encoded once per worker.
 
-The vocabulary drops white space, and no token spans it, so a text's ids are its words' ids end to end.
-Words are interned by a 64-bit hash beside their length; the table of known words is emptied when it is full,
-so that memory stays bounded.
+The vocabulary drops white space and lower-cases, its pre-tokenizer never joins a letter to punctuation other than an
+apostrophe, and no token spans two of its matches. So a text's ids are those of its pieces end to end, where pieces are
+words cut between ASCII letters or digits and ASCII punctuation. Steps in which the string of a special token occurs
+(in any case) are cut at white space only. Pieces are interned by a 64-bit hash with their length; the table of known
+pieces is emptied when it is full, so memory stays bounded.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-
-from .common import Words, mix
-
+import pyarrow as pa
+
+from .common import Words, flat, steps
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: 1: ASCII letters and digits, 2: ASCII punctuation without the apostrophe, 0: all else.
+_KIND = np.zeros(256, np.uint8)
+for _c in range(33, 127):
+    _KIND[_c] = 1 if chr(_c).isalnum() else 2
+_KIND[39] = 0
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _LOADED: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        added = self.tokenizer.get_added_tokens_decoder()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower().encode() for t in added.values()]
         self.clear()
 
     def clear(self) -> None:
@@ -29,36 +46,70 @@ class WordIds:
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _learn(self, words: Words, keys: np.ndarray, sample: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.clear()
-        raw = words.raw.tobytes()
-        texts = [raw[a:b].decode("utf-8") for a, b in zip(words.starts[sample], words.ends[sample], strict=True)]
+    def words(self, raw: np.ndarray, offsets: np.ndarray) -> Words:
+        folded = _FOLD[raw]
+        plain = folded.tobytes()
+        if any(s in plain for s in self.special):
+            found = Words(raw, offsets)
+            found.split = False
+            return found
+        kind = _KIND[folded]
+        found = Words(folded, offsets, kind[1:] + kind[:-1] == 3 if len(kind) else None)
+        found.split = True
+        return found
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter((i for x in got for i in x), np.uint16, int(size.sum()))
-        self.slot = np.append(self.slot, len(self.first) + np.arange(len(keys)))
-        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        return np.fromiter((i for x in got for i in x), np.uint16, int(size.sum())), size
+
+    def _learn(self, words: Words, keys: np.ndarray, sample: np.ndarray) -> None:
+        s, e = words.starts[sample], words.ends[sample]
+        length = e - s + 1
+        joined = np.append(words.raw, np.uint8(10))[np.minimum(np.repeat(s - np.cumsum(length) + length, length) + np.arange(length.sum()), len(words.raw))]
+        joined[np.cumsum(length) - 1] = 10
+        texts = joined.tobytes().decode("utf-8").split("\n")[:-1]
+        # A piece of Latin letters is one match of the pre-tokenizer, so in a text of many of them the ids that end a word
+        # show where each piece ends; that costs half of encoding each by itself.
+        plain = np.fromiter((_LATIN(x) is not None for x in texts), bool, len(texts)) & words.split
+        size, parts = np.zeros(len(texts), np.int64), [self.ids[:0]] * 2
+        letters = [x for x, p in zip(texts, plain, strict=True) if p]
+        parts[0], _ = self._ids([" ".join(letters[i : i + 200]) for i in range(0, len(letters), 200)])
+        ends = np.flatnonzero(self.ending[parts[0]])
+        if len(ends) != len(letters):
+            raise ValueError("the vocabulary does not mark word ends")
+        size[plain] = np.diff(ends, prepend=-1)
+        parts[1], size[~plain] = self._ids([x for x, p in zip(texts, plain, strict=True) if not p])
+        order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain))
+        new, keys, size = np.concatenate(parts), keys[order], size[order]
+        back = np.argsort(order)
+        keys, size, start = keys[back], size[back], (np.cumsum(size) - size)[back]
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, len(self.first) + np.arange(len(keys)))
+        self.first = np.append(self.first, len(self.ids) + start)
         self.size, self.ids = np.append(self.size, size), np.append(self.ids, new)
-        self.keys = np.append(self.keys, keys)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.slot = self.keys[order], self.slot[order]
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each document's first place in them (and the end)."""
         n = len(words.first) - 1
         if not len(words.hashes):
             return np.zeros(0, np.uint16), np.zeros(n + 1, np.int64)
-        keys, sample, back = np.unique(mix(words.hashes + (words.ends - words.starts).astype(np.uint64)), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = (at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > self.most:
-                self.clear()
-                known[:] = False
-            self._learn(words, keys[~known], sample[~known])
+        order = np.argsort(words.hashes)
+        ordered = words.hashes[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        keys, sample = ordered[new], order[new]
+        for _ in range(2):
             at = np.searchsorted(self.keys, keys)
-        slot = self.slot[at][back]
+            unknown = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+            if not unknown.any():
+                break
+            if len(self.keys) and len(self.keys) + unknown.sum() > self.most:
+                self.clear()
+                unknown[:] = True
+            self._learn(words, keys[unknown], sample[unknown])
+        slot = np.empty(len(order), np.int64)
+        slot[order] = self.slot[at][np.cumsum(new) - 1]
         size = self.size[slot]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.first[slot] - total[:-1], size) + np.arange(total[-1])]
@@ -72,12 +123,11 @@ def encoder(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def encoded(batch, path: str) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, path: str, text: str = "text") -> Iterator[tuple[int, np.ndarray]]:
     """Each row's place and ids."""
-    from .common import documents_in
-
     known = encoder(path)
-    for part, words in documents_in(batch):
-        ids, first = known.encode(words)
-        for i in range(part.stop - part.start):
-            yield part.start + i, ids[first[i] : first[i + 1]]
+    raw, offsets = flat(batch.column(batch.schema.get_field_index(text)))
+    for a, b in steps(offsets):
+        ids, first = known.encode(known.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1]))
+        for i in range(b - a):
+            yield a + i, ids[first[i] : first[i + 1]]
