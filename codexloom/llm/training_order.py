@@ -30,6 +30,8 @@ from .common import ensure_checkpoint_dir, mix
 from .tokens import encoded
 
 LENGTH, END, ROUNDS = 1024, 1, 6
+#: Up to so many written parts their offsets (16 bytes each) are broadcast; beyond that they are joined by a shuffle.
+MOST_PARTS = 1_000_000
 
 
 def _round(half: np.ndarray, key: int, i: int, bits: int) -> np.ndarray:
@@ -86,7 +88,7 @@ def shared_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.option("compression", "zstd").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
@@ -101,7 +103,10 @@ def in_training_order(docs: DataFrame, tokenizer: str, key: int, length: int = L
     # The written rows are numbered by part and place in it: one count per part is all that is summed up.
     parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    n = rows.count()
+    size = parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    n = size["rows"]
+    if size["parts"] <= MOST_PARTS:
+        before = F.broadcast(before)
     shards = -(-n // per_shard)
     tasks = max(1, min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * 2 * length // (128 << 20)))))
 
