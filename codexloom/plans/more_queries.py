@@ -72,7 +72,7 @@ def paragraph_flags(spark, d):
 
 
 @query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem WHERE l_suppkey < 20 AND l_linenumber = 7 AND l_quantity < 10),
-g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, (arg_max(b, (n - b, -b)) + 1) * 4.0 AS gutter_from, arg_max(n, (n - b, -b)) * 4.0 AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
+g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
 def page_gutters(spark, d):
     rows = table(spark, d, "lineitem").filter("l_suppkey < 20 and l_linenumber = 7 and l_quantity < 10").select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
     return documents.gutter(rows).select("page", "gutter_from", "gutter_to")
