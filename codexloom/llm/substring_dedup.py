@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,16 +57,17 @@ def paths(words: Words, k: int, m: int) -> dict[str, np.ndarray]:
     start, anchor = start[inside], anchor[inside]
     if not len(start):
         return {"doc": none, "at": none, "n": none, "bin": none.astype(np.uint64), "label": none.astype(np.uint64)}
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
+    least = grams[anchor]  # by value: a repeated word's windows are one path, though each has an anchor of its own
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)))
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     at = start[first]
-    return {"doc": owner[at], "at": at, "n": count, "bin": grams[anchor[first]], "label": words.ranges(at, at + count + k - 1)}
+    return {"doc": owner[at], "at": at, "n": count, "bin": least[first], "label": words.ranges(at, at + count + k - 1)}
 
 
 def _path_rows(k: int, m: int):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+        batch = batch.filter(pc.is_valid(batch.column("doc_id")))
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy()
         for part, words in documents_in(batch):
             p = paths(words, k, m)
@@ -83,18 +85,20 @@ def _edge_rows(k: int, m: int):
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy()
         opened = batch.column("opened")
         where = np.repeat(np.arange(len(opened)), opened.value_lengths().to_numpy())
-        wanted = opened.flatten().to_numpy()
+        wanted = opened.flatten().to_numpy() >> 1
+        later = opened.flatten().to_numpy() & 1
         for part, words in documents_in(batch):
             p = paths(words, k, m)
             here = (where >= part.start) & (where < part.stop)
             at = words.first[where[here] - part.start] + wanted[here]
             pick = np.flatnonzero(np.isin(p["at"], at))
+            probe = np.isin(p["at"][pick], at[later[here] == 1])
             count = p["n"][pick]
             start = np.repeat(p["at"][pick] - np.cumsum(count) + count, count) + np.arange(count.sum())
             doc = np.repeat(p["doc"][pick], count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(np.repeat(p["bin"][pick], count)), signed(words.ranges(start, start + k)), ids[doc + part.start], marks[doc + part.start], (start - words.first[doc]).astype(np.int32))],
-                names=["bin", "edge", "doc_id", "_t", "at"],
+                [pa.array(x) for x in (signed(np.repeat(p["bin"][pick], count)), signed(words.ranges(start, start + k)), ids[doc + part.start], marks[doc + part.start], (start - words.first[doc]).astype(np.int32), np.repeat(probe, count))],
+                names=["bin", "edge", "doc_id", "_t", "at", "probe"],
             )
 
     return rows
@@ -112,19 +116,24 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame
     straight = shared.filter("not branching and doc_id > lo").select(*whole)
     forks = shared.filter("branching")
     labels = forks.groupBy("bin", "label").agg(F.min("doc_id").alias("own"))
-    owned = cut(forks.drop("lo").join(labels, ["bin", "label"]))
+    owned = cut(forks.join(labels, ["bin", "label"]))
     compacted = owned.filter("doc_id > own").select(*whole)
-    opened = owned.filter("doc_id = own").groupBy("doc_id", "_t").agg(F.collect_set("at").alias("opened"))
-    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "bin long, edge long, doc_id long, _t int, at int")
+    opened = owned.filter("doc_id = own").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
+    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "bin long, edge long, doc_id long, _t int, at int, probe boolean")
     firsts = edges.groupBy("bin", "edge").agg(F.min("doc_id").alias("own"))
-    single = edges.join(firsts, ["bin", "edge"]).filter("doc_id > own").select("doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.lit(k)).alias("end"))
+    # A bin's first document has nothing to look for in it.
+    single = edges.filter("probe").join(firsts, ["bin", "edge"]).filter("doc_id > own").select("doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.lit(k)).alias("end"))
     return straight.unionByName(compacted).unionByName(single)
 
 
+_ADDED = ("kept_text", "n_words", "n_removed", "spans")
+
+
 def _cut_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    own_columns = [c for c in batch.schema.names if c != "ranges"]
     texts, n_words, n_removed, spans = [], [], [], []
     ranges = batch.column("ranges")
-    lengths = pa.compute.fill_null(ranges.value_lengths(), 0).to_numpy()
+    lengths = pc.fill_null(ranges.value_lengths(), 0).to_numpy()
     ends = np.cumsum(lengths)
     flat_ranges = ranges.flatten()
     left, right = flat_ranges.field("start").to_numpy(), flat_ranges.field("end").to_numpy()
@@ -155,11 +164,17 @@ def _cut_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             step = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_t"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=["doc_id", "_t", "kept_text", "n_words", "n_removed", "spans"])
+    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=[*own_columns, *_ADDED])
 
 
-def remove_repeats(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, _t, kept_text, n_words, n_removed and the removed word spans."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("_t"))
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: int = MINIMISER) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, ``keep``): these, kept_text, n_words, n_removed and the removed word spans.
+
+    Columns in ``keep`` must not carry the name of a result.
+    """
+    # All columns go into both steps that read texts, so that Spark deals the texts out once for both.
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.hash("text").alias("_t"))
     ranges = repeated_spans(base, k, m).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return arrow_map(base.join(ranges, ["doc_id", "_t"], "left"), _cut_rows, "doc_id long, _t int, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    out = arrow_map(base.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, "ranges"), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>")
+    return out.drop("_t")
