@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import importable
 from .common import Words, arrow_map, cut, documents_in, mix, signed
-from .components import components
+from .components import components, forest
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 40, 6, 16, 1e-6
@@ -118,21 +118,6 @@ def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, t
     return at
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Each of n rows' smallest connected row."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
-        if (before == label).all():
-            break
-    return label
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Whole groups of sorted rows, about ``rows`` at a time."""
     held: list[pa.RecordBatch] = []
