@@ -81,7 +81,8 @@ class Net:
         d = ((share - target) * weight).astype(np.float32)
         d_hidden = np.outer(d, out) * (hidden > 0)
         d_both = d_hidden @ dense.T
-        d_pool = d_both[doc, :FILTERS] / count[doc, None] + d_both[doc, FILTERS:] * (pooled == top[doc])
+        best = pooled == top[doc]  # a window in the overlap wins in two chunks and counts once
+        d_pool = d_both[doc, :FILTERS] / count[doc, None] + d_both[doc, FILTERS:] * best / np.add.reduceat(best, first[:-1], dtype=np.int64)[doc]
         d_pool *= pooled > 0
         # Windows that won: (chunks, filters, WIDTH) bytes.
         taken = rows[np.arange(len(rows))[:, None, None], won[:, :, None] * STRIDE + np.arange(WIDTH)]
@@ -92,10 +93,10 @@ class Net:
         return [g_emb, g_filters, d_pool.sum(0), both.T @ d_hidden, d_hidden.sum(0), hidden.T @ d, d.sum(keepdims=True)]
 
 
-def train(texts: list[bytes], labels: np.ndarray, batches: int = 400, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Net:
+def train(texts: list[bytes], labels: np.ndarray, batches: int = 800, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> Net:
     """Adam over shuffled batches, at least ``batches`` of them; classes weigh alike in the loss."""
     net, share = Net(), labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         net.constant = float(share)
         return net
     rng, t = np.random.default_rng(seed), 0
@@ -126,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, label: str = "qual
     for y, n in counts.items():
         rate = F.when(F.col("_y") == y, F.lit(most / n)).otherwise(rate)
     drawn = known.filter(F.expr("pmod(xxhash64(doc_id, 5), 1048576) / 1048576D") < rate)
-    got = sorted((r["doc_id"], r["_y"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").join(drawn, "doc_id").collect())
+    # The draw is bounded by ``most``, so it goes to the texts, not the texts to it.
+    got = sorted((r["doc_id"], r["_y"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect())
     return train([t for *_, t in got], np.array([y for _, y, _ in got], np.float64))
 
 
