@@ -29,6 +29,8 @@ from .common import arrow_map, flat, steps
 TRIGRAMS, BIGRAMS = 4096, 1024
 SIZE = TRIGRAMS + BIGRAMS
 UNKNOWN = "und"
+#: Counts of up to so many languages are broadcast; beyond that they are joined by a shuffle.
+MOST_LANGUAGES = 10_000
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -108,6 +110,8 @@ def fit(docs: DataFrame, per_language: int = 500, tolerance: float = 0.2) -> Lan
     """
     known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    if counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        counts = F.broadcast(counts)
     drawn = known.join(counts, "lang").filter(F.expr(f"pmod(xxhash64(doc_id, 11), 1048576) < 1048576D * {per_language} / n")).select("lang", "text")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
