@@ -33,8 +33,17 @@ def selector_rows(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, b.book FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS chapter, l_suppkey % 10 AS verse FROM lineitem WHERE l_orderkey < 500) n JOIN (SELECT p_size % 10 AS chapter, p_partkey % 10 AS verse, max(p_partkey) AS book FROM part GROUP BY 1, 2) b USING (chapter, verse)")
 def located_notes(spark, d):
-    notes = table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("chapter"), (F.col("l_suppkey") % 10).alias("verse"))
-    verses = table(spark, d, "part").select((F.col("p_size") % 10).cast("long").alias("chapter"), (F.col("p_partkey") % 10).alias("verse"), F.col("p_partkey").alias("book"))
+    return _located(table(spark, d, "lineitem").filter("l_orderkey < 500"), table(spark, d, "part"))
+
+
+@query("SELECT l_orderkey, l_linenumber, b.book FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS chapter, l_suppkey % 10 AS verse FROM lineitem) n JOIN (SELECT p_size % 10 AS chapter, p_partkey % 10 AS verse, max(p_partkey) AS book FROM part GROUP BY 1, 2) b USING (chapter, verse)")
+def located_notes_whole(spark, d):
+    return _located(table(spark, d, "lineitem"), table(spark, d, "part"))
+
+
+def _located(lines, parts):
+    notes = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("chapter"), (F.col("l_suppkey") % 10).alias("verse"))
+    verses = parts.select((F.col("p_size") % 10).cast("long").alias("chapter"), (F.col("p_partkey") % 10).alias("verse"), F.col("p_partkey").alias("book"))
     return library.last_place(notes, verses).select("l_orderkey", "l_linenumber", "book")
 
 
@@ -74,7 +83,17 @@ def paragraph_flags(spark, d):
 @query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem WHERE l_suppkey < 20 AND l_linenumber = 7 AND l_quantity < 10),
 g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
 def page_gutters(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_suppkey < 20 and l_linenumber = 7 and l_quantity < 10").select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
+    return _gutters(table(spark, d, "lineitem").filter("l_suppkey < 20 and l_linenumber = 7 and l_quantity < 10"))
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem),
+g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
+def page_gutters_whole(spark, d):
+    return _gutters(table(spark, d, "lineitem"))
+
+
+def _gutters(lines):
+    rows = lines.select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
     return documents.gutter(rows).select("page", "gutter_from", "gutter_to")
 
 
