@@ -2,9 +2,14 @@
 
 Documents fall into cells (source, language, topic). Raking scales the cells' token totals to each of the three
 marginals in turn; a window sum per marginal is one such step, over the table of cells, whose size is the number
-of different cells. A cell's factor is its raked total over its own; a document is drawn with a probability in
-proportion to its cell's factor, the largest factor giving 1, so the expected tokens of the sample keep the raked
-proportions exactly. The draw is a hash of doc_id and the seed, so it repeats.
+of different cells. A cell's factor is its raked total over its own; a document is drawn with a probability that
+follows its cell's factor. The draw is a hash of doc_id and the seed, so it repeats.
+
+With a share, the probability is least(1, c * factor), c such that the expected tokens are that share of all tokens in
+cells. A cell whose factor is 1 / c or more keeps each of its documents once, none twice; what it falls short of its
+raked total goes to the other cells in proportion to theirs, so the raked proportions hold exactly among those.
+Without a share the largest factor gives 1: all cells keep the raked proportions, but the rarest cell decides how
+much is kept, and nothing bounds that from below.
 
 Defined results: null source, lang or topic is a value like any other; null text has no tokens, and a cell without
 tokens gets factor 1; rows that share a doc_id are drawn together; null doc_id draws as the empty id; an empty table
@@ -53,15 +58,29 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 10, every: in
     return df.drop("_whole", *[f"_t_{m}" for m in MARGINS])
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, topic: Column | None = None, seed: str = "mix", rounds: int = 10) -> DataFrame:
+def probabilities(cells: DataFrame, share: float | None = None) -> DataFrame:
+    """Adds ``weight``, a cell's factor, and ``probability`` to raked cells. share: of all tokens, above 0, at most 1."""
+    if share is not None and not 0 < share <= 1:
+        raise ValueError(f"share {share} is not above 0 and at most 1")
+    df, everything = cells.withColumn("weight", F.col("raked") / F.col("tokens")), Window.partitionBy(F.lit(0))
+    if share is None:
+        return df.withColumn("probability", F.round(F.col("weight") / F.max("weight").over(everything), 9))
+    # c if this cell and those of smaller factor are drawn and the others kept whole; the set that holds gives the largest c
+    onward = everything.orderBy(F.desc("weight"), *MARGINS).rowsBetween(0, Window.unboundedFollowing)
+    whole = F.sum("tokens").over(everything)
+    own = (whole * float(share) - whole + F.sum("tokens").over(onward)) / F.sum("raked").over(onward)
+    c = F.max("_c").over(everything)
+    return df.withColumn("_c", own).withColumn("probability", F.round(F.least(F.lit(1.0), F.col("weight") * c), 9)).drop("_c")
+
+
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, topic: Column | None = None, seed: str = "mix", rounds: int = 10, share: float | None = None) -> DataFrame:
     """The drawn rows of ``docs`` with tokens, topic, weight (the cell's factor) and probability."""
     powers = powers or {"source": 0.7, "lang": 0.8, "topic": 0.9}
     named = docs.drop("tokens", "topic", "weight", "probability").withColumn("_tokens", tokens_of())
     named = named.withColumn("topic", topic if topic is not None else text_form()).withColumnRenamed("_tokens", "tokens")
     cells = named.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    raked = rake(cut(cells), powers, rounds).withColumn("weight", F.col("raked") / F.col("tokens"))
-    most = F.max("weight").over(Window.partitionBy(F.lit(0)))
-    factors = raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", F.round(F.col("weight") / most, 9).alias("probability"))
+    raked = probabilities(rake(cut(cells), powers, rounds), share)
+    factors = raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "probability")
     on = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
     joined = named.join(factors, on[0] & on[1] & on[2], "left").drop(*[f"_{m}" for m in MARGINS])
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -119,6 +119,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def op8_mixing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), share=0.5)
+    return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
 def _op8_sql(rounds: int = 10, powers: tuple[float, ...] = (0.7, 0.8, 0.9), seed: str = "mix") -> str:
     """The same raking, one common table expression for each step."""
     margins = ("source", "lang", "topic")
@@ -149,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op8_mixing_share": op8_mixing_share,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_cnn": op10_quality_cnn,
 }

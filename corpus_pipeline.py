@@ -2,7 +2,7 @@
 
 Language ID drops documents without a language and ambiguous ones and sets ``lang``; the n-gram join leaves the first
 document of each group; substring dedup cuts repeated passages out of the texts and drops what is then empty; mixing
-draws documents by raked weights; packing places the tokens of what is left.
+draws documents by raked weights, ``SHARE`` of the tokens; packing places the tokens of what is left.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from codexloom.llm.queries import word_tokenizer
 from codexloom.llm.substring_dedup import remove_repeats
 from codexloom.llm.training_order import shared_table
 
+#: Of the tokens, what mixing keeps.
+SHARE = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,7 +42,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).select(*COLUMNS)
+    return mix(docs, share=SHARE).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

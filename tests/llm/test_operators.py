@@ -206,6 +206,35 @@ def test_raking_meets_the_targets(spark, docs):
         assert draw < r["probability"]
 
 
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.5, 0.9, 1.0])
+def test_share_holds_with_a_tiny_cell(spark, share):
+    rng = random.Random(6)
+    cells = [(s, lang, t, rng.randint(20_000, 900_000)) for s in ("a", "b", None) for lang in ("en", "de") for t in ("list", "prose")]
+    cells += [("tiny", "en", "list", 3), ("tiny", "xx", "block", 40)]
+    raked = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), {"source": 0.7, "lang": 0.8, "topic": 0.9})
+    got, whole = mixing.probabilities(raked, share).collect(), sum(c[3] for c in cells)
+    assert sum(r["tokens"] * r["probability"] for r in got) == pytest.approx(share * whole, rel=1e-6)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(r["tokens"] * min(1, c * r["weight"]) for r in got) < share * whole else (low, c)
+    assert all(r["probability"] == pytest.approx(min(1, high * r["weight"]), rel=1e-6, abs=1e-8) for r in got)
+    unbounded = sum(r["tokens"] * r["probability"] for r in mixing.probabilities(raked).collect())
+    assert unbounded < 0.02 * whole
+
+
+def test_mix_draws_the_share(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(40, 60))), rng.choice(["en", "de"]), rng.choice(["a", "b"])) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (9000, "one two three", "xx", "tiny"), (9001, None, "en", "a")], "doc_id long, text string, lang string, source string")
+    drawn = mixing.mix(df, share=0.4).collect()
+    assert sum(r["tokens"] for r in drawn) == pytest.approx(0.4 * sum(len(r[1].split()) for r in rows), rel=0.08)
+    assert {9000, 9001} <= {r["doc_id"] for r in drawn}
+    for share in (0, -1, 1.1):
+        with pytest.raises(ValueError, match="share"):
+            mixing.mix(df, share=share)
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
