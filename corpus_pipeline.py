@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage reads what the one before kept, and all but the last return the columns of documents.
 
 Language ID drops documents without a language and ambiguous ones and sets ``lang``; the n-gram join leaves the first
-document of each group; substring dedup cuts repeated passages out of the texts and drops what is then empty; mixing
+row of each group, also among rows without a doc_id or with a repeated one; substring dedup cuts repeated passages out of the texts and drops what is then empty; mixing
 draws documents by raked weights, ``SHARE`` of the tokens; packing places the tokens of what is left.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexloom.llm.common import cut, spread_rank
 from codexloom.llm.language_id import UNKNOWN, fit, predict
 from codexloom.llm.mixing import mix
 from codexloom.llm.ngram_join import similarity_classes
@@ -22,6 +23,8 @@ from codexloom.llm.training_order import shared_table
 
 #: Of the tokens, what mixing keeps.
 SHARE = 0.5
+#: Repeated doc_ids up to which they are broadcast.
+MOST_REPEATED = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,9 +33,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each repeated doc_id and equal text, with ``_key``, which no two share.
+
+    The key is the doc_id; further texts of a repeated doc_id, and rows without one, get keys above all doc_ids.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_key", F.col("doc_id").cast("long"))
+    known = docs.filter("_key is not null")
+    repeated = cut(known.groupBy("_key").count().filter("count > 1").select("_key"))
+    n, top = repeated.count(), docs.agg(F.max("_key")).first()[0] or 0
+    few = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
+    odd = docs.filter("_key is null").unionByName(known.join(few, "_key", "left_semi") if n else known.limit(0))
+    odd = cut(odd.groupBy("_key", "doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_r")).select("_key", "doc_id", "text", "_r.*"))
+    leads = odd.filter("_key is not null").groupBy("_key").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("_r")).select("_key", "_r.*")
+    held = leads.select(F.col("_key").alias("_k"), F.col("text").alias("_t"))
+    further = odd.join(held, (F.col("_key") == F.col("_k")) & F.col("text").eqNullSafe(F.col("_t")), "left_anti")
+    further = spread_rank(cut(further.drop("_key")), [], ["doc_id", "text"], "_key").withColumn("_key", F.col("_key") + F.lit(top + 1))
+    plain = known.join(few, "_key", "left_anti") if n else known
+    return plain.unionByName(cut(leads.unionByName(further)))
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = similarity_classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """The first row of each similarity class by ``keyed``, so that null and repeated doc_ids are judged by their texts.
+
+    Texts without words are alike to none, so each such row stays, once for each doc_id (null too) and text.
+    """
+    rows = keyed(docs)
+    first = similarity_classes(rows.select(F.col("_key").alias("doc_id"), "text")).filter("doc_id = class_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(first, "_key", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,21 @@ def test_mixing_and_packing(kept):
 
 def test_run_equals_the_stages(kept):
     assert sorted(kept[6]) == sorted(kept[5])
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_join_stage_judges_null_and_repeated_ids_by_text(spark, monkeypatch, most):
+    monkeypatch.setattr(pipeline, "MOST_REPEATED", most)
+    rng = random.Random(4)
+    a, b, c, d, e, f = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (None, a + " zz"), (None, b), (None, b), (None, b + " zz"), (7, c), (7, c), (7, d), (7, a), (9, c + " zz"), (10, d), (11, e), (None, f), (None, None), (None, None), (12, None), (12, None), (12, ""), (13, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SHAPE).repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.ngram_join(spark, df, "").collect()]
+    # of the texts of doc_id 7 the least keeps the id's place; the others come after all doc_ids
+    lead = min(a, c, d)
+    expected = [(1, a), (None, b), (11, e), (None, f), (None, None), (12, None), (12, ""), (13, "")]
+    expected += [(7, c) if lead == c else (9, c + " zz"), (7, d) if lead == d else (10, d)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    plain = df.filter("doc_id in (1, 9, 10, 11)")
+    assert sorted(r["doc_id"] for r in pipeline.ngram_join(spark, plain, "").collect()) == [1, 9, 10, 11]
+    assert pipeline.ngram_join(spark, df.limit(0), "").count() == 0
