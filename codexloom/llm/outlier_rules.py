@@ -3,7 +3,8 @@
 Base statistics of a text give a vector of four transformed values. For each (language, source), for each language and
 for all rows, a minimum-covariance-determinant estimate is found: medians and quartile ranges start it, then
 concentration steps re-estimate mean and covariance from the ``SHARE`` of rows that are nearest, then rows inside the
-97.5 % ellipse give the final estimate. A row is rejected where its squared Mahalanobis distance exceeds ``cutoff``
+97.5 % ellipse give the final estimate. There is one start and a fixed number of steps: no determinants are compared,
+and convergence is not tested. A row is rejected where its squared Mahalanobis distance exceeds ``cutoff``
 under the estimate of its own group, or, where that has fewer than ``least`` rows, of the language, then of all rows.
 
 Nearest rows are found by binned distances (16 bins per doubling) whose counts and moment sums are aggregated per bin,
@@ -156,7 +157,7 @@ def judge(docs: DataFrame, text: str = "text", least: int = 50, cutoff: float =
     group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")]
     base = statistics(docs, text).drop(text, "base_failed", "distance", "kept")
     base = base.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    base = cut(base.withColumn("_g2", group[0]).withColumn("_g1", F.concat_ws("\u0001", *group)).withColumn("_g3", F.lit("")))
+    base = cut(base.withColumn("_g2", F.concat(F.lit("2"), group[0])).withColumn("_g1", F.concat_ws("\u0001", F.lit("1"), *group)).withColumn("_g3", F.lit("3")))
     usual = base.filter("not base_failed").groupBy("_g2").agg((F.sum("word_chars") / F.sum("n_words")).alias("_usual"))
     # Short texts are drawn towards the language's usual word length, by 20 words of it.
     ready = base.join(usual, "_g2", "left").withColumns({

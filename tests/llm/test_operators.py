@@ -117,6 +117,22 @@ def test_robust_distance_equals_numpy(spark):
     assert [r["kept"] for r in got] == [True] * 120 + [False] * 6
 
 
+def test_null_language_is_a_group_of_its_own(spark):
+    rng = random.Random(12)
+    text = lambda letters, longest: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, longest))) for _ in range(rng.randint(20, 60)))
+    rows = [(i, text("abcdef", 14), None, f"s{i % 4}") for i in range(80)] + [(100 + i, text("ghijkl", 6), "en", "a") for i in range(100)] + [(300 + i, text("mnopqr", 8), "de", "b") for i in range(15)]
+    got = outlier_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got)
+    x = []
+    for r in got:
+        own = [o for o in got if o["lang"] == r["lang"]]
+        usual = sum(o["word_chars"] for o in own) / sum(o["n_words"] for o in own)
+        x.append([(r["word_chars"] + 20 * usual) / (r["n_words"] + 20), np.log(1 + 100 * r["n_symbols"] / (r["n_words"] + 20)), np.log(1 + r["n_dup_lines"]), r["n_repeat_words"] / (r["n_words"] + 20)])
+    x = np.array(x)
+    np.testing.assert_allclose([r["distance"] for r in got[:80]], mcd(x[:80], 80), rtol=1e-6)  # its sources are small: by language
+    np.testing.assert_allclose([r["distance"] for r in got[180:]], mcd(x, len(x))[180:], rtol=1e-6)  # a small language: by all rows
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 10, 1000, 4097):
         index = np.arange(n)
