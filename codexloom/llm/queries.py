@@ -75,9 +75,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .training_order import in_training_order
+    from .training_order import in_training_order, shard_folder, write_shards
 
-    return in_training_order(table(spark, sf_dir, "documents"), word_tokenizer(), key=20240607)
+    rows = in_training_order(table(spark, sf_dir, "documents"), word_tokenizer(), key=20240607)
+    write_shards(rows, shard_folder(spark)).write.format("noop").mode("overwrite").save()
+    return rows
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -92,6 +92,13 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def shard_folder(spark: SparkSession) -> str:
+    """A new folder's name for shards, below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    return place.removeprefix("file:") if place.startswith("file:/") and "://" not in place else place
+
+
 def in_training_order(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH, per_shard: int = 1 << 14, end: int = END) -> DataFrame:
     """Per sequence: slot, shard, byte_offset in the shard, doc_id, seq, n_tokens, payload (16-bit little-endian ids).
 

@@ -163,6 +163,20 @@ def test_training_order_round_trip(docs, rows, tmp_path):
     assert [x.tobytes() for x in training_order.read_from(str(tmp_path), 13, 10, 16)] == read[13:]
 
 
+def test_training_order_query_writes_the_shards(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(training_order, "shard_folder", lambda spark: f"{tmp_path}/shards", raising=False)
+    got = QUERIES["op5_training_order"](spark, str(tmp_path)).orderBy("slot").collect()
+    assert len(got) >= docs.count()
+    assert [x.tobytes() for x in training_order.read_from(f"{tmp_path}/shards", 0)] == [bytes(r["payload"]) for r in got]
+
+
+def test_shard_folder_is_shared(spark):
+    place = training_order.shard_folder(spark)
+    assert place != training_order.shard_folder(spark)
+    assert spark.sparkContext.getCheckpointDir().endswith(place.rpartition("/shards-")[0]) and not place.startswith("file:/tmp")
+
+
 def test_fingerprints(spark, docs, rows):
     got = multiset_fingerprint.edited_fingerprints(docs).collect()
     known = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda x: x)
