@@ -6,6 +6,7 @@ character never contains such a byte, so splitting bytes equals splitting code p
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -19,11 +20,14 @@ from ..session import importable
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at once; a single longer document is a step of its own.
 STEP_BYTES = 2 << 20
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 1024
 
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ONE, _TWO, _LENGTH = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+#: Keeps the first n bytes of a little-endian load of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -46,19 +50,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Position-independent polynomial hashes of values[start:end], for many ranges at once."""
-    n = len(values)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(base, n)[:n], dtype=np.uint64, out=total[1:])
-    back = _powers(pow(base, -1, 1 << 64), n)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on, as integers; zeros follow the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each range of bytes, chained over loads of eight bytes; one to one for ranges of up to seven bytes."""
+    eights, size = _eights(raw), ends - starts
+    head = np.minimum(size, 8)
+    # Of eight or more bytes only seven go in first, so that the length has a byte of its own.
+    out = mix((eights[starts] & _FIRST[np.minimum(head, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56)))
+    at = np.flatnonzero(size > 7)
+    long = at[size[at] > LONG_WORD]
+    at, done = at[size[at] <= LONG_WORD], 7
+    while len(at):
+        here = eights[starts[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        out[at] = mix((out[at] + _LENGTH) ^ here * _ONE)
+        done += 8
+        at = at[size[at] > done]
+    at = np.flatnonzero(size >= 255)
+    out[at] = mix(out[at] + size[at].astype(np.uint64) * _LENGTH)
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of a from each a_at on equal those of b from b_at on."""
+    x, y = _eights(a), _eights(b)
+    equal, at, done = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(at):
+        keep = _FIRST[np.minimum(size[at] - done, 8)]
+        differ = (x[a_at[at] + done] & keep) != (y[b_at[at] + done] & keep)
+        equal[at[differ]] = False
+        done += 8
+        at = at[~differ & (size[at] > done)]
+    return equal
+
+
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order. Every step is mixed, so that no algebra of a sequence carries over to its hash."""
+    return mix(x * _ONE + mix(y ^ _LENGTH) * _TWO)
+
+
+def _doubled(x: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of all runs of 1, 2, 4.. values, up to ``longest``."""
+    span = 1
+    yield span, x
+    while span * 2 <= longest:
+        x, span = _pair(x[:-span], x[span:]), span * 2
+        yield span, x
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +125,10 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
 
 
 class Words:
-    """Words of consecutive documents: byte ranges, 64-bit hashes, and each document's first word."""
+    """Words of consecutive documents: byte ranges, 64-bit hashes, and each document's first word.
+
+    Hashes find equal words and runs; where a result must not rest on them, callers compare the bytes.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
         """cuts: where words are cut besides, between byte i and i + 1."""
@@ -98,18 +144,24 @@ class Words:
         last = before & (~after | edge)
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last)
         self.first = np.searchsorted(self.starts, base)  # of each document, and of the end
-        self.hashes = _runs(_TABLE[raw], self.starts, self.ends, _P)
+        self.hashes = _word_hashes(raw, self.starts, self.ends)
 
     def windows(self, k: int) -> np.ndarray:
-        """Hashes of all runs of k words, also those across documents."""
-        n = len(self.hashes)
-        if n < k:
+        """Hashes of all runs of k words, also those across documents. Two overlapping runs of a power of two make one of k."""
+        n = len(self.hashes) - k + 1
+        if n < 1:
             return np.zeros(0, np.uint64)
-        at = np.arange(n - k + 1)
-        return _runs(self.hashes, at, at + k, _Q)
+        for span, x in _doubled(self.hashes, k):
+            pass
+        return _pair(x[:n], x[k - span : k - span + n])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _runs(self.hashes, starts, ends, _Q)
+        """Hashes of words [start, end), none of them empty."""
+        size, out = ends - starts, np.empty(len(starts), np.uint64)
+        for span, x in _doubled(self.hashes, int(size.max(initial=1))):
+            at = np.flatnonzero((size >= span) & (size < 2 * span))
+            out[at] = _pair(x[starts[at]], x[ends[at] - span] + size[at].astype(np.uint64) * _LENGTH)
+        return out
 
     def owner(self) -> np.ndarray:
         """The document's index of each word."""
@@ -147,6 +199,11 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], out: str, row
     return ranked.join(offsets, on).withColumn(out, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_bucket", "_before", "_r")
 
 
+def batched(spark: SparkSession) -> None:
+    """Ready a session for Python workers: the package can be imported."""
+    importable(spark)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -155,5 +212,5 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             if batch.num_rows:
                 yield from f(batch)
 
-    importable(df.sparkSession)
+    batched(df.sparkSession)
     return df.mapInArrow(run, schema)

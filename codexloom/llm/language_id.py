@@ -112,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = 500, tolerance: float = 0.2) -> Lan
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     if counts.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
         counts = F.broadcast(counts)
-    drawn = known.join(counts, "lang").filter(F.expr(f"pmod(xxhash64(doc_id, 11), 1048576) < 1048576D * {per_language} / n")).select("lang", "text")
+    drawn = known.join(counts, "lang").filter(F.expr(f"shiftrightunsigned(xxhash64(doc_id, 11), 11) < {1 << 53}D * {per_language} / n")).select("lang", "text")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = flat(pc.utf8_lower(batch.column("text")))

@@ -8,9 +8,11 @@ as the posterior probability (uniform prior, byte collisions counted in) that it
 rest verified exactly on their shingle sets. No pair is ever a row: a task compares two blocks of rows and emits each row's
 number of links and a spanning forest, so a large group costs blocks against blocks.
 
+Shingles are held as 64-bit hashes whose every step is mixed; equal sets are found by 128 bits over them.
+
 Defined results: a text of one to four words is one shingle; null and empty texts have none and link to nothing; rows
-with null doc_id get a null class and no links; rows that share a doc_id count as one node whose links are pooled; an
-empty table gives an empty result; other columns are ignored.
+with null doc_id get a null class and no links; rows that share a doc_id count as one node whose links are pooled (each
+text is compared by its own signature and set); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable
-from .common import Words, arrow_map, cut, documents_in, mix, signed
+from .common import Words, arrow_map, batched, cut, documents_in, mix, signed
 from .components import components, forest
 
 N, THRESHOLD = 5, 0.8
@@ -33,6 +34,8 @@ BANDS, ROWS, STEP, TOLERANCE = 40, 6, 16, 1e-6
 VALUES = BANDS * ROWS
 #: Rows of a block, for candidates of one band and for members of one cluster.
 BAND_BLOCK, CLUSTER_BLOCK = 1024, 256
+#: Shingles that the exact comparison holds at once; the space of hashes is gone through in as many parts as that takes.
+EXACT_PART = 1_000_000
 
 
 def shingle_sets(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +64,28 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums over each document's set."""
+    out = []
+    for salt in (0, 0x51ED2701):
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(mix(hashes + np.uint64(salt)), dtype=np.uint64, out=total[1:])
+        out.append(total[first[1:]] - total[first[:-1]])
+    return out[0], out[1]
+
+
 def _signature_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     batch = batch.filter(pc.is_valid(batch.column("doc_id")))
     for part, words in documents_in(batch):
         hashes, first = shingle_sets(words)
         size = np.diff(first)
         full = size > 0
-        total = np.concatenate((np.zeros((1, 2), np.uint64), np.cumsum(np.stack([mix(hashes), mix(hashes + np.uint64(0x51ED2701))], 1), axis=0, dtype=np.uint64)))
-        keys = total[first[1:]] - total[first[:-1]]
+        k1, k2 = set_keys(hashes, first)
         sig: list[bytes | None] = [None] * len(size)
         if full.any():
             for i, s in zip(np.flatnonzero(full), signatures(hashes, np.append(first[:-1][full], first[-1])), strict=True):
                 sig[i] = s.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(size)), pa.array(signed(keys[:, 0].copy())), pa.array(signed(keys[:, 1].copy())), pa.array(size), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(size)), pa.array(signed(k1)), pa.array(signed(k2)), pa.array(size), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
 
 
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
@@ -186,15 +198,22 @@ def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold:
     size = np.array([len(s) for s in sets])
     if not len(i):
         return np.zeros(0, bool)
-    flat, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    if len(i) * 20_000 > len(sets) ** 2 * len(flat) * 2 / 50:  # dense: shared counts of all rows at once
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for a in range(0, len(flat), 8192):
-            own = (place >= a) & (place < a + 8192)
-            m = np.zeros((len(sets), min(8192, len(flat) - a)), np.float32)
-            m[owner[own], place[own] - a] = 1
-            shared += m @ m.T
+    parts = -(-int(size.sum()) // EXACT_PART)
+    bounds = [np.uint64(p * (1 << 64) // parts) for p in range(1, parts)]
+    cuts = np.array([[0, *np.searchsorted(x, bounds), len(x)] for x in sets])
+    if len(i) * 400 > len(sets) ** 2:  # many pairs: shared counts of all rows at once
+        shared = np.zeros((len(sets), len(sets)), np.float64)
+        for p in range(parts):
+            own = [x[a:b] for x, a, b in zip(sets, cuts[:, p], cuts[:, p + 1], strict=True)]
+            flat, place = np.unique(np.concatenate(own), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), cuts[:, p + 1] - cuts[:, p])
+            order = np.argsort(place, kind="stable")
+            owner, place = owner[order], place[order]
+            for a in range(0, len(flat), 8192):
+                x, y = np.searchsorted(place, (a, a + 8192))
+                m = np.zeros((len(sets), min(8192, len(flat) - a)), np.float32)
+                m[owner[x:y], place[x:y] - a] = 1
+                shared += m @ m.T
         both = shared[i, j].astype(np.int64)
     else:
         both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j, strict=True)])
@@ -209,6 +228,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
         for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
             table = held.slice(a, b - a).combine_chunks()
+            who, key = table.column("node").to_numpy(), table.column("k1").to_numpy()
+            _, one = np.unique(np.stack((who, key)), axis=1, return_index=True)
+            table = table.take(pa.array(np.sort(one)))  # repeated rows of one doc_id and text
             node, copies, side = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
             sig, size = _bytes(table.column("sig").combine_chunks(), VALUES), table.column("n").to_numpy()
@@ -230,13 +252,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Replaces text by its sorted shingle hashes."""
+    """Replaces text by its sorted shingle hashes; of rows that share a doc_id, those whose set is the node's."""
     at = batch.schema.get_field_index("text")
-    out: list[bytes] = []
+    wanted = batch.column("k1").to_numpy()
     for part, words in documents_in(batch):
         hashes, first = shingle_sets(words)
-        out += [hashes[first[i] : first[i + 1]].tobytes() for i in range(part.stop - part.start)]
-    yield batch.set_column(at, "hashes", pa.array(out, pa.binary()))
+        own = np.flatnonzero(signed(set_keys(hashes, first)[0]) == wanted[part])
+        rows = batch.slice(part.start, part.stop - part.start).take(pa.array(own))
+        yield rows.set_column(at, "hashes", pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in own], pa.binary()))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -245,7 +268,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     class_id is the smallest doc_id that a chain of links reaches; n_links counts other documents of similarity
     0.8 or more, copies among them; n_set_links counts the different shingle sets among those.
     """
-    importable(docs.sparkSession)
+    batched(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_rows = cut(arrow_map(base, _signature_rows, "doc_id long, k1 long, k2 long, n long, sig binary"))
     reps = signed_rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))

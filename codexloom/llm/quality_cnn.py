@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, label: str = "qual
     rate = F.lit(0.0)
     for y, n in counts.items():
         rate = F.when(F.col("_y") == y, F.lit(most / n)).otherwise(rate)
-    drawn = known.filter(F.expr("pmod(xxhash64(doc_id, 5), 1048576) / 1048576D") < rate)
+    drawn = known.filter(F.expr(f"shiftrightunsigned(xxhash64(doc_id, 5), 11) / {1 << 53}D") < rate)
     # The draw is bounded by ``most``, so it goes to the texts, not the texts to it.
     got = sorted((r["doc_id"], r["_y"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect())
     return train([t for *_, t in got], np.array([y for _, y, _ in got], np.float64))

@@ -3,8 +3,9 @@
 The vocabulary drops white space and lower-cases, its pre-tokenizer never joins a letter to punctuation other than an
 apostrophe, and no token spans two of its matches. So a text's ids are those of its pieces end to end, where pieces are
 words cut between ASCII letters or digits and ASCII punctuation. Steps in which the string of a special token occurs
-(in any case) are cut at white space only. Pieces are interned by a 64-bit hash with their length; the table of known
-pieces is emptied when it is full, so memory stays bounded.
+(in any case) are cut at white space only. Pieces are interned by a 64-bit hash, and every hit is compared byte by byte with
+the known piece; the table of known pieces is emptied when it is full, so memory stays bounded. Ids take two bytes each, or
+four where the vocabulary has more than 65,536.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import Words, flat, steps
+from .common import Words, flat, same_bytes, steps
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -29,13 +30,14 @@ _LOADED: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         added = self.tokenizer.get_added_tokens_decoder()
         vocabulary = self.tokenizer.get_vocab()
-        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending = np.zeros(max([*vocabulary.values(), *added]) + 1, bool)
+        self.kind = np.dtype("<u2" if len(self.ending) <= 1 << 16 else "<u4")
         self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content.lower().encode() for t in added.values()]
         self.clear()
@@ -43,8 +45,9 @@ class WordIds:
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.slot = np.zeros(0, np.int64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        # Of each slot: its ids and its bytes.
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.begin, self.length, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def words(self, raw: np.ndarray, offsets: np.ndarray) -> Words:
         folded = _FOLD[raw]
@@ -61,9 +64,10 @@ class WordIds:
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint16, int(size.sum())), size
+        return np.fromiter((i for x in got for i in x), self.kind, int(size.sum())), size
 
-    def _learn(self, words: Words, keys: np.ndarray, sample: np.ndarray) -> None:
+    def _add(self, words: Words, sample: np.ndarray) -> np.ndarray:
+        """Encode words, and keep them; their slots."""
         s, e = words.starts[sample], words.ends[sample]
         length = e - s + 1
         joined = np.append(words.raw, np.uint8(10))[np.minimum(np.repeat(s - np.cumsum(length) + length, length) + np.arange(length.sum()), len(words.raw))]
@@ -81,35 +85,39 @@ class WordIds:
         size[plain] = np.diff(ends, prepend=-1)
         parts[1], size[~plain] = self._ids([x for x, p in zip(texts, plain, strict=True) if not p])
         order = np.append(np.flatnonzero(plain), np.flatnonzero(~plain))
-        new, keys, size = np.concatenate(parts), keys[order], size[order]
-        back = np.argsort(order)
-        keys, size, start = keys[back], size[back], (np.cumsum(size) - size)[back]
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.slot = np.insert(self.slot, at, len(self.first) + np.arange(len(keys)))
-        self.first = np.append(self.first, len(self.ids) + start)
-        self.size, self.ids = np.append(self.size, size), np.append(self.ids, new)
+        start = np.empty(len(order), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        slot = len(self.first) + np.arange(len(texts))
+        self.first, self.size = np.append(self.first, len(self.ids) + start), np.append(self.size, size)
+        self.begin, self.length = np.append(self.begin, len(self.text) + np.cumsum(length) - length), np.append(self.length, length - 1)
+        self.ids, self.text = np.concatenate((self.ids, *parts)), np.append(self.text, joined)
+        return slot
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each document's first place in them (and the end)."""
         n = len(words.first) - 1
         if not len(words.hashes):
-            return np.zeros(0, np.uint16), np.zeros(n + 1, np.int64)
+            return self.ids[:0], np.zeros(n + 1, np.int64)
         order = np.argsort(words.hashes)
         ordered = words.hashes[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
         keys, sample = ordered[new], order[new]
-        for _ in range(2):
-            at = np.searchsorted(self.keys, keys)
-            unknown = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
-            if not unknown.any():
-                break
+        at = np.searchsorted(self.keys, keys)
+        unknown = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if unknown.any():
             if len(self.keys) and len(self.keys) + unknown.sum() > self.most:
                 self.clear()
                 unknown[:] = True
-            self._learn(words, keys[unknown], sample[unknown])
+                at = np.zeros(len(keys), np.int64)
+            slots = self._add(words, sample[unknown])
+            self.keys, self.slot = np.insert(self.keys, at[unknown], keys[unknown]), np.insert(self.slot, at[unknown], slots)
+            at = np.searchsorted(self.keys, keys)
         slot = np.empty(len(order), np.int64)
         slot[order] = self.slot[at][np.cumsum(new) - 1]
+        size = words.ends - words.starts
+        other = np.flatnonzero((size != self.length[slot]) | ~same_bytes(words.raw, words.starts, self.text, self.begin[slot], np.minimum(size, self.length[slot])))
+        if len(other):  # words that only share a hash with a known one
+            slot[other] = self._add(words, other)
         size = self.size[slot]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.first[slot] - total[:-1], size) + np.arange(total[-1])]
