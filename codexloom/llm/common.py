@@ -19,7 +19,9 @@ from ..session import importable
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at once; a single longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch that goes to a Python worker, so that a worker holds a few MB of texts at a time.
+BATCH_ROWS = 1024
 #: Words of more bytes than this are hashed one by one.
 LONG_WORD = 1024
 
@@ -200,8 +202,10 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], out: str, row
 
 
 def batched(spark: SparkSession) -> None:
-    """Ready a session for Python workers: the package can be imported."""
+    """Ready a session for Python workers: the package can be imported, and batches are small unless the session has set a size."""
     importable(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
