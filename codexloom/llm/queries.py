@@ -75,11 +75,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import cut
     from .training_order import in_training_order, shard_folder, write_shards
 
-    rows = in_training_order(table(spark, sf_dir, "documents"), word_tokenizer(), key=20240607)
-    write_shards(rows, shard_folder(spark)).write.format("noop").mode("overwrite").save()
-    return rows
+    pieces = in_training_order(table(spark, sf_dir, "documents"), word_tokenizer(), key=20240607)
+    return cut(write_shards(pieces, shard_folder(spark), word_tokenizer()))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,33 +142,42 @@ def test_permutation_is_a_bijection():
     assert (training_order.permute(np.arange(1000), 1000, 1) != training_order.permute(np.arange(1000), 1000, 2)).any()
 
 
-def test_training_order_round_trip(docs, rows, tmp_path):
+def stream_of(rows, by_text):
+    """All ids in the order of the stream, with the tokenizer itself; by_text: each text's hash."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(word_tokenizer())
-    ordered = training_order.in_training_order(docs, word_tokenizer(), key=1, length=16, per_shard=10)
-    got = ordered.collect()
-    assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    whole = defaultdict(list)
-    for r in sorted(got, key=lambda r: r["seq"]):
-        whole[r["doc_id"]] += np.frombuffer(r["payload"], "<u2")[: r["n_tokens"]].tolist()
-    by_id = Counter(i for i, *_ in rows)
-    for i, text, *_ in rows:
-        if by_id[i] == 1:
-            assert whole[i] == [*t.encode(text or "", add_special_tokens=False).ids, 1]
-    manifest = training_order.write_shards(ordered, str(tmp_path)).collect()
-    assert sum(r["rows"] for r in manifest) == len(got)
+    known = sorted(((i is not None, i or 0, by_text[text], text) for i, text, *_ in rows), key=lambda r: r[:3])
+    return np.array([x for *_, text in known for x in (*t.encode(text or "", add_special_tokens=False).ids, 1)], "<u2")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_training_order_is_by_data_and_round_trips(spark, docs, rows, tmp_path, parts):
+    by_text = {r["text"]: r["t"] for r in docs.select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    whole = stream_of(rows, by_text)
+    ordered = training_order.in_training_order(docs.repartition(parts), word_tokenizer(), key=1, length=16, per_shard=10)
+    got = training_order.write_shards(ordered, str(tmp_path), word_tokenizer(), 16, 10).orderBy("slot").collect()
+    n = -(-len(whole) // 16)
+    padded = np.concatenate((whole, np.zeros(n * 16 - len(whole), "<u2"))).reshape(n, 16)
+    number = training_order.permute(np.arange(n), n, 1, inverse=True)  # the sequence of each slot
     read = [x.tobytes() for x in training_order.read_from(str(tmp_path), 0, 10, 16)]
-    assert read == [bytes(r["payload"]) for r in sorted(got, key=lambda r: r["slot"])]
+    assert read == [padded[k].tobytes() for k in number]
     assert [x.tobytes() for x in training_order.read_from(str(tmp_path), 13, 10, 16)] == read[13:]
+    assert [(r["slot"], r["shard"], r["byte_offset"], r["crc32"]) for r in got] == [(s, s // 10, s % 10 * 32, zlib.crc32(x)) for s, x in enumerate(read)]
+    assert sum(r["n_tokens"] for r in got) == len(whole)
+    assert sum(r["records"] for r in training_order.manifest(spark.createDataFrame(got)).collect()) == n
+    ids = {i for r in got for i in r["doc_ids"]}
+    assert ids == {i for i, *_ in rows}
 
 
-def test_training_order_query_writes_the_shards(spark, docs, tmp_path, monkeypatch):
+def test_training_order_query_writes_the_shards(spark, docs, rows, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(training_order, "shard_folder", lambda spark: f"{tmp_path}/shards", raising=False)
     got = QUERIES["op5_training_order"](spark, str(tmp_path)).orderBy("slot").collect()
-    assert len(got) >= docs.count()
-    assert [x.tobytes() for x in training_order.read_from(f"{tmp_path}/shards", 0)] == [bytes(r["payload"]) for r in got]
+    by_text = {r["text"]: r["t"] for r in docs.select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    read = list(training_order.read_from(f"{tmp_path}/shards", 0))
+    assert [zlib.crc32(x.tobytes()) for x in read] == [r["crc32"] for r in got]
+    assert sum(r["n_tokens"] for r in got) == len(stream_of(rows, by_text))
 
 
 def test_shard_folder_is_shared(spark):
