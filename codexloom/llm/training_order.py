@@ -64,7 +64,7 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 
 def _encoded_rows(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, small = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3)
+        part, row, small = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6)
         for batch in batches:
             if batch.num_rows:
                 whole = [np.append(ids, np.array(end, ids.dtype)) for _, ids in encoded(batch, tokenizer)]
@@ -112,7 +112,7 @@ def in_training_order(docs: DataFrame, tokenizer: str, key: int, length: int = L
     tasks = max(1, min(shards, max(least, -(-n * width * length // (128 << 20)))))
 
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        large, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        large, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
         begin, size = batch.column("_at").to_numpy(), batch.column("n").to_numpy()
         count = (begin + size - 1) // length - begin // length + 1
         row = np.repeat(np.arange(len(begin)), count)
