@@ -1,19 +1,23 @@
 """Quality rules with robust multivariate outliers, in column expressions only.
 
-Base statistics of a text give a vector of four transformed values. For each (language, source), for each language and
-for all rows, a minimum-covariance-determinant estimate is found: medians and quartile ranges start it, then
-concentration steps re-estimate mean and covariance from the ``SHARE`` of rows that are nearest, then rows inside the
-97.5 % ellipse give the final estimate. There is one start and a fixed number of steps: no determinants are compared,
-and convergence is not tested. A row is rejected where its squared Mahalanobis distance exceeds ``cutoff``
-under the estimate of its own group, or, where that has fewer than ``least`` rows, of the language, then of all rows.
-
-Nearest rows are found by binned distances (16 bins per doubling) whose counts and moment sums are aggregated per bin,
-so no group is ever sorted or collected. Covariances get a floor on the diagonal, since rare statistics are zero in most
-rows.
+Base statistics of a text give a vector of four transformed values, on a grid of ``GRID`` steps per ``FLOORS``. For each
+(language, source), and for each language, a minimum-covariance-determinant estimate is found: concentration steps
+re-estimate mean and covariance from the nearest half of the rows (``SHARE``), from several starts (medians and quartile
+ranges, and small random subsets): two for each start, then more for the best two, for as long as the determinant falls by a
+hundredth. The estimate of least determinant wins, and
+rows inside its 97.5 % ellipse give the final one. A row's squared Mahalanobis distance is taken under its own group's
+mean and a covariance that is the group's and the language's in proportion to n and ``PRIOR`` rows, so that a group of any
+size has one. A row is rejected where the distance exceeds ``cutoff``.
+
+Since vectors are on a grid, all steps run over the table of different vectors and their counts, which grows with the
+grid and the groups, not with the rows. Nearest vectors are found by binned distances (64 bins per doubling; the bin that
+the share falls in counts by the part that is still wanted), so no group is ever sorted or collected. Covariances get a
+floor on the diagonal, since rare statistics are zero in most rows. Estimates are broadcast while there are at most
+``MOST_GROUPS``, and joined by a shuffle beyond that.
 
 Defined results: null text has no words and fails the base rules; null lang or source is a group of its own; repeated
-rows count each; an empty table gives an empty result; other columns pass through ``judge`` untouched unless they carry
-the name of a result, which replaces them.
+rows count each; an empty table gives an empty result; other columns pass through ``judge`` untouched, whatever their
+names, unless they carry the name of a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -25,10 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARE, INLIER, P = 0.75, 0.975, 4
+SHARE, INLIER, P, PRIOR = 0.5, 0.975, 4, 50
 #: Least standard deviation that a transformed value is taken to have; bin width of the start's medians is a quarter.
-FLOORS = (0.30, 0.45, 0.50, 0.05)
+FLOORS, GRID = (0.30, 0.45, 0.50, 0.05), 16
+#: Random starts besides the one of medians, the vectors of each (expected), and the fall of a log determinant that counts.
+STARTS, SUBSET, FALL = 4, 8, 0.01
+BINS = 64
+MOST_GROUPS = 200_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*STATS, "base_failed", "distance", "kept")
 
 
 def _chi2(x: float, dof: int) -> float:
@@ -99,78 +108,117 @@ def _distance() -> Column:
     return total
 
 
-_MOMENTS = [f"s{j}" for j in range(P)] + [f"q{i}{j}" for i in range(P) for j in range(i + 1)]
-_FACTOR = ["_key", "_size", *(f"m{j}" for j in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1))]
+_MOMENTS = ["n", *(f"s{j}" for j in range(P)), *(f"q{i}{j}" for i in range(P) for j in range(i + 1))]
+_COVARIANCE = [f"c{i}{j}" for i in range(P) for j in range(i + 1)]
+_MEAN = [f"m{j}" for j in range(P)]
+_WHO = ["_key", "_start"]
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    sums = [F.sum(f"x{j}").alias(f"s{j}") for j in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    """Weighted sums of grid vectors (x0.., weight w)."""
+    x = lambda *at: math.prod((F.col(f"x{j}") for j in at), start=F.col("w"))
+    sums = [F.sum("w").alias("n"), *[F.sum(x(j)).alias(f"s{j}") for j in range(P)], *[F.sum(x(i, j)).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]]
+    return rows.groupBy(*keys).agg(*sums)
 
 
-def _estimate(sums: DataFrame, scale: float) -> DataFrame:
-    """Mean and inverse Cholesky factor per key from n, sums and product sums."""
+def _estimate(sums: DataFrame, scale: float, keys: list[str]) -> DataFrame:
+    """Mean, covariance, inverse Cholesky factor and log determinant from sums."""
     df = _bound(sums, {f"m{j}": F.col(f"s{j}") / F.col("n") for j in range(P)})
     c = {}
     for i in range(P):
         for j in range(i + 1):
             spread = (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-            c[i, j] = spread + F.lit(FLOORS[i] ** 2) if i == j else spread
-    return _inverse_factor(c, df).select(*_FACTOR)
-
+            c[f"c{i}{j}"] = spread + F.lit(FLOORS[i] ** 2) if i == j else spread
+    return _factored(_bound(df, c), [*keys, "_size", *_MEAN])
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each value per key, from binned counts."""
-    long = rows.select("_key", F.expr("stack(4, " + ", ".join(f"{j}, cast(floor(x{j} / {FLOORS[j] / 4}) as long)" for j in range(P)) + ") as (_j, _bin)"))
-    counts = long.groupBy("_key", "_j", "_bin").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy("_key", "_j").orderBy("_bin")
-    whole = Window.partitionBy("_key", "_j")
-    counts = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_size", F.sum("_n").over(whole))
-    at = lambda j, share: F.min(F.when((F.col("_j") == j) & (F.col("_upto") >= share * F.col("_size")), F.col("_bin") + 0.5)) * (FLOORS[j] / 4)
-    q = counts.groupBy("_key").agg(F.max("_size").alias("_size"), *[at(j, s).alias(f"r{j}_{int(s * 100)}") for j in range(P) for s in (0.25, 0.5, 0.75)])
-    zero = F.lit(0.0)
-    w = [(F.lit(1.0) / F.greatest((F.col(f"r{j}_75") - F.col(f"r{j}_25")) / 1.349, F.lit(FLOORS[j]))) for j in range(P)]
-    return q.select("_key", "_size", *[F.col(f"r{j}_50").alias(f"m{j}") for j in range(P)], *[(w[i] if i == j else zero).alias(f"w{i}{j}") for i in range(P) for j in range(i + 1)])
 
+def _factored(df: DataFrame, keep: list[str]) -> DataFrame:
+    """From c<i><j>: these, w<i><j> and logdet."""
+    df = _inverse_factor({(i, j): F.col(f"c{i}{j}") for i in range(P) for j in range(i + 1)}, df)
+    logdet = sum((-2 * F.log(F.col(f"w{j}{j}")) for j in range(P)), F.lit(0.0))
+    return df.select(*keep, *_COVARIANCE, *(f"w{i}{j}" for i in range(P) for j in range(i + 1)), logdet.alias("logdet"))
 
-def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One C-step: re-estimate each key from its nearest ``SHARE`` of rows."""
-    near = rows.join(estimate, "_key").withColumn("_bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * 16))
-    bins = _moments(near, ["_key", "_size", "_bin"])
-    before = F.sum("n").over(Window.partitionBy("_key").orderBy("_bin")) - F.col("n")
-    kept = bins.withColumn("_before", before).filter(F.col("_before") < SHARE * F.col("_size"))
-    sums = kept.groupBy("_key", "_size").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _MOMENTS])
-    return _estimate(sums, _consistency(SHARE))
 
+def few(df: DataFrame) -> DataFrame:
+    """A table of estimates, cut off from its lineage, broadcast if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MOST_GROUPS else df
 
-def estimates(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """From _key and x0..x3: each key's robust mean and inverse Cholesky factor."""
-    found = _start(rows)
-    for _ in range(steps):
-        found = _concentrate(rows, found)
-    inside = rows.join(found, "_key").filter(_distance() <= _quantile(INLIER))
-    return _estimate(_moments(inside, ["_key", "_size"]), _consistency(INLIER))
 
-
-def judge(docs: DataFrame, text: str = "text", least: int = 50, cutoff: float = 30.0) -> DataFrame:
+def _starts(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """First estimates: of medians and quartile ranges (start 0), and of small subsets of different vectors."""
+    long = cells.select("_key", "w", F.expr("stack(4, " + ", ".join(f"{j}, cast(floor(x{j} / {FLOORS[j] / 4}) as long)" for j in range(P)) + ") as (_j, _bin)"))
+    counts = long.groupBy("_key", "_j", "_bin").agg(F.sum("w").alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_key", "_j").orderBy("_bin"))).join(sizes, "_key")
+    at = lambda j, share: F.min(F.when((F.col("_j") == j) & (F.col("_upto") >= share * F.col("_size")), F.col("_bin") + 0.5)) * (FLOORS[j] / 4)
+    q = counts.groupBy("_key", "_size").agg(*[at(j, s).alias(f"r{j}_{int(s * 100)}") for j in range(P) for s in (0.25, 0.5, 0.75)])
+    zero = F.lit(0.0)
+    scale = [F.greatest((F.col(f"r{j}_75") - F.col(f"r{j}_25")) / 1.349, F.lit(FLOORS[j])) for j in range(P)]
+    medians = q.select("_key", F.lit(0).alias("_start"), "_size", *[F.col(f"r{j}_50").alias(f"m{j}") for j in range(P)], *[(scale[i] * scale[i] if i == j else zero).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    drawn = cells.join(sizes, "_key").withColumn("_start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    chance = F.expr(f"pmod(xxhash64(_key, x0, x1, x2, x3, _start), 1000003) / 1000003D < {SUBSET}D / _cells")
+    subsets = _moments(drawn.filter(chance).withColumn("w", F.lit(1.0)), ["_key", "_start", "_size"])
+    return _factored(medians, [*_WHO, "_size", *_MEAN]).unionByName(_estimate(subsets, 1.0, _WHO))
+
+
+def _concentrated(cells: DataFrame, estimate: DataFrame) -> DataFrame:
+    """One C-step of every start: mean and covariance of each key's nearest ``SHARE`` of rows."""
+    near = cells.join(estimate.select(*_WHO, "_size", *_MEAN, *(f"w{i}{j}" for i in range(P) for j in range(i + 1))), "_key")
+    bins = _moments(near.withColumn("_bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * BINS)), [*_WHO, "_size", "_bin"])
+    upto = F.sum("n").over(Window.partitionBy(*_WHO).orderBy("_bin"))
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(SHARE) * F.col("_size") - (upto - F.col("n"))) / F.col("n")))
+    sums = bins.withColumn("_part", part).groupBy(*_WHO, "_size").agg(*[F.sum(F.col(c) * F.col("_part")).alias(c) for c in _MOMENTS])
+    return _estimate(sums, _consistency(SHARE), _WHO)
+
+
+def estimates(cells: DataFrame) -> DataFrame:
+    """From _key, x0..x3 (on the grid) and w (rows): each key's robust mean, covariance and size."""
+    sizes = few(cells.groupBy("_key").agg(F.sum("w").alias("_size"), F.count("*").alias("_cells")))
+    tried = _concentrated(cells, few(_concentrated(cells, few(_starts(cells, sizes)))))
+    best = F.row_number().over(Window.partitionBy("_key").orderBy("logdet", "_start"))
+    falling, done = few(tried.withColumn("_best", best).filter("_best <= 2").drop("_best")), None
+    while True:
+        new = _concentrated(cells, falling)
+        old = falling.select(*[F.col(c).alias(f"_old_{c}") if c not in _WHO else c for c in falling.columns])
+        both = cut(new.join(old, _WHO))
+        fell = F.col("logdet") < F.col("_old_logdet") - FALL
+        settled = both.filter(~fell).select(*_WHO, *[F.col(f"_old_{c}").alias(c) for c in falling.columns if c not in _WHO])
+        done = settled if done is None else done.unionByName(settled)
+        falling = few(both.filter(fell).select(*falling.columns))
+        if falling.isEmpty():
+            break
+    names = ["_start", "_size", *_MEAN, *(f"w{i}{j}" for i in range(P) for j in range(i + 1))]
+    best = few(done.groupBy("_key").agg(F.min_by(F.struct(*names), F.struct("logdet", "_start")).alias("_e")).select("_key", "_e.*"))
+    inside = cells.join(best, "_key").filter(_distance() <= _quantile(INLIER))
+    return _estimate(_moments(inside, ["_key", "_size"]), _consistency(INLIER), ["_key"]).select("_key", "_size", *_MEAN, *_COVARIANCE)
+
+
+def scales(found: DataFrame) -> DataFrame:
+    """Each group's mean, and inverse factor of its own covariance with the language's by ``PRIOR`` rows. Keys are (level, lang, source)."""
+    own = found.filter("_key.level = 1")
+    language = few(found.filter("_key.level = 2").select(F.col("_key.lang").alias("_lang"), *[F.col(c).alias(f"_l{c}") for c in _COVARIANCE]))
+    both = own.join(language, F.col("_key.lang").eqNullSafe(F.col("_lang")))
+    both = _bound(both.select("_key", "_size", *_MEAN, *[((F.col("_size") * F.col(c) + PRIOR * F.col(f"_l{c}")) / (F.col("_size") + PRIOR)).alias(f"_{c}") for c in _COVARIANCE]), {c: F.col(f"_{c}") for c in _COVARIANCE})
+    return _factored(both, ["_key", *_MEAN])
+
+
+def judge(docs: DataFrame, text: str = "text", cutoff: float = 30.0) -> DataFrame:
     """All columns of ``docs`` but its text, with the base statistics, base_failed, distance (squared) and kept."""
-    group = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source")]
-    base = statistics(docs, text).drop(text, "base_failed", "distance", "kept")
-    base = base.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-    base = cut(base.withColumn("_g2", F.concat(F.lit("2"), group[0])).withColumn("_g1", F.concat_ws("\u0001", F.lit("1"), *group)).withColumn("_g3", F.lit("3")))
-    usual = base.filter("not base_failed").groupBy("_g2").agg((F.sum("word_chars") / F.sum("n_words")).alias("_usual"))
+    passing = [c for c in docs.columns if c not in (*RESULTS, text)]
+    held = F.struct(*[F.col(c) for c in passing]) if passing else F.lit(None).cast("struct<none: int>")
+    base = statistics(docs.select(held.alias("_row"), F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), text), text).drop(text)
+    base = cut(base.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")))
+    good = base.filter("not base_failed")
+    usual = few(good.groupBy("_lang").agg((F.sum("word_chars") / F.sum("n_words")).alias("_usual")).select(F.col("_lang").alias("_l"), "_usual"))
     # Short texts are drawn towards the language's usual word length, by 20 words of it.
-    ready = base.join(usual, "_g2", "left").withColumns({
-        "x0": F.expr("(word_chars + 20 * _usual) / (n_words + 20)"), "x1": F.expr("ln(1 + 100 * n_symbols / (n_words + 20))"),
-        "x2": F.expr("ln(1D + n_dup_lines)"), "x3": F.expr("n_repeat_words / (n_words + 20)"),
-    })
+    x = ("(word_chars + 20 * _usual) / (n_words + 20)", "ln(1 + 100 * n_symbols / (n_words + 20))", "ln(1D + n_dup_lines)", "n_repeat_words / (n_words + 20)")
+    on_grid = [F.round(F.expr(e) / (FLOORS[j] / GRID)) * (FLOORS[j] / GRID) for j, e in enumerate(x)]
+    ready = base.join(usual, F.col("_lang").eqNullSafe(F.col("_l")), "left").withColumns({f"x{j}": e for j, e in enumerate(on_grid)})
+    key = lambda level, source: F.struct(F.lit(level).alias("level"), F.col("_lang").alias("lang"), source.alias("source"))
     values = [f"x{j}" for j in range(P)]
-    rows = ready.filter("not base_failed").select(F.explode(F.array("_g1", "_g2", "_g3")).alias("_key"), *values)
-    found = cut(estimates(rows))
-    out = ready
-    for level in ("_g1", "_g2", "_g3"):
-        own = found if level == "_g3" else found.filter(F.col("_size") >= least)
-        out = out.join(own.withColumnRenamed("_key", level), level, "left").withColumn(f"d{level}", _distance()).drop(*_FACTOR[1:])
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), F.coalesce("d_g1", "d_g2", "d_g3")))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-    return out.drop(*values, "_usual", "_g1", "_g2", "_g3", "d_g1", "d_g2", "d_g3")
+    one = cut(ready.filter("not base_failed").groupBy(key(1, F.col("_source")).alias("_key"), *values).agg(F.count("*").cast("double").alias("w")))
+    two = one.groupBy(F.struct(F.lit(2).alias("level"), F.col("_key.lang").alias("lang"), F.lit(None).cast("string").alias("source")).alias("_key"), *values).agg(F.sum("w").alias("w"))
+    found = few(scales(cut(estimates(cut(one.unionByName(two))))))
+    out = ready.join(found, F.col("_lang").eqNullSafe(F.col("_key.lang")) & F.col("_source").eqNullSafe(F.col("_key.source")), "left")
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in passing], *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))

@@ -85,52 +85,67 @@ def test_outlier_statistics_and_verdicts(docs, rows):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
-def mcd(x, size):
-    """The same estimate in numpy, for one group."""
-    floor, p = np.array(outlier_rules.FLOORS), outlier_rules.P
-    quantile = lambda v, s, f: (np.floor(np.sort(v / (f / 4)))[int(np.ceil(s * size)) - 1] + 0.5) * f / 4
-    center = np.array([quantile(x[:, j], 0.5, floor[j]) for j in range(p)])
-    scale = np.array([max((quantile(x[:, j], 0.75, floor[j]) - quantile(x[:, j], 0.25, floor[j])) / 1.349, floor[j]) for j in range(p)])
-    inverse = np.diag(1 / scale**2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - center, inverse, x - center)
-    for step in range(4):
-        d = far()
-        if step < 3:
-            bins = np.floor(np.log2(np.maximum(d, 1e-6)) * 16)
-            before = np.array([(bins < b).sum() for b in bins])
-            own, share = x[before < outlier_rules.SHARE * size], outlier_rules.SHARE
-        else:
-            own, share = x[d <= outlier_rules._quantile(0.975)], 0.975
-        center = own.mean(0)
-        inverse = np.linalg.inv(np.cov(own.T, bias=True) * outlier_rules._consistency(share) + np.diag(floor**2))
-    return far()
+def mcd(x, starts):
+    """Mean and covariance of least determinant in numpy, from starts (mean, covariance); then the reweighted estimate."""
+    floor, n = np.diag(np.square(outlier_rules.FLOORS)), len(x)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def moments(w, share):
+        m = w @ x / w.sum()
+        return m, (x.T * w @ x / w.sum() - np.outer(m, m)) * outlier_rules._consistency(share) + floor
+
+    def step(m, c):
+        bins = np.floor(np.log2(np.maximum(far(m, c), 1e-6)) * outlier_rules.BINS)
+        own, number = np.unique(bins, return_inverse=True)
+        count = np.bincount(number)
+        part = np.clip((outlier_rules.SHARE * n - (np.cumsum(count) - count)) / count, 0, 1)
+        return moments(part[number], outlier_rules.SHARE)
+
+    found = []
+    for m, c in sorted((step(*step(m, c)) for m, c in starts), key=lambda e: np.linalg.slogdet(e[1])[1])[:2]:
+        while True:
+            m2, c2 = step(m, c)
+            if np.linalg.slogdet(c2)[1] >= np.linalg.slogdet(c)[1] - outlier_rules.FALL:
+                break
+            m, c = m2, c2
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    return moments((far(m, c) <= outlier_rules._quantile(0.975)).astype(float), 0.975)
 
 
 def test_robust_distance_equals_numpy(spark):
+    """Three groups, one with 40 % planted outliers, one with a null language, and one of two rows."""
     rng = random.Random(9)
-    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 60))) for _ in range(120)]
-    texts += [" ".join("#$|" + "x" * 30 + str(rng.random()) for _ in range(30)) for _ in range(6)]
-    got = outlier_rules.judge(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
-    usual = sum(r["word_chars"] for r in got) / sum(r["n_words"] for r in got)
-    x = np.array([[(r["word_chars"] + 20 * usual) / (r["n_words"] + 20), np.log(1 + 100 * r["n_symbols"] / (r["n_words"] + 20)), np.log(1 + r["n_dup_lines"]), r["n_repeat_words"] / (r["n_words"] + 20)] for r in got])
-    np.testing.assert_allclose([r["distance"] for r in got], mcd(x, len(x)), rtol=1e-6)
-    assert [r["kept"] for r in got] == [True] * 120 + [False] * 6
-
-
-def test_null_language_is_a_group_of_its_own(spark):
-    rng = random.Random(12)
     text = lambda letters, longest: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, longest))) for _ in range(rng.randint(20, 60)))
-    rows = [(i, text("abcdef", 14), None, f"s{i % 4}") for i in range(80)] + [(100 + i, text("ghijkl", 6), "en", "a") for i in range(100)] + [(300 + i, text("mnopqr", 8), "de", "b") for i in range(15)]
-    got = outlier_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
-    assert not any(r["base_failed"] for r in got)
-    x = []
+    junk = lambda: " ".join("#$|" + "x" * 30 + str(rng.random()) for _ in range(30))
+    rows = [(i, text("abcdef", 8), "en", "a") for i in range(150)] + [(200 + i, junk(), "en", "a") for i in range(6)]
+    rows += [(300 + i, text("abcdef", 8), "en", "b") for i in range(60)] + [(400 + i, junk(), "en", "b") for i in range(40)]
+    rows += [(500 + i, text("ghijkl", 14), None, None) for i in range(70)] + [(600, text("abc", 5), "en", "c"), (601, text("abc", 5), "en", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"x0": F.lit("a"), "_key": F.lit(1), "m0": F.lit(2), "_lang": F.lit(3), "distance": F.lit(4)})
+    got = outlier_rules.judge(df).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got) and {(r["x0"], r["_key"], r["m0"], r["_lang"]) for r in got} == {("a", 1, 2, 3)}
+    steps, groups = np.array(outlier_rules.FLOORS) / outlier_rules.GRID, defaultdict(list)
     for r in got:
         own = [o for o in got if o["lang"] == r["lang"]]
         usual = sum(o["word_chars"] for o in own) / sum(o["n_words"] for o in own)
-        x.append([(r["word_chars"] + 20 * usual) / (r["n_words"] + 20), np.log(1 + 100 * r["n_symbols"] / (r["n_words"] + 20)), np.log(1 + r["n_dup_lines"]), r["n_repeat_words"] / (r["n_words"] + 20)])
-    x = np.array(x)
-    np.testing.assert_allclose([r["distance"] for r in got[:80]], mcd(x[:80], 80), rtol=1e-6)  # its sources are small: by language
-    np.testing.assert_allclose([r["distance"] for r in got[180:]], mcd(x, len(x))[180:], rtol=1e-6)  # a small language: by all rows
+        v = np.array([(r["word_chars"] + 20 * usual) / (r["n_words"] + 20), np.log(1 + 100 * r["n_symbols"] / (r["n_words"] + 20)), np.log(1 + r["n_dup_lines"]), r["n_repeat_words"] / (r["n_words"] + 20)])
+        v = np.floor(v / steps + 0.5) * steps
+        groups[1, r["lang"], r["source"]].append((v, r["distance"]))
+        groups[2, r["lang"], None].append((v, None))
+    cells = spark.createDataFrame([((*k, ), *map(float, v), float(n)) for k, vs in groups.items() for v, n in Counter(tuple(x) for x, _ in vs).items()], "_key struct<level: int, lang: string, source: string>, x0 double, x1 double, x2 double, x3 double, w double")
+    sizes = cells.groupBy("_key").agg(F.sum("w").alias("_size"), F.count("*").alias("_cells"))
+    starts = defaultdict(list)
+    for r in outlier_rules._starts(cells, sizes).collect():
+        starts[tuple(r["_key"])].append((np.array([r[f"m{j}"] for j in range(4)]), np.array([[r[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])))
+    assert all(len(own) >= 2 for k, own in starts.items() if len(groups[k]) > 50)
+    for (level, lang, source), own in groups.items():
+        if level == 1:
+            x = np.array([v for v, _ in own])
+            center, c = mcd(x, starts[level, lang, source])
+            _, whole = mcd(np.array([v for v, _ in groups[2, lang, None]]), starts[2, lang, None])
+            c = (len(x) * c + outlier_rules.PRIOR * whole) / (len(x) + outlier_rules.PRIOR)
+            np.testing.assert_allclose([d for _, d in own], np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(c), x - center), rtol=1e-6, atol=1e-9)
+    assert [r["doc_id"] for r in got if not r["kept"]] == [*range(200, 206), *range(400, 440)]
 
 
 def test_permutation_is_a_bijection():
