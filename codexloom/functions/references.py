@@ -1,7 +1,7 @@
-"""Passage references: strict parsing and scanning of prose, by regular expressions and a name table.
+"""Passage references: strict parsing and scanning of prose, by one compiled pattern and a fold over its matches.
 
-Names are a parameter. The built-in table knows OSIS ids and short German forms; ``Names`` takes further ones. The scanner is
-sequential inside a text (what a bare pair means depends on the reference before it), so it runs as an Arrow UDF over texts.
+Names are a parameter; the built-in tables know OSIS ids, English, German and short forms. What a bare pair of numbers means
+depends on the reference before it, so a scan is sequential inside a text and runs as an Arrow UDF over texts.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,37 @@ SHORT = (
     "1Mo 2Mo 3Mo 4Mo 5Mo Jos Ri Rut 1Sa 2Sa 1Kö 2Kö 1Ch 2Ch Esr Neh Est Hi Ps Spr Pred Hld Jes Jer Klgl Hes Dan Hos Joel Am Ob Jona Mi Nah "
     "Hab Zef Hag Sach Mal Mt Mk Lk Joh Apg Rö 1Ko 2Ko Gal Eph Phil Kol 1Th 2Th 1Ti 2Ti Tit Phm Heb Jak 1Pe 2Pe 1Jo 2Jo 3Jo Jud Off"
 ).split()
+# English names in canon order; a name with "1-2" stands for one book of each number.
+ENGLISH = (
+    "Genesis, Exodus, Leviticus, Numbers, Deuteronomy, Joshua, Judges, Ruth, 1-2 Samuel, 1-2 Kings, 1-2 Chronicles, Ezra, Nehemiah, Esther, Job, "
+    "Psalms, Proverbs, Ecclesiastes, Song of Solomon, Isaiah, Jeremiah, Lamentations, Ezekiel, Daniel, Hosea, Joel, Amos, Obadiah, Jonah, Micah, "
+    "Nahum, Habakkuk, Zephaniah, Haggai, Zechariah, Malachi, Matthew, Mark, Luke, John, Acts, Romans, 1-2 Corinthians, Galatians, Ephesians, "
+    "Philippians, Colossians, 1-2 Thessalonians, 1-2 Timothy, Titus, Philemon, Hebrews, James, 1-2 Peter, 1-3 John, Jude, Revelation"
+)
+# German names in canon order, written alike.
+GERMAN = (
+    "1-5 Mose, Josua, Richter, Rut, 1-2 Samuel, 1-2 Könige, 1-2 Chronik, Esra, Nehemia, Ester, Hiob, Psalmen, Sprüche, Prediger, Hoheslied, Jesaja, "
+    "Jeremia, Klagelieder, Hesekiel, Daniel, Hosea, Joel, Amos, Obadja, Jona, Micha, Nahum, Habakuk, Zefanja, Haggai, Sacharja, Maleachi, Matthäus, "
+    "Markus, Lukas, Johannes, Apostelgeschichte, Römer, 1-2 Korinther, Galater, Epheser, Philipper, Kolosser, 1-2 Thessalonicher, 1-2 Timotheus, "
+    "Titus, Philemon, Hebräer, Jakobus, 1-2 Petrus, 1-3 Johannes, Judas, Offenbarung"
+)
+# Further abbreviations by OSIS id, in canon order.
+FURTHER = """
+Gen 1mos; Exod 2mos ex; Lev 3mos levitikus; Num 4mos numeri; Deut 5mos dtn dt deuteronomium; 1Sam 1sm; 2Sam 2sm; 1Kgs 1koen 1kg 1ki;
+2Kgs 2koen 2kg 2ki; 1Chr 1chronika; 2Chr 2chronika; Ps psalm pss; Prov prv; Eccl koh kohelet ecc qoh; Song hohelied sos; Lam kla; Ezek ez ezechiel;
+Dan dn; Joel jl; Obad obd; Jonah jon; Nah nam; Zeph zep zephanja; Hag hgg; Zech zec; Matt mat; Mark mrk; Luke luk; John jn; Acts act; Rom rm roem;
+1Cor 1kor 1co; 2Cor 2kor 2co; Phil php; 1Thess 1thes; 2Thess 2thes; Heb hebr; Jas jam; 1Pet 1petr 1pt; 2Pet 2petr 2pt; 1John 1joh 1jn;
+2John 2joh 2jn; 3John 3joh 3jn; Rev offb apk rv
+"""
+
+
+def numbered(names: str) -> list[str]:
+    """The names of a table, those of several books once for each."""
+    out = []
+    for name in names.split(", "):
+        m = re.fullmatch(r"1-([0-9]) (.*)", name)
+        out += [f"{i} {m[2]}" for i in range(1, int(m[1]) + 1)] if m else [name]
+    return out
 
 
 def book_key(name: str) -> str:
@@ -52,115 +84,96 @@ class Found:
         return f"{head},{self.verse}" + (f"-{self.last}" if self.last is not None else "")
 
 
-_BOOK = re.compile(r"(?P<n>[0-9][. ]*)?(?P<w>[^\W\d_]+(?: *[^\W\d_]+){0,3})")
-_NUMBER = re.compile(r"[0-9]+")
-_RANGE = re.compile(r"[-–]\s*([0-9]+)")
-_ITEM = re.compile(r"\.([0-9]+)\s*(?:[-–]\s*([0-9]+))?(?!\w)")
-_LIST = re.compile(r"\.([0-9]+)(?:[-–]([0-9]+))?(?!\w)")
-_PAIR = re.compile(r"([0-9]+)(?:[,:]([0-9]+)(?:[-–]([0-9]+))?)?")
-_CHAPTER_WORD = re.compile(r"(?:Kapitel|Kap\.|Kap |chapter|ch\.)\s*", re.IGNORECASE)
-_VERSE_WORD = re.compile(r"(?:Vv\.|V\.|Verse|Vers|vv\.|v\.)\s*([0-9]{1,3})(?![0-9])(?:(f\.|ff\.)|(?:-|–| und | u\. )([0-9]{1,3})(?![0-9]))?")
+# Words that announce a chapter or verses.
+CHAPTER_WORDS = (r"Kapitel", r"Kap\.", r"Kap ", r"chapter", r"ch\.")
+VERSE_WORDS = (r"Vv\.", r"V\.", r"Verse", r"Vers", r"vv\.", r"v\.")
+_SPELLED = (("ae", "(?:ae|ä)"), ("oe", "(?:oe|ö)"), ("ue", "(?:ue|ü)"), ("ss", "(?:ss|ß)"))
+_COUNT = "0*[1-9][0-9]*"
+_OPEN, _SHUT = r"(?<![^\W_])", r"(?![^\W_])"
+_TAIL = re.compile(r"(?P<mark>[-–.])(?P<gap>\s*)(?P<n>[0-9]+)")
 
 
 class Names:
-    """Normalised names to canon positions."""
+    """Normalised names to canon positions, and the patterns that find them."""
 
     def __init__(self, more: dict[str, int] | None = None):
-        self.at = {book_key(n): i for table in (BOOKS, SHORT) for i, n in enumerate(table)}
+        self.at: dict[str, int] = {}
+        for table in (BOOKS, SHORT, numbered(ENGLISH), numbered(GERMAN)):
+            self.at |= {book_key(n): i for i, n in enumerate(table)}
+        for line in FURTHER.replace("\n", " ").split(";"):
+            osis, *short = line.split()
+            self.at |= {n: BOOKS.index(osis) for n in short}
         self.at |= {book_key(n): i for n, i in (more or {}).items()}
-
-    def book_at(self, text: str, at: int) -> tuple[int, int] | None:
-        """The book whose longest name starts here, and where the name ends."""
-        m = _BOOK.match(text, at)
-        if not m:
-            return None
-        number = (m["n"] or "")[:1]
-        words = list(re.finditer(r"[^\W\d_]+", text[m.start("w") : m.end("w")]))
-        for k in range(len(words), 0, -1):
-            book = self.at.get(book_key(number + "".join(w[0] for w in words[:k])))
-            if book is not None:
-                return book, m.start("w") + words[k - 1].end()
-        return None
-
-
-def _skip(text: str, at: int) -> int:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    return at
-
-
-def _extend(text: str, at: int, verse: int, last: int | None, item: re.Pattern[str]) -> tuple[int, int | None]:
-    """A dotted verse list after a verse reaches to its last verse."""
-    while m := item.match(text, at):
-        first = int(m[1])
-        if first <= (last or verse):
+        name = "|".join(self._spelling(k) for k in sorted(self.at, key=len, reverse=True))
+        book = rf"(?i:{name})(?![^\W\d_])"
+        words, verses = "|".join(CHAPTER_WORDS), "|".join(VERSE_WORDS)
+        self.reference = re.compile(
+            rf"{_OPEN}(?:(?i:{words})\s*(?P<chapter>{_COUNT})(?:[,:](?P<chapter_verse>{_COUNT}))?"
+            rf"|(?:{verses})\s*(?P<verse>0*[1-9][0-9]*)(?![0-9])(?:(?P<on>ff?\.)|(?:-|–| und | u\. )(?P<upto>[0-9]{{1,3}})(?![0-9]))?"
+            rf"|(?P<book>{book})\s*(?:[,:.]\s*)?(?P<book_chapter>{_COUNT})(?:[,:]\s*(?P<book_verse>{_COUNT}))?"
+            rf"|(?<!,)(?P<pair>{_COUNT})[,:](?P<pair_verse>{_COUNT}))"
+        )
+        self.whole = re.compile(
+            rf"(?P<book>{book})(?P<rest>\s*(?:[,:.]\s*)?(?:(?P<c>[0-9]+)\s*(?:[,:.]?\s*(?P<v>[0-9]+)\s*(?:(?P<dash>[-–])\s*(?P<same>{book}\.[0-9]+\.)?(?P<last>[0-9]+)?)?)?)?)(?P<more>.*)",
+            re.DOTALL,
+        )
+
+    @staticmethod
+    def _spelling(key: str) -> str:
+        """A pattern of a normalised name: dots and spaces after its number, spaces between letters, umlauts either way."""
+        number, letters = re.fullmatch(r"([0-9]?)(.*)", key).groups()
+        parts = re.findall("ae|oe|ue|ss|.", letters)
+        out = " *".join(dict(_SPELLED).get(p, re.escape(p)) for p in parts)
+        return f"{number}[. ]*{out}" if number else out
+
+    def book(self, name: str) -> int:
+        return self.at[book_key(name)]
+
+
+@lru_cache
+def built_in() -> Names:
+    return Names()
+
+
+def _reach(text: str, end: int, verse: int, spaced: bool) -> tuple[int, int | None]:
+    """How far a verse's range and dotted list go, and the last verse of it. Only rising numbers belong to it."""
+    last, ranged = None, False
+    while m := _TAIL.match(text, end):
+        n, dotted = int(m["n"]), m["mark"] == "."
+        if dotted and m["gap"] or not dotted and (ranged or m["gap"] and not spaced):
+            break
+        rises = n > (last or verse) if dotted or last else n >= verse
+        if not rises or dotted and re.match(r"\w", text[m.end() : m.end() + 1]):
             break
-        last, at = (int(m[2]) if m[2] and int(m[2]) > first else first), (m.end() if not m[2] or int(m[2]) > first else m.end(1))
-    return at, last
-
-
-def prefix(text: str, at: int, names: Names) -> Found | None:
-    """A full reference that starts here; in prose only a comma or colon brings in a verse."""
-    named = names.book_at(text, at)
-    if not named:
-        return None
-    book, end = named
-    end = _skip(text, end)
-    if text[end : end + 1] and text[end] in ",:.":
-        end = _skip(text, end + 1)
-    m = _NUMBER.match(text, end)
-    if not m or int(m[0]) == 0:
-        return None
-    chapter, end, verse, last = int(m[0]), m.end(), None, None
-    if text[end : end + 1] and text[end] in ",:" and (m := _NUMBER.match(text, _skip(text, end + 1))) and int(m[0]) > 0:
-        verse, end = int(m[0]), m.end()
-        if (r := _RANGE.match(text, end)) and int(r[1]) >= verse:
-            last, end = int(r[1]), r.end()
-        end, last = _extend(text, end, verse, last, _ITEM)
-    if text[end : end + 1].isalnum():
-        return None
-    return Found(at, end, book, chapter, verse, last)
-
-
-def _pair(text: str, at: int) -> tuple[int, int | None, int | None, int] | None:
-    """chapter[,verse[-end]] that ends at a word boundary."""
-    m = _PAIR.match(text, at)
-    if not m or int(m[1]) == 0:
-        return None
-    if m[2] is None or int(m[2]) == 0:
-        end = m.end(1)
-        return None if text[end : end + 1].isalnum() else (int(m[1]), None, None, end)
-    verse, last, end = int(m[2]), None, m.end(2)
-    if m[3] and int(m[3]) >= verse:
-        last, end = int(m[3]), m.end(3)
-    end, last = _extend(text, end, verse, last, _LIST)
-    return None if text[end : end + 1].isalnum() else (int(m[1]), verse, last, end)
+        end, last, ranged = m.end(), n, not dotted
+    return end, last
 
 
 def scan(text: str, names: Names, book: int | None = None, chapter: int | None = None) -> Iterator[Found]:
     """References in prose from left to right, relative to a book and chapter at hand."""
     recent, at = book, 0
-    while at < len(text):
-        if at and text[at - 1].isalnum() or text[at].isspace():
-            at += 1
-            continue
-        found = None
-        if recent is not None and (m := _CHAPTER_WORD.match(text, at)) and (p := _pair(text, m.end())):
-            found = Found(at, p[3], recent, *p[:3])
-        if not found and book is not None and chapter is not None and (m := _VERSE_WORD.match(text, at)) and int(m[1]) > 0:
-            ranged = m[3] and int(m[3]) > int(m[1])
-            end = m.end() if m[2] or ranged else m.end(1)
-            if m[2] or ranged or not text[end : end + 1].isalnum():
-                found = Found(at, end, book, chapter, int(m[1]), int(m[3]) if ranged else None)
-        if not found and text[at].isalnum():
-            found = prefix(text, at, names)
-        if not found and text[at] in "0123456789" and recent is not None and text[at - 1 : at] != "," and (p := _pair(text, at)) and p[1] is not None:
-            found = Found(at, p[3], recent, *p[:3])
-        if found:
-            yield found
-            recent, at = found.book, max(found.end, at + 1)
+    while m := names.reference.search(text, at):
+        end, g, last = m.end(), m.groupdict(), None
+        at = m.start() + 1
+        if g["verse"]:
+            if book is None or chapter is None or len(g["verse"]) > 3:
+                continue
+            n, upto = int(g["verse"]), int(g["upto"] or 0)
+            if upto <= n and not g["on"]:
+                end = m.end("verse")
+            place = (book, chapter, n, upto if upto > n else None)
         else:
-            at += 1
+            own = names.book(g["book"]) if g["book"] else recent
+            if own is None:
+                continue
+            verse = g["book_verse"] or g["chapter_verse"] or g["pair_verse"]
+            if verse:
+                end, last = _reach(text, end, int(verse), bool(g["book"]))
+            place = (own, int(g["book_chapter"] or g["chapter"] or g["pair"]), int(verse) if verse else None, last)
+        if text[end : end + 1].isalnum() and not (g["verse"] and end == m.end() and m["on"]):
+            continue
+        yield Found(m.start(), end, *place)
+        recent, at = place[0], end
 
 
 def parse(text: str, names: Names) -> tuple[str | None, str | None]:
@@ -168,37 +181,24 @@ def parse(text: str, names: Names) -> tuple[str | None, str | None]:
     text = text.strip()
     if not text:
         return None, "Empty"
-    named = names.book_at(text, 0)
-    if not named:
+    m = names.whole.match(text)
+    if not m:
         return None, "UnknownBook"
-    book, at = named
-    numbers: list[int] = []
-    for _ in range(2):
-        at = _skip(text, at)
-        if text[at : at + 1] and text[at] in ",:.":
-            at = _skip(text, at + 1)
-        m = _NUMBER.match(text, at)
-        if not m:
-            break
-        if not 0 < int(m[0]) < 65536:
-            return None, "InvalidNumber"
-        numbers.append(int(m[0]))
-        at = _skip(text, m.end())
-    if not numbers:
+    book, c, v, last = names.book(m["book"]), m["c"], m["v"], m["last"]
+    if not c:
         return None, "MissingChapter"
-    last = None
-    if len(numbers) == 2 and text[at : at + 1] in ("-", "–"):
-        at = _skip(text, at + 1)
-        whole = re.compile(re.escape(f"{BOOKS[book]}.{numbers[0]}.")).match(text, at)
-        m = _NUMBER.match(text, whole.end() if whole else at)
-        if not m or not 0 < int(m[0]) < 65536:
-            return None, "InvalidRange" if not m else "InvalidNumber"
-        if int(m[0]) < numbers[1]:
+    if any(n and not 0 < int(n) < 65536 for n in (c, v)):
+        return None, "InvalidNumber"
+    if m["dash"]:
+        if not last or m["same"] not in (None, f"{BOOKS[book]}.{c}."):
+            return None, "InvalidRange"
+        if not 0 < int(last) < 65536:
+            return None, "InvalidNumber"
+        if int(last) < int(v):
             return None, "InvalidRange"
-        last, at = int(m[0]), m.end()
-    if text[at:]:
+    if m["more"]:
         return None, "Trailing"
-    return Found(0, at, book, numbers[0], numbers[1] if len(numbers) == 2 else None, last).osis(), None
+    return Found(0, m.end(), book, int(c), int(v) if v else None, int(last) if last else None).osis(), None
 
 
 def parse_udf(names: Names):

@@ -22,9 +22,7 @@ ALIASES = {
 def _folds() -> tuple[str, str, dict[str, str]]:
     """By rule, from Unicode's compatibility decomposition: characters that fold to one ASCII character, and to more."""
     one, to, many = [], [], {}
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code < 0xE000:
-            continue
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
         if len(plain) == 1:
             one.append(chr(code))
@@ -35,32 +33,49 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 _ONE, _TO, _MANY = _folds()
-#: Ligatures, fractions and signs that get a replacement each; the rest of this kind are compatibility forms of letters in boxes.
-_USED = [c for c in _MANY if c in "ﬀﬁﬂﬃﬄﬅﬆ½¼¾⅓⅔⅛⅜⅝⅞™№ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ…‥℃℉㎏㎝㎞"]
+_WIDE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
 
 
 def fold(text: Column) -> Column:
-    """Compatibility decomposition, non-ASCII dropped, lower case."""
-    for c in _USED:
-        text = F.replace(text, F.lit(c), F.lit(_MANY[c]))
-    return F.lower(F.regexp_replace(F.translate(text, _ONE, _TO), r"[^\x00-\x7F]", ""))
+    """Compatibility decomposition, non-ASCII dropped, lower case. ASCII texts are only lower-cased; characters that fold to
+    several are cut out of the texts that have them, and looked up."""
+    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    parts = F.split(F.regexp_replace(text, f"({_WIDE})", "\x01$1\x01"), "\x01")
+    apart = F.array_join(F.transform(parts, lambda p: F.when(F.length(p) == 1, F.coalesce(F.try_element_at(table, p), p)).otherwise(p)), "")
+    narrow = F.when(text.rlike(_WIDE), apart).otherwise(text)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(narrow, _ONE, _TO), r"[^\x00-\x7F]+", "")))
 
 
 def strip_suffix(token: Column) -> Column:
     """The first suffix that leaves four characters goes."""
-    return F.regexp_replace(token, f"^(.{{4,}}?)({'|'.join(SUFFIXES)})$", "$1")
+    out = token
+    for suffix in reversed(SUFFIXES):
+        n = len(suffix)
+        out = F.when(F.endswith(token, F.lit(suffix)) & (F.length(token) >= n + 4), F.left(token, F.length(token) - n)).otherwise(out)
+    return out
 
 
 def canonical(token: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    short = strip_suffix(token)
-    return F.coalesce(F.try_element_at(table, token), F.try_element_at(table, short), short)
+    def alias(word: Column) -> Column:
+        return F.when(word.isin(*ALIASES), F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), word))
+
+    return F.coalesce(alias(token), F.element_at(F.transform(F.array(strip_suffix(token)), lambda short: F.coalesce(alias(short), short)), 1))
+
+
+def words(text: Column) -> Column:
+    """A text's folded words in order, before suffixes and aliases; null gives none."""
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def tokens(text: Column) -> Column:
     """Searchable tokens of a text, in order; null gives none."""
-    words = F.filter(F.split(fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    return F.transform(words, canonical)
+    return F.transform(words(text), canonical)
+
+
+def forms(term: str) -> list[str]:
+    """All words that can have this token: the term and its aliases, each also with a suffix."""
+    stems = [term, *(a for a, to in ALIASES.items() if to == term)]
+    return [stem + suffix for stem in stems for suffix in ("", *SUFFIXES)]
 
 
 def collapse_space(text: Column) -> Column:
@@ -100,23 +115,22 @@ def title_from_filename(path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"\.[^.]*$", "")
     words = F.filter(F.split(stem, r"[_\- ]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$") & ~F.lower(w).isin("download", "ebook", "pdf", "epub", "final"))
     joined = F.array_join(words, " ")
-    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 20))
+    return F.concat(F.upper(F.left(joined, F.lit(1))), F.substring(joined, F.lit(2), F.length(joined)))
 
 
 def module_code(title: Column) -> Column:
     """Capitalised words, ASCII letters and digits only, 16 characters; ``Document`` if nothing is left."""
-    words = F.transform(F.split(title, r"(?U)[^\p{L}\p{N}]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
+    words = F.transform(F.split(title, r"(?U)[^\p{L}\p{N}]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
     plain = F.regexp_replace(F.translate(F.array_join(words, ""), "äöüÄÖÜß", "aouAOUs"), "[^A-Za-z0-9]", "")
     return F.coalesce(F.nullif(F.left(plain, F.lit(16)), F.lit("")), F.lit("Document"))
 
 
 def marker_label(index: Column) -> Column:
-    """Bijective base 26 of an index from 0: a..z, aa, ab.. for up to four letters (475,254 marks)."""
-    n, out = index + 1, F.lit("")
-    for _ in range(4):
-        out = F.when(n > 0, F.concat(F.char((F.pmod(n - 1, F.lit(26)) + 97).cast("int")), out)).otherwise(out)
-        n = F.floor((n - 1) / 26)
-    return out
+    """Bijective base 26 of an index from 0: a..z, aa, ab.., for any long (14 letters)."""
+    letter = lambda n: F.char((F.pmod(n - 1, F.lit(26)) + 97).cast("int"))
+    start = F.struct((index + 1).cast("long").alias("n"), F.lit("").alias("out"))
+    step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).cast("long").alias("n"), F.concat(letter(a["n"]), a["out"]).alias("out"))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"])
 
 
 def xml_escape(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Lexical search: Okapi BM25 over folded tokens, and ranked dictionary search.
 
-A query touches only its own terms, so scores come from one pass over the documents: each row counts the query's terms in its
-token array, and the corpus statistics (count, average length, document frequencies) are one global aggregate of a
-single row. Nothing is exploded or shuffled by term. The index tables are there for inspection and for many queries.
+A query touches only its own terms, so the texts are folded and cut into words once, and only words that can have a query
+term as their token are looked at further. What comes out, a row of counts per document, goes to a table of its own, from which
+both the corpus statistics (count, average length, document frequencies; one row) and the scores are read. Nothing is
+exploded or shuffled by term. The index tables are there for inspection and for many queries.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, tokens
+from ..functions.text import canonical, fold, forms, tokens, words
+from ..session import cut
 
 K1, B = 1.5, 0.75
 
@@ -20,18 +22,35 @@ def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
 
 
+def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, len: a token for each word."""
+    return docs.select(F.col(key), F.size(words(F.col(text))).cast("long").alias("len"))
+
+
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return tokenized(docs, key, text).select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Words are counted as they are, so suffixes and aliases are worked out once for each different word of a document."""
+    each = docs.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return each.select(key, canonical(F.col("word")).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("tf"))
+
+
+def _distinct(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_distinct(words(text)), canonical))
 
 
 def document_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct terms are found inside each row, so only (term, 1) is shuffled, combined on the map side."""
-    return tokenized(docs, key, text).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode(_distinct(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def index_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    totals = tokenized(docs, key, text).agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"), F.coalesce(F.sum(F.size(F.array_distinct("tokens"))), F.lit(0)).alias("n_postings"))
-    return totals.crossJoin(document_frequencies(docs, key, text).agg(F.count("*").alias("n_terms")))  # one row beside one row
+    """One pass: each document's first row carries its length, and documents without terms have the null term."""
+    read = docs.select(F.transform(F.array(words(F.col(text))), lambda w: F.struct(F.size(w).cast("long").alias("len"), F.array_distinct(F.transform(F.array_distinct(w), canonical)).alias("terms"))).alias("_d"))
+    rows = read.select(F.explode("_d").alias("d")).select("d.len", F.posexplode_outer("d.terms").alias("pos", "term"))
+    head = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    terms = rows.groupBy("term").agg(F.count("*").alias("n"), F.count_if(head).alias("docs"), F.sum(F.when(head, F.col("len")).otherwise(0)).alias("len"))
+    known = F.col("term").isNotNull()
+    total = F.coalesce(F.sum("docs"), F.lit(0))
+    return terms.agg(total.alias("n_docs"), F.coalesce(F.try_divide(F.sum("len"), total), F.lit(0.0)).alias("avg_len"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("n_postings"), F.count("term").alias("n_terms"))
 
 
 def query_terms(docs: DataFrame, query: str) -> list[str]:
@@ -44,8 +63,11 @@ def scores(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key and score of every row; terms count as often as the query has them, in the query's order."""
     terms = query_terms(docs, query)
     distinct = list(dict.fromkeys(terms))
-    count = lambda t: F.size(F.filter("tokens", lambda x: x == F.lit(t))).cast("double")
-    base = tokenized(docs, key, text).select(key, "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(distinct)])
+    wanted = sorted({w for t in distinct for w in forms(t)}) or [""]
+    known = lambda w: F.struct(F.size(w).cast("long").alias("len"), F.transform(F.filter(w, lambda x: x.isin(*wanted)), canonical).alias("hits"))
+    read = docs.select(F.col(key), F.explode(F.transform(F.array(words(F.col(text))), known)).alias("_d"))
+    count = lambda t: F.size(F.filter("_d.hits", lambda x: x == F.lit(t))).cast("double")
+    base = cut(read.select(key, F.col("_d.len").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(distinct)]))
     stats = base.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(distinct))])
     mean = F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0)
 
@@ -85,4 +107,4 @@ def dictionary_search(entries: DataFrame, query: str, limit: int, strip_g: bool
     return ranked.orderBy("rank", F.desc("matches"), "sort").limit(limit).drop("_tokens")
 
 
-__all__ = ["dictionary_search", "document_frequencies", "fold", "index_stats", "scores", "term_frequencies", "tokenized", "top_hits"]
+__all__ = ["dictionary_search", "document_frequencies", "fold", "index_stats", "lengths", "scores", "term_frequencies", "tokenized", "top_hits"]

@@ -10,8 +10,7 @@ from ..operators import layout, search
 from ..schema import canon
 from .registry import query
 
-# Names beyond the built-in table that the samples use.
-NAMES = refs.Names({"John": 42, "1. Korinther": 45, "1 Kor": 45, "2Kor": 46, "Matthäus": 39, "1. Mose": 0, "Röm": 44, "1Kor": 45})
+NAMES = refs.built_in()
 
 
 def _values(rows: list[tuple], columns: str) -> str:
@@ -26,13 +25,16 @@ TOKENS = [
     ("Bäume", "baum"), ("Jahwe liebt Geduld", "herr lieb langmutig"), ("ist", "ist"), ("daß", "da"), ("Himmel—Erde", "himmelerd"), ("a–b", "ab"), ("½", "12"),
     ("ﬁnden", "find"), ("it’s", "its"), ("™", "tm"), ("", ""),
 ]
+# The ranked search's texts.
 PSALM = ["Und die Schlange war listiger denn alle Tiere auf dem Felde.", "Der HERR ist mein Hirte, mir wird nichts mangeln.", "Ich bin der gute Hirte und kenne die Meinen.", "Am Anfang schuf Gott Himmel und Erde."]
+# Strings, and what they parse to.
 PARSED = [
     ("Joh 3,16", "John.3.16", None), ("John 3:16", "John.3.16", None), ("John.3.16", "John.3.16", None), ("1 Kor 13:4-7", "1Cor.13.4-1Cor.13.7", None),
     ("1. Korinther 13,4-7", "1Cor.13.4-1Cor.13.7", None), ("Ps 23", "Ps.23", None), ("Matthäus 5,3", "Matt.5.3", None), ("Matthaeus 5,3", "Matt.5.3", None),
     ("JOH 3,16", "John.3.16", None), ("Joh 3,16–18", "John.3.16-John.3.18", None), ("Foo 3,16", None, "UnknownBook"), ("", None, "Empty"), ("   ", None, "Empty"),
     ("Joh", None, "MissingChapter"), ("Joh 3,16xyz", None, "Trailing"), ("Joh 3,16-9", None, "InvalidRange"), ("Joh 0,16", None, "InvalidNumber"), ("Joh 3,0", None, "InvalidNumber"),
 ]
+# Prose with a book at hand, and the references in it.
 SCANNED = [
     ("vgl. 1. Mose 49,25 und Joh 3,16-18.", "Gen", None, "1Mo 49,25; Joh 3,16-18"),
     ("so auch [Kap. 7,11]; vgl. Kap. 19", "Gen", None, "1Mo 7,11; 1Mo 19"),
@@ -44,7 +46,9 @@ SCANNED = [
     ("er nicht tun will (V. 15-16), während er das Gute (V. 19) nicht tut; in Kapitel 2 und Vv. 3–5 wie in Gal 2,17-21 und V. 12f.", "Rom", 7, "Rö 7,15-16; Rö 7,19; Rö 2; Rö 7,3-5; Gal 2,17-21; Rö 7,12"),
     ("siehe V. 15", "Rom", None, ""), ("Kol 2; 2Kor 11,1-4.13-15", None, None, "Kol 2; 2Ko 11,1-15"), ("Hi 38,8-11; Ps 104,5.14-17", None, None, "Hi 38,8-11; Ps 104,5-17"), ("Joh 3,16. Denn", None, None, "Joh 3,16"),
 ]
+# A paragraph's items and its lines.
 BROKEN = [("7 11 5 9 13 6 8 10 4 12 9 7 11 5 8", 34, "5 11 17 23 31")]
+# File names, titles and codes.
 TITLES = [("256386_kommentar-zum-roemerbrief_download.pdf", "Kommentar zum roemerbrief", "KommentarZumRoem"), ("a/b/Die_Psalmen-final.epub", "Die Psalmen", "DiePsalmen"), ("2024.pdf", "", "Document")]
 
 

@@ -63,7 +63,7 @@ def doc_freq(spark, d):
 
 @query(f"WITH {_tokens_sql()}, {_LENGTHS} SELECT doc_id, CAST(len AS BIGINT) AS len FROM len")
 def doc_lengths(spark, d):
-    return search.tokenized(_docs(spark, d), "doc_id", "text").select("doc_id", "len")
+    return search.lengths(_docs(spark, d), "doc_id", "text")
 
 
 # Dictionary
