@@ -116,9 +116,16 @@ def overview(marks: DataFrame, canon: DataFrame) -> DataFrame:
 
 
 def covered(marks: DataFrame, runs: DataFrame, origin: str) -> DataFrame:
-    """Runs of text that a mark covers: by byte range in the module it was made in, whole verses elsewhere."""
-    inside = (F.col("start") < F.col("end_offset")) & (F.col("start_offset") < F.col("end"))
-    return marks.join(runs, (marks.verse_start <= runs.verse) & (runs.verse <= marks.verse_end) & (marks.chapter == runs.chapter)).filter((F.col("module") != F.col(origin)) | inside)
+    """Runs of text that a mark covers, of the same book and chapter.
+
+    In the module that a mark was made in, its byte offsets bound its first and its last verse; the verses between, and all
+    verses of other modules, are covered whole.
+    """
+    on = (marks.book == runs.book) & (marks.chapter == runs.chapter) & runs.verse.between(marks.verse_start, marks.verse_end)
+    before = (runs.verse == marks.verse_start) & (runs.end <= marks.start_offset)
+    after = (runs.verse == marks.verse_end) & (runs.start >= marks.end_offset)
+    joined = marks.join(runs, on & ((F.col("module") != F.col(origin)) | ~(before | after)))
+    return joined.drop(runs.book, runs.chapter)
 
 
 def note_view(notes: DataFrame, verses: DataFrame, on: list[str]) -> DataFrame:

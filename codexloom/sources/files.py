@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -9,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable
 
+#: What parsers of broken files raise; a bad file is a row with its error, not the end of the job.
+REFUSALS = (ValueError, LookupError, OSError, EOFError, RuntimeError, StopIteration, NotImplementedError, struct.error, zlib.error, zipfile.BadZipFile)
+
 Parser = Callable[[bytes], Iterable[dict]]
 
 
@@ -23,7 +29,7 @@ def read_files(spark: SparkSession, path: str, parser: Parser, schema: str) -> D
             for place, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     rows, error = list(parser(bytes(content))), None
-                except (ValueError, KeyError, IndexError, OSError) as e:
+                except REFUSALS as e:
                     rows, error = [], f"{type(e).__name__}: {e}"
                 out = [{"path": place, **r} for r in rows] if error is None else [{"path": place, "error": error}]
                 yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)

@@ -87,7 +87,8 @@ def test_library_views(spark):
     assert [r["key"] for r in library.overview(marks, canon(spark)).collect()] == ["m2", "m1", "m5"]
     spine = spark.createDataFrame([(0, c) for c in range(1, 8)], "book int, chapter int")
     assert [r["row"] for r in library.selector_rows(spine, 3).orderBy("chapter").collect()] == [0, 0, 0, 1, 1, 1, 2]
-    m = spark.createDataFrame([("k", "A", 1, 1, 2, 2, 5)], "key string, origin string, chapter int, verse_start int, verse_end int, start_offset int, end_offset int")
-    runs = spark.createDataFrame([("A", 1, 1, 0, 2), ("A", 1, 1, 3, 4), ("B", 1, 2, 0, 2), ("B", 1, 3, 0, 9)], "module string, chapter int, verse int, start int, end int")
-    hit = library.covered(m, runs.withColumnRenamed("chapter", "chapter"), "origin")
-    assert sorted((r["module"], r["verse"], r["start"]) for r in hit.collect()) == [("A", 1, 3), ("B", 2, 0)]
+    m = spark.createDataFrame([("k", "A", 0, 1, 1, 3, 2, 5)], "key string, origin string, book int, chapter int, verse_start int, verse_end int, start_offset int, end_offset int")
+    rows = [("A", 0, 1, 1, 0, 2), ("A", 0, 1, 1, 3, 4), ("A", 0, 1, 2, 0, 2), ("A", 0, 1, 2, 8, 9), ("A", 0, 1, 3, 4, 7), ("A", 0, 1, 3, 5, 7), ("A", 1, 1, 2, 0, 2), ("A", 0, 2, 2, 0, 2), ("B", 0, 1, 2, 0, 2), ("B", 0, 1, 1, 0, 2), ("B", 0, 1, 4, 0, 9)]
+    runs = spark.createDataFrame(rows, "module string, book int, chapter int, verse int, start int, end int")
+    hit = library.covered(m, runs, "origin")
+    assert sorted((r["module"], r["book"], r["verse"], r["start"]) for r in hit.collect()) == [("A", 0, 1, 3), ("A", 0, 2, 0), ("A", 0, 2, 8), ("A", 0, 3, 4), ("B", 0, 1, 0), ("B", 0, 2, 0)]

@@ -90,3 +90,41 @@ def test_text_helpers(spark):
         tx.display_key(F.lit("00026"), F.lit(26)).alias("e"), tx.xml_escape(F.lit('<a & "b">')).alias("f"), tx.has_word(F.lit("Im Anfang, das Wort"), F.lit("wort")).alias("g"),
     ).first()
     assert list(row) == ["a b", "1koenige", "Wort", None, "G26", "&lt;a &amp; &quot;b&quot;&gt;", True]
+
+
+def test_fold_is_the_whole_decomposition(spark):
+    import unicodedata
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128).lower()
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000)] if unicodedata.normalize("NFKD", chr(c)) != chr(c) or c < 128]
+    texts = ["x" + "".join(chars[i : i + 50]) for i in range(0, len(chars), 50)] + ["𝐀𝐁𝐂 ⑩ ㎏ ⒜ ㏒", "Plain ASCII", "Größe … ½"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.fold(F.col("t")).alias("f")).collect()
+    assert [(r["t"], r["f"]) for r in rows if r["f"] != plain(r["t"])] == []
+
+
+def test_marker_labels_of_any_index(spark):
+    def label(i):
+        out, n = "", i + 1
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out
+
+    at = [0, 25, 26, 701, 702, 475253, 475254, 12356629, 10**12]
+    got = spark.createDataFrame([(i,) for i in at], "i long").select(tx.marker_label(F.col("i")).alias("m")).collect()
+    assert [r["m"] for r in got] == [label(i) for i in at]
+
+
+def test_forms_are_all_words_of_a_token(spark):
+    words = sorted({w for t in tx.ALIASES.values() for w in tx.forms(t)} | set(tx.ALIASES) | {"hirtern", "lasten", "ab", "kiste"})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", tx.canonical(F.col("w")).alias("t")).collect()
+    assert all(r["w"] in tx.forms(r["t"]) for r in rows)
+
+
+def test_built_in_names():
+    names = refs.built_in()
+    cases = {"Genesis 1:1": "Gen.1.1", "Psalm 23": "Ps.23", "Matthäus 5,3": "Matt.5.3", "Römer 8,1": "Rom.8.1", "1. Mose 3,1": "Gen.3.1", "Offenbarung 1,1": "Rev.1.1", "1 Kor 13,4": "1Cor.13.4", "Song of Solomon 2:1": "Song.2.1"}
+    assert {t: refs.parse(t, names)[0] for t in cases} == cases
+    assert len(names.at) == 294 and set(names.at.values()) == set(range(66))
+    found = [f.osis() for f in refs.scan("See Song of Solomon 2:1-3.5, then 4,2; 1. Joh 3,1b and Kap. 2", names)]
+    assert found == ["Song.2.1-Song.2.5", "Song.4.2", "Song.2"]
