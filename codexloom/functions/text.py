@@ -33,7 +33,8 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 _ONE, _TO, _MANY = _folds()
-_WIDE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY) + "]"
+#: One of them. What Latin texts are made of is ruled out by a class of three ranges before the long class is tried.
+_WIDE = r"(?=[^\x00-\xbb\xbf-\x{131}])[" + "".join(f"\\x{{{ord(c):x}}}" for c in _MANY if ord(c) > 0x131) + r"]|[\xbc-\xbe]"
 
 
 def fold(text: Column) -> Column:
@@ -55,11 +56,18 @@ def strip_suffix(token: Column) -> Column:
     return out
 
 
-def canonical(token: Column) -> Column:
-    def alias(word: Column) -> Column:
-        return F.when(word.isin(*ALIASES), F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), word))
+def _stripped(word: str) -> str:
+    return next((word[: -len(x)] for x in SUFFIXES if word.endswith(x) and len(word) >= len(x) + 4), word)
+
+
+#: All words that have an alias, as they are or without their suffix.
+_ALIASED = {w: ALIASES.get(w) or ALIASES[_stripped(w)] for a in ALIASES for x in ("", *SUFFIXES) for w in [a + x] if w in ALIASES or _stripped(w) in ALIASES}
 
-    return F.coalesce(alias(token), F.element_at(F.transform(F.array(strip_suffix(token)), lambda short: F.coalesce(alias(short), short)), 1))
+
+def canonical(token: Column) -> Column:
+    """A token's alias, or that of the token without its suffix, or the token without its suffix."""
+    table = F.create_map(*[F.lit(x) for pair in _ALIASED.items() for x in pair])
+    return F.when(token.isin(*_ALIASED), F.try_element_at(table, token)).otherwise(strip_suffix(token))
 
 
 def words(text: Column) -> Column:
