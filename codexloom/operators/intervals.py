@@ -23,8 +23,9 @@ def next_at_or_after(left: DataFrame, right: DataFrame, on: list[str], l_at: str
     tagged = left.withColumn("_at", F.col(l_at)).withColumn("_right", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(0))
     other = right.select(*on, F.col(r_at).alias("_at"), F.col(value).alias("_right"), F.lit(1).alias("_side"))
     both = tagged.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_at", "_side", "_right").rowsBetween(0, Window.unboundedFollowing)
-    best = F.first(F.when(F.col("_side") == 1, F.struct("_at", "_right")), ignorenulls=True).over(w)
+    # From the far end, so that the frame only grows and each row costs one step.
+    w = Window.partitionBy(*on).orderBy(F.desc("_at"), F.desc("_side"), F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    best = F.last(F.when(F.col("_side") == 1, F.struct("_at", "_right")), ignorenulls=True).over(w)
     return both.withColumn("_found", best).filter("_side = 0").select(*left.columns, F.col("_found._right").alias(value), F.col("_found._at").alias(r_at))
 
 

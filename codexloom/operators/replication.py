@@ -58,3 +58,40 @@ def clock_ticks(events: DataFrame, device: str, now: str) -> DataFrame:
     w = Window.partitionBy(device).orderBy("seq")
     high = events.withColumn("millis", F.max(now).over(w))
     return high.withColumn("counter", (F.row_number().over(Window.partitionBy(device, "millis").orderBy("seq")) - 1).cast("long"))
+
+
+def latest(ops: DataFrame) -> DataFrame:
+    """The greatest stamp seen, as one row; null stamps where there is none."""
+    return ops.agg(F.max(F.struct("millis", "counter")).alias("s")).select("s.millis", "s.counter")
+
+
+def received(clock: Column, seen: Column) -> Column:
+    """A clock (millis, counter) after it has seen a stamp."""
+    return F.greatest(clock, seen)
+
+
+def ticked(clock: Column, now: Column) -> Column:
+    """A clock's next stamp: the time if that is later, else one count on."""
+    kind = "struct<millis: bigint, counter: bigint>"
+    on = F.struct(clock["millis"].alias("millis"), (clock["counter"] + 1).alias("counter")).cast(kind)
+    return F.when(clock.isNull() | (now > clock["millis"]), F.struct(now.alias("millis"), F.lit(0).alias("counter")).cast(kind)).otherwise(on)
+
+
+def written(state: DataFrame, puts: DataFrame, device: str, clock: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Values (seq, key, value, now) set on a device: the state after them, and the log lines to append.
+
+    Stamps count on from the clock, which is the greatest stamp of the state unless it is given.
+    """
+    millis, counter = clock if clock is not None else latest(state).first() or (None, None)
+    base = F.lit(-1 if millis is None else millis)
+    w = Window.partitionBy("_device").orderBy("seq")
+    high = puts.withColumn("_device", F.lit(device)).withColumn("millis", F.greatest(F.max("now").over(w), base).cast("long"))
+    same = F.row_number().over(Window.partitionBy("_device", "millis").orderBy("seq")) - 1
+    ops = high.withColumn("counter", (same + F.when(F.col("millis") == base, F.lit((counter or 0) + 1)).otherwise(0)).cast("long"))
+    ops = ops.select("key", "value", "millis", "counter", F.lit(device).alias("device"))
+    return applied(state, ops), ops.select(F.col("key").alias("k"), F.col("value").alias("v"), F.array("millis", "counter").alias("t"), F.col("device").alias("d"))
+
+
+def needs_compaction(log: DataFrame, device: str, most: int = 200) -> bool:
+    """Whether a device's own log has more lines than ``most``."""
+    return log.filter(F.col("device") == device).limit(most + 1).count() > most

@@ -25,6 +25,43 @@ def delete_module(spark: SparkSession, path: str, code: str) -> DataFrame:
     return rows.filter(F.col("code") != code)
 
 
+def delete_module_whole(spark: SparkSession, paths: dict[str, str], titles: DataFrame, code: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables (name to folder) without a module, and the titles without its override. ``module`` must know the code."""
+    left = {"module": delete_module(spark, paths["module"], code)}
+    left |= {name: spark.read.parquet(path).filter(F.col("code") != code) for name, path in paths.items() if name != "module"}
+    return left, titles.filter(F.col("code") != code)
+
+
+def commentary_rows(entries: DataFrame) -> DataFrame:
+    """Entries of a packaged commentary: the last one of a verse stays."""
+    return last_wins(entries, ["code", "book", "chapter", "verse_start"], "pos").drop("pos")
+
+
+def dictionary_rows(entries: DataFrame) -> DataFrame:
+    """Entries of a dictionary or devotional: the last one of a sort number stays."""
+    return last_wins(entries, ["code", "sort"], "pos").drop("pos")
+
+
+def book_rows(sections: DataFrame) -> DataFrame:
+    """Sections of a book: the last one of an ordinal stays."""
+    return last_wins(sections, ["code", "ordinal"], "pos").drop("pos")
+
+
+def without_plan(plans: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """The plans without one, and whether it was there."""
+    return plans.filter(F.col("name") != name), not plans.filter(F.col("name") == name).isEmpty()
+
+
+def exported_labels(kv: DataFrame, prefix: str = "label/") -> DataFrame:
+    """The values below a prefix that are not empty, in key order, for a text file of JSON lines."""
+    return kv.filter(F.startswith("key", F.lit(prefix)) & (F.col("value") != "")).orderBy("key").select("value")
+
+
+def plain_text(verses: DataFrame) -> DataFrame:
+    """A line ``book chapter:verse text`` per verse, in canon order, for a text file."""
+    return verses.orderBy("book", "chapter", "verse").select(F.concat_ws(" ", F.col("osis"), F.concat_ws(":", F.col("chapter").cast("string"), F.col("verse").cast("string")), "text").alias("value"))
+
+
 def renamed(titles: DataFrame, code: str, title: str) -> DataFrame:
     """Overriding titles with one set, or taken away by an empty title."""
     rest = titles.filter(F.col("code") != code)

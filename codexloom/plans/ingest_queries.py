@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import blocks, osis, plans
 from ..streaming import replication as stream
 from .library_queries import _FOLD, _OPS, ops_of
@@ -45,10 +46,8 @@ def plan_validation(spark, d):
 
 @query(f"WITH {_OPS} SELECT key, value, s[1] AS millis, s[2] AS counter, s[3] AS device FROM ({_FOLD.format('ops')})")
 def lww_stream(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/codexloom-checkpoints"
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     lines = ops_of(spark, d).select(F.col("key").alias("k"), F.col("value").alias("v"), F.array("millis", "counter").alias("t"), F.col("device").alias("d"))
     lines.write.json(f"{place}/log")
-    name = f"lww_{uuid.uuid4().hex}"
-    stream.run_available(stream.folded(stream.read_log(spark, f"{place}/log")), name, f"{place}/state")
-    return spark.table(name)
+    stream.run_available(stream.folded(stream.read_log(spark, f"{place}/log")), f"{place}/table", f"{place}/state")
+    return stream.state_of(spark, f"{place}/table")

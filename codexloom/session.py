@@ -21,14 +21,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder that ``spark.checkpoint.dir`` names, and go on from there.
-
-    Where it is unset, a local session gets a temporary folder; a cluster is asked to name one.
-    """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local session gets a temporary one; a cluster is asked to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.getCheckpointDir():
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codexloom-checkpoints"))
+    return named or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder, and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
