@@ -58,24 +58,27 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
 
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each range of bytes, chained over loads of eight bytes; one to one for ranges of up to seven bytes."""
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits of each range of bytes, chained over loads of eight bytes; one to one for ranges of up to seven bytes.
+
+    Each salt gives hashes of their own: words that share one under a salt do so under another by chance only.
+    """
     eights, size = _eights(raw), ends - starts
     head = np.minimum(size, 8)
     # Of eight or more bytes only seven go in first, so that the length has a byte of its own.
-    out = mix((eights[starts] & _FIRST[np.minimum(head, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56)))
+    out = mix((eights[starts] & _FIRST[np.minimum(head, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56)) ^ np.uint64(salt))
     at = np.flatnonzero(size > 7)
     long = at[size[at] > LONG_WORD]
     at, done = at[size[at] <= LONG_WORD], 7
     while len(at):
         here = eights[starts[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
-        out[at] = mix((out[at] + _LENGTH) ^ here * _ONE)
+        out[at] = mix((out[at] + _LENGTH) ^ (here + np.uint64(salt)) * _ONE)
         done += 8
         at = at[size[at] > done]
     at = np.flatnonzero(size >= 255)
     out[at] = mix(out[at] + size[at].astype(np.uint64) * _LENGTH)
     for i in long:
-        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -157,10 +160,11 @@ class Words:
             pass
         return _pair(x[:n], x[k - span : k - span + n])
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def ranges(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of words [start, end), none of them empty."""
         size, out = ends - starts, np.empty(len(starts), np.uint64)
-        for span, x in _doubled(self.hashes, int(size.max(initial=1))):
+        words = _word_hashes(self.raw, self.starts, self.ends, salt) if salt else self.hashes
+        for span, x in _doubled(words, int(size.max(initial=1))):
             at = np.flatnonzero((size >= span) & (size < 2 * span))
             out[at] = _pair(x[starts[at]], x[ends[at] - span] + size[at].astype(np.uint64) * _LENGTH)
         return out

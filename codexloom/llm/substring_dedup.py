@@ -5,16 +5,19 @@ consecutive windows of a document with the same minimiser (the least-hashed 16-w
 form one path row, binned by that minimiser, so equal windows of any two documents always share a bin.
 
 1. A bin that only one document touches cannot hold a repeat and goes (aggregation, then join).
-2. A bin whose paths all carry one label is nonbranching: the join that brings the bin's first document to
+2. A bin whose paths all carry one label is nonbranching: the join that brings the bin's first path to
    each path settles the whole path at once.
-3. In branching bins, equal labels compact onto their first document by a second join; only the first
-   document of each label is opened into single edges, which a third join compares by (bin, edge) hash, 128 bits.
-4. The surviving spans are source coordinates (document, first word, end word). They go back to the text,
-   where each span's words are removed.
+3. In branching bins, equal labels compact onto their first path by a second join; only the first
+   path of each label is opened into single edges, which a third join compares by (bin, edge). A repeated word's equal
+   edges in a row are one row with their number.
+4. The surviving spans carry their source's coordinates (document, first word). A span's words are equal to the source's
+   under two hashes of independent salts, each made from the words at those coordinates, 128 bits; the words
+   themselves do not travel. Spans go back to the text, where their words are removed.
 
 Defined results: null text has no words; null doc_id rows are returned unchanged and are no source for
 others; rows that share a doc_id are never each other's source, and are told apart by their text's hash;
-texts of fewer than k words have no window; an empty table gives an empty result; other columns are ignored.
+texts of fewer than k words have no window; an empty table gives an empty result; a kept column that carries the name
+of a result is replaced by it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, cut, documents_in, signed
 
-K, MINIMISER = 50, 16
+K, MINIMISER, SALT = 50, 16, 0x6A09E667F3BCC909
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -42,11 +45,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paths(words: Words, k: int, m: int) -> dict[str, np.ndarray]:
-    """Maximal runs of windows with one minimiser: document, first window (in the step), count, bin and label."""
+    """Maximal runs of windows with one minimiser: document, first window (in the step), count, bin, label and its check."""
     n = len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < k:
-        return {"doc": none, "at": none, "n": none, "bin": none.astype(np.uint64), "label": none.astype(np.uint64)}
+        return {"doc": none, "at": none, "n": none, "bin": none.astype(np.uint64), "label": none.astype(np.uint64), "check": none.astype(np.uint64)}
     grams = words.windows(m)
     place = np.arange(len(grams), dtype=np.uint64)
     least = _sliding_min((grams & ~_LOW) | (place & _LOW), k - m + 1)  # ties: the leftmost
@@ -56,13 +59,13 @@ def paths(words: Words, k: int, m: int) -> dict[str, np.ndarray]:
     inside = owner[: n - k + 1] == owner[k - 1 :]
     start, anchor = start[inside], anchor[inside]
     if not len(start):
-        return {"doc": none, "at": none, "n": none, "bin": none.astype(np.uint64), "label": none.astype(np.uint64)}
+        return {"doc": none, "at": none, "n": none, "bin": none.astype(np.uint64), "label": none.astype(np.uint64), "check": none.astype(np.uint64)}
     least = grams[anchor]  # by value: a repeated word's windows are one path, though each has an anchor of its own
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)))
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     at = start[first]
-    return {"doc": owner[at], "at": at, "n": count, "bin": least[first], "label": words.ranges(at, at + count + k - 1)}
+    return {"doc": owner[at], "at": at, "n": count, "bin": least[first], "label": words.ranges(at, at + count + k - 1), "check": words.ranges(at, at + count + k - 1, SALT)}
 
 
 def _path_rows(k: int, m: int):
@@ -73,8 +76,8 @@ def _path_rows(k: int, m: int):
             p = paths(words, k, m)
             doc = p["doc"] + part.start
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(p["bin"]), signed(p["label"]), ids[doc], marks[doc], (p["at"] - words.first[p["doc"]]).astype(np.int32), p["n"].astype(np.int32))],
-                names=["bin", "label", "doc_id", "_t", "at", "n"],
+                [pa.array(x) for x in (signed(p["bin"]), signed(p["label"]), signed(p["check"]), ids[doc], marks[doc], (p["at"] - words.first[p["doc"]]).astype(np.int32), p["n"].astype(np.int32))],
+                names=["bin", "label", "check", "doc_id", "_t", "at", "n"],
             )
 
     return rows
@@ -95,10 +98,16 @@ def _edge_rows(k: int, m: int):
             probe = np.isin(p["at"][pick], at[later[here] == 1])
             count = p["n"][pick]
             start = np.repeat(p["at"][pick] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            doc = np.repeat(p["doc"][pick], count)
+            doc, probe, bins = np.repeat(p["doc"][pick], count), np.repeat(probe, count), np.repeat(p["bin"][pick], count)
+            edge, check = words.ranges(start, start + k), words.ranges(start, start + k, SALT)
+            new = np.ones(len(start), bool)
+            if len(start):
+                new[1:] = (edge[1:] != edge[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (probe[1:] != probe[:-1]) | (bins[1:] != bins[:-1])
+            one = np.flatnonzero(new)
+            run = np.diff(np.append(one, len(start)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(np.repeat(p["bin"][pick], count)), signed(words.ranges(start, start + k)), ids[doc + part.start], marks[doc + part.start], (start - words.first[doc]).astype(np.int32), np.repeat(probe, count))],
-                names=["bin", "edge", "doc_id", "_t", "at", "probe"],
+                [pa.array(x) for x in (signed(bins[one]), signed(edge[one]), signed(check[one]), ids[doc[one] + part.start], marks[doc[one] + part.start], (start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one])],
+                names=["bin", "edge", "check", "doc_id", "_t", "at", "n", "probe"],
             )
 
     return rows
@@ -107,26 +116,29 @@ def _edge_rows(k: int, m: int):
 def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame:
     """Word ranges [start, end) of documents whose k-word windows all start in documents of smaller doc_id.
 
-    ``docs`` has doc_id, text and _t (the text's hash). Ranges may overlap.
+    ``docs`` has doc_id, text and _t (the text's hash). Ranges may overlap. ``source`` and ``source_start`` say where a
+    range's words are first; a repeated word's range has the place of one window there.
     """
-    seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, doc_id long, _t int, at int, n int")
-    bins = seen.groupBy("bin").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") != F.max("label")).alias("branching"))
-    shared = cut(seen.join(bins.filter("lo < hi").select("bin", "lo", "branching"), "bin"))
-    whole = ["doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(k - 1)).alias("end")]
-    straight = shared.filter("not branching and doc_id > lo").select(*whole)
+    seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t int, at int, n int")
+    first = F.min(F.struct("doc_id", "_t", "at"))
+    branching = (F.min("label") != F.max("label")) | (F.min("check") != F.max("check"))
+    bins = seen.groupBy("bin").agg(first.alias("lo"), F.max("doc_id").alias("hi"), branching.alias("branching"))
+    shared = cut(seen.join(bins.filter("lo.doc_id < hi").select("bin", "lo", "branching"), "bin"))
+    found = lambda own: ["doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(k - 1)).alias("end"), F.col(f"{own}.doc_id").alias("source"), F.col(f"{own}.at").alias("source_start")]
+    straight = shared.filter("not branching and doc_id > lo.doc_id").select(*found("lo"))
     forks = shared.filter("branching")
-    labels = forks.groupBy("bin", "label").agg(F.min("doc_id").alias("own"))
-    owned = cut(forks.join(labels, ["bin", "label"]))
-    compacted = owned.filter("doc_id > own").select(*whole)
-    opened = owned.filter("doc_id = own").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
-    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "bin long, edge long, doc_id long, _t int, at int, probe boolean")
-    firsts = edges.groupBy("bin", "edge").agg(F.min("doc_id").alias("own"))
+    labels = forks.groupBy("bin", "label", "check").agg(first.alias("own"))
+    owned = cut(forks.join(labels, ["bin", "label", "check"]))
+    compacted = owned.filter("doc_id > own.doc_id").select(*found("own"))
+    opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo.doc_id)")).alias("opened"))
+    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "bin long, edge long, check long, doc_id long, _t int, at int, n int, probe boolean")
+    firsts = edges.groupBy("bin", "edge", "check").agg(first.alias("own"))
     # A bin's first document has nothing to look for in it.
-    single = edges.filter("probe").join(firsts, ["bin", "edge"]).filter("doc_id > own").select("doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.lit(k)).alias("end"))
+    single = edges.filter("probe").join(firsts, ["bin", "edge", "check"]).filter("doc_id > own.doc_id").select(*found("own"))
     return straight.unionByName(compacted).unionByName(single)
 
 
-_ADDED = ("kept_text", "n_words", "n_removed", "spans")
+_ADDED = ("kept_text", "n_words", "n_removed", "spans", "sources")
 
 
 def _cut_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -164,17 +176,17 @@ def _cut_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             step = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=[*own_columns, *_ADDED])
+    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), ranges], names=[*own_columns, *_ADDED])
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: int = MINIMISER) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, ``keep``): these, kept_text, n_words, n_removed and the removed word spans.
-
-    Columns in ``keep`` must not carry the name of a result.
-    """
+    """Per row of ``docs`` (doc_id, text, ``keep``): these, kept_text, n_words, n_removed, the removed word spans, and the
+    sources of what was found (start, end, source document and first word there; null where nothing was)."""
     # All columns go into both steps that read texts, so that Spark deals the texts out once for both.
+    keep = tuple(c for c in keep if c not in (*_ADDED, "doc_id", "text", "_t", "ranges"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.hash("text").alias("_t"))
-    ranges = repeated_spans(base, k, m).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = repeated_spans(base, k, m).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "end", "source", "source_start")).alias("ranges"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = arrow_map(base.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, "ranges"), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>")
+    sources = "array<struct<start: int, end: int, source: long, source_start: int>>"
+    out = arrow_map(base.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, F.col("ranges").cast(sources).alias("ranges")), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>, sources {sources}")
     return out.drop("_t")

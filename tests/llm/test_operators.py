@@ -66,6 +66,66 @@ def test_substring_dedup(docs, rows, k, m):
     got = substring_dedup.remove_repeats(docs, k=k, m=m).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == expected
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(WORD.findall(t or ""))
+    for r in got:
+        own = WORD.findall(r["text"] or "")
+        for s in r["sources"] or ():
+            n = s["end"] - s["start"]
+            same = lambda w: w[s["source_start"] : s["source_start"] + n] == own[s["start"] : s["end"]] or len(set(own[s["start"] : s["end"]])) == 1 and w[s["source_start"] : s["source_start"] + k] == own[s["start"] : s["start"] + k]  # noqa: B023, E731
+            assert s["source"] < r["doc_id"] and any(map(same, texts[s["source"]]))
+
+
+def thue_morse():
+    """Two strings that polynomial hashes modulo 2^64 do not tell apart."""
+    return ["".join(pair[bin(i).count("1") % 2] for i in range(2048)) for pair in ("ab", "ba")]
+
+
+def test_strings_that_defeat_polynomial_hashes(spark, tmp_path):
+    from codexloom.llm import ngram_join
+
+    a, b = thue_morse()
+    shared = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{shared} {a}"), (2, f"{shared} {b}"), (3, a), (4, b), (5, " ".join(a)), (6, " ".join(b))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    sequence = {5: list(a), 6: list(b)}
+    windows = {tuple(sequence[5][i : i + 50]) for i in range(2048 - 49)}
+    gone = {j for i in range(2048 - 49) if tuple(sequence[6][i : i + 50]) in windows for j in range(i, i + 50)}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: len(gone)}
+    classes = {r["doc_id"]: r["class_id"] for r in ngram_join.similarity_classes(df.filter("doc_id in (3, 4)")).collect()}
+    assert classes == {3: 3, 4: 4}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_tokenizer())
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in ((3, a), (4, b))}
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(df.filter("doc_id in (3, 4)"), word_tokenizer()).collect()}
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+
+
+def test_texts_longer_than_a_step(spark):
+    """One document of about 2.4 MB, which is a step of its own, in each operator that reads texts in steps."""
+    from codexloom.llm import ngram_join
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(300_000)]
+    rows = [(1, " ".join(words[1000:1200])), (2, " ".join(words)), (3, " ".join(words)), (4, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {1: (200, 0), 2: (300_000, 200), 3: (300_000, 300_000), 4: (2, 0)}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similarity_classes(df).collect()} == {1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (4, 0)}
+    ids = np.array([*Tokenizer.from_file(word_tokenizer()).encode(rows[1][1], add_special_tokens=False).ids, 1], "<u4")
+    pieces = sorted((r["piece"], r["length"], r["ids_crc32"]) for r in packing.pack(df.filter("doc_id = 2"), word_tokenizer()).collect())
+    assert pieces == [(i // 4096, len(ids[i : i + 4096]), zlib.crc32(ids[i : i + 4096].tobytes())) for i in range(0, len(ids), 4096)]
+    model = language_id.LanguageModel(["xx", "yy"], language_id.codewords(2), rng_weights(), 0.2)
+    assert [r["score"] > 0 for r in language_id.predict(df, model).orderBy("doc_id").collect()] == [True] * 4
+    scores = [r["score"] for r in quality_cnn.predict(df, quality_cnn.Net()).orderBy("doc_id").collect()]
+    assert scores[1] == scores[2] and all(0 < x < 1 for x in scores)
+
+
+def rng_weights():
+    return np.random.default_rng(3).standard_normal((language_id.SIZE + 1, 1)).astype(np.float32)
 
 
 def test_outlier_statistics_and_verdicts(docs, rows):
