@@ -221,6 +221,31 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, rows_pe
     return own.join(sums, "_bucket").withColumn(out, F.col("_before") + F.col("_own")).drop("_bucket", "_before", "_own")
 
 
+def following(keys: DataFrame, key: str, out: str, rows_per_bucket: int = 100_000) -> DataFrame:
+    """Adds to different keys the next one in ascending order; the last one's is the first.
+
+    A range partition orders its own keys; only the partitions' first keys, one per ``rows_per_bucket``, are ordered together.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    n = max(1, -(-keys.count() // rows_per_bucket))
+    placed = cut(keys.select(key).repartitionByRange(n, key).withColumn("_bucket", F.spark_partition_id()))
+    order = Window.orderBy("_bucket")
+    heads = placed.groupBy("_bucket").agg(F.min(key).alias("_head"))
+    after = heads.select("_bucket", F.coalesce(F.lead("_head").over(order), F.first("_head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
+    own = placed.withColumn("_next", F.lead(key).over(Window.partitionBy("_bucket").orderBy(key)))
+    return own.join(after, "_bucket").select(key, F.coalesce("_next", "_after").alias(out))
+
+
+def block_width(ids: DataFrame, key: str, rows: int) -> int:
+    """The width of blocks of integer ids that hold about ``rows`` each, if ids lie evenly; any width gives right blocks."""
+    from pyspark.sql import functions as F
+
+    low, high, n = ids.agg(F.min(key), F.max(key), F.count(key)).first()
+    return min(1 << 62, max(1, -(-(high - low + 1) * rows // n))) if n else 1
+
+
 def batched(spark: SparkSession) -> None:
     """Ready a session for Python workers: the package can be imported, and batches are small unless the session has set a size."""
     importable(spark)

@@ -9,7 +9,8 @@ without the rest of the text. The counters, read as signed sums, estimate the co
 Defined results: null text is empty; the empty text's fingerprint is all zeros, and its likeness is 1 to an empty
 text and 0 to others; rows that share a doc_id are ordered by text; rows with null doc_id have no next document, so they
 are edited with nothing and their near_next is against the empty text; a single row is its own next one; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. A counter holds up to 1,048,575 sentences of one text; beyond that it
+carries into its neighbour, which keeps fingerprints equal for equal texts but makes the likeness meaningless.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import block_width, cut, following
+
 DENSE, HASHES, FIELDS = 8, 2, 20
 PACKED = HASHES * FIELDS
 _FIELD, _WORD, _LONG = "1099512676353L", "4294967295L", "1152921504606846975L"  # 1 | 1 << 20 | 1 << 40, 2^32 - 1, 2^60 - 1
@@ -65,23 +68,24 @@ def likeness(one: str, other: str) -> Column:
     return F.expr(f"if({one} = {other}, 1D, least(1D, greatest(0D, coalesce({cosine}, 0D))))")
 
 
-def with_next(docs: DataFrame, block: int = 1024, most: int = 1_000_000) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 256, most: int = 1_000_000) -> DataFrame:
     """Rows (doc_id, text) with the next document's text (ascending doc_id, then text; the last takes the first).
 
-    Rows are dealt by blocks of ids; a block's last row takes the first row of the next block that is not empty. Those
-    first ids are broadcast while there are at most ``most``, and joined by a shuffle beyond that.
+    Rows are dealt by blocks of ids, about ``rows`` in each; a block's last row takes the first row of the next block that
+    is not empty. The first ids that this asks for are broadcast while there are at most ``most``, and joined by a shuffle
+    beyond that. Texts are dealt once; what is ordered across blocks are ids.
     """
-    known = docs.filter("doc_id is not null").withColumn("_block", F.expr(f"doc_id div {block}"))
-    firsts = known.groupBy("_block").agg(F.min("doc_id").alias("_first"))
-    order = Window.orderBy("_block")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("_block", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_id"))
-    ids = after.select("_id").distinct()
-    ids = F.broadcast(ids) if firsts.limit(most + 1).count() <= most else ids
-    beyond = docs.join(ids, docs.doc_id == F.col("_id"), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min("text").alias("_beyond"))
+    ids = docs.filter("doc_id is not null").select("doc_id")
+    width = block_width(ids, "doc_id", rows)
+    block = F.expr(f"doc_id div {width}L").alias("_block")
+    firsts = cut(ids.groupBy(block).agg(F.min("doc_id").alias("_first")))
+    after = cut(following(firsts, "_first", "_id").join(firsts, "_first").select("_block", "_id"))
+    wanted = after.select("_id")
+    wanted = F.broadcast(wanted) if after.count() <= most else wanted
+    beyond = docs.join(wanted, docs.doc_id == F.col("_id"), "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min("text").alias("_beyond"))
     edge = after.join(beyond, "_id").select("_block", "_beyond")
-    inner = Window.partitionBy("_block").orderBy("doc_id", "text")
-    led = known.withColumn("_lead", F.lead(F.struct("text")).over(inner))
+    known = docs.filter("doc_id is not null").select("*", block)
+    led = known.withColumn("_lead", F.lead(F.struct("text")).over(Window.partitionBy("_block").orderBy("doc_id", "text")))
     led = led.join(edge, "_block").select("doc_id", "text", F.when(F.col("_lead").isNotNull(), F.col("_lead.text")).otherwise(F.col("_beyond")).alias("next_text"))
     return led.unionByName(docs.filter("doc_id is null").withColumn("next_text", F.lit("")))
 

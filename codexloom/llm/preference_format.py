@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import block_width, cut, following
+
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
 
@@ -23,17 +25,21 @@ def conversations(rows: DataFrame) -> DataFrame:
     return rows.filter("conv_id is not null").groupBy("conv_id").agg(turns.alias("_all")).select("conv_id", F.expr("transform(_all, t -> struct(t.role as role, t.text as text))").alias("turns"))
 
 
-def mismatched_pairs(convs: DataFrame, block: int = 1024) -> DataFrame:
+def mismatched_pairs(convs: DataFrame, rows: int = 256) -> DataFrame:
     """Chosen: a conversation up to its last assistant turn. Rejected: the same, ended by the last assistant turn of
-    the next conversation (ascending conv_id, the last one takes the first's). The next one is found per block of
-    ids and, for a block's last row, from the blocks' first rows, so no task orders all conversations."""
+    the next conversation (ascending conv_id, the last one takes the first's). conv_id is an integer. A conversation without
+    an assistant turn has no reply to compare, so it forms no pair.
+
+    The next one is found per block of ids, about ``rows`` in each, and for a block's last row by the next block's first id;
+    replies are fetched for those ids only, so what is ordered across blocks are ids."""
     ends = convs.withColumn("_last", F.expr("array_max(filter(sequence(0, size(turns)), i -> get(turns, i).role = 'assistant'))")).filter("_last is not null")
-    ends = ends.select("conv_id", F.expr("slice(turns, 1, _last + 1)").alias("chosen"), F.expr("get(turns, _last)").alias("_reply"), F.expr(f"conv_id div {block}").alias("_block"))
-    inner = Window.partitionBy("_block").orderBy("conv_id")
-    firsts = ends.groupBy("_block").agg(F.min_by("_reply", "conv_id").alias("_first"))
-    order = Window.orderBy("_block")
-    after = firsts.select("_block", F.coalesce(F.lead("_first").over(order), F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_beyond"))
-    found = ends.withColumn("_next", F.lead("_reply").over(inner)).join(after, "_block")
+    ends = ends.select(F.col("conv_id").cast("long").alias("conv_id"), F.expr("slice(turns, 1, _last + 1)").alias("chosen"), F.expr("get(turns, _last)").alias("_reply"))
+    ids = cut(convs.filter("exists(turns, t -> t.role = 'assistant')").select(F.col("conv_id").cast("long").alias("conv_id")))
+    block = F.expr(f"conv_id div {block_width(ids, 'conv_id', rows)}L").alias("_block")
+    firsts = cut(ids.groupBy(block).agg(F.min("conv_id").alias("_first")))
+    after = following(firsts, "_first", "_id").join(firsts, "_first").select("_block", "_id")
+    beyond = after.join(ends.select(F.col("conv_id").alias("_id"), F.col("_reply").alias("_beyond")), "_id").select("_block", "_beyond")
+    found = ends.select("*", block).withColumn("_next", F.lead("_reply").over(Window.partitionBy("_block").orderBy("conv_id"))).join(beyond, "_block")
     return found.select("conv_id", "chosen", F.expr("concat(slice(chosen, 1, size(chosen) - 1), array(coalesce(_next, _beyond)))").alias("rejected"))
 
 

@@ -278,6 +278,90 @@ def test_fingerprints(spark, docs, rows):
     assert list(row.first()) == [True, True, True, False]
 
 
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    """Lanes summed in Python from the hash function alone, and the likeness against the exact cosine of sentence counts."""
+    rng = random.Random(31)
+    pool = ["".join(rng.choice("abcdef ") for _ in range(30)).strip() for _ in range(300)]
+    texts = ["\n".join(". ".join(rng.choice(pool[:120]) for _ in range(4)) + "." for _ in range(rng.randint(1, 25))) for _ in range(40)] + ["", "x", "One. Two"]
+    lines, sentences = [[p for p in t.split("\n") if p] for t in texts], [[x for x in re.split(r"[.!?\n]+[ \t\n\r\f\v]*", t) if x] for t in texts]
+    words = sorted({p for own in lines + sentences for p in own})
+    made = spark.createDataFrame([(w,) for w in words], "w string").select("w", *[F.expr(f"xxhash64(w, {k})").alias(f"d{k}") for k in range(8)], *[F.expr(f"xxhash64(w, {100 + n})").alias(f"h{n}") for n in range(2)])
+    known = {r["w"]: r for r in made.collect()}
+    field = 1 | 1 << 20 | 1 << 40
+    want = []
+    for p, s in zip(lines, sentences, strict=True):
+        dense = [sum(known[x][f"d{k}"] & 0xFFFFFFFF for x in p) % 2**32 for k in range(8)]
+        counters = [sum((known[x][f"h{n}"] % 2**64 >> k) & field for x in s) % 2**60 for n in range(2) for k in range(20)]
+        want.append([*dense, len(s), *counters])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in df.select("doc_id", F.expr(multiset_fingerprint.vector("text")).alias("v")).withColumn("t", multiset_fingerprint.text_of("v")).collect()}
+    assert [got[i]["v"] for i in range(len(texts))] == want
+    assert got[0]["t"] == "".join(f"{x:0{8 if i <= 8 else 15}x}" for i, x in enumerate(want[0]))
+    near = {r["doc_id"]: r["near_next"] for r in multiset_fingerprint.edited_fingerprints(df).collect()}
+    for i, own in enumerate(sentences[:39]):
+        a, b = Counter(own), Counter(sentences[i + 1])
+        cosine = sum(a[x] * b[x] for x in a) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+        assert near[i] == pytest.approx(cosine, abs=0.3)
+
+
+def test_next_documents_of_sparse_ids(spark):
+    rng = random.Random(32)
+    ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | {0, 1, 2})
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    for rows in (1, 7, 256):
+        got = {r["doc_id"]: r["next_text"] for r in multiset_fingerprint.with_next(df, rows).collect()}
+        assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
+def test_language_decoding_equals_brute_force(spark):
+    """Margins, losses and shares worked out one n-gram and one bit at a time."""
+    names, weights = ["aa", "bb", "cc"], np.random.default_rng(4).standard_normal((language_id.SIZE + 1, 3)).astype(np.float32)
+    code = language_id.codewords(3)
+    texts = ["Hello World", "ein Satz", "ü", "ab", "z" * 300]
+    got = {r["text"]: r for r in language_id.predict(spark.createDataFrame([(t,) for t in texts], "text string"), language_id.LanguageModel(names, code, weights, 0.2)).collect()}
+    wrap = lambda x: (x + 2**31) % 2**32 - 2**31
+    for text in texts:
+        raw, x = text.lower().encode(), np.zeros(language_id.SIZE)
+        for width, size, shift in ((3, language_id.TRIGRAMS, 0), (2, language_id.BIGRAMS, language_id.TRIGRAMS)):
+            for i in range(len(raw) - width + 1):
+                value = sum(b * k for b, k in zip(raw[i : i + width], (0x3D, 0x1F35, 0x2B1A7)[:width], strict=True))
+                value = wrap((value ^ value >> 9) * 0x5BD1)
+                x[shift + (value >> 4 & size - 1)] += 1
+        x = np.sqrt(x)
+        x /= max(np.linalg.norm(x), 1e-9)
+        margin = [sum(x[k] * weights[k, b] for k in np.flatnonzero(x)) + weights[-1, b] for b in range(3)]
+        loss = [sum(np.log1p(np.exp(-margin[b] * code[i, b])) for b in range(3)) for i in range(3)]
+        share = np.exp(-np.array(loss))
+        order = sorted(loss)
+        r = got[text]
+        assert (r["lang_pred"], r["ambiguous"]) == (names[int(np.argmin(loss))], order[1] - order[0] < 0.2)
+        assert r["score"] == pytest.approx(share.max() / share.sum(), rel=1e-4)
+
+
+def test_convolution_equals_loops():
+    rng = np.random.default_rng(6)
+    net, texts = quality_cnn.Net(), [b"", b"abc", bytes(rng.integers(97, 123, 1500).astype(np.uint8)), bytes(rng.integers(0, 256, 2500).astype(np.uint8))]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    emb, filters, bias, dense, dense_bias, out, out_bias = net.p
+    step = quality_cnn.CHUNK - quality_cnn.OVERLAP
+    for text, score in zip(texts, got, strict=True):
+        pooled, begin = [], 0
+        while True:
+            part = text[begin : begin + quality_cnn.CHUNK].ljust(quality_cnn.CHUNK, b"\0")
+            best = np.full(quality_cnn.FILTERS, -np.inf)
+            for i in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE):
+                window = np.concatenate([emb[b] for b in part[i : i + quality_cnn.WIDTH]])
+                best = np.maximum(best, window @ filters)
+            pooled.append(np.maximum(best + bias, 0))
+            begin += step
+            if begin + quality_cnn.OVERLAP >= len(text):
+                break
+        both = np.concatenate((np.mean(pooled, 0), np.max(pooled, 0)))
+        hidden = np.maximum(both @ dense + dense_bias, 0)
+        assert score == pytest.approx(1 / (1 + np.exp(-(hidden @ out + out_bias[0]))), rel=1e-4)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 30):
         code = language_id.codewords(n)
@@ -431,7 +515,7 @@ def test_preferences(spark):
     assert [got[i]["n_prompt_turns"] for i in range(1, 6)] == [1, 2, 0, 0, 1]
     assert got[5]["rejected_mask"] == [] and got[5]["prompt"] == "<||>\n<|end|>\n"
     raw = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (9, 0, "assistant", "r2"), (9, 0, "assistant", "r2"), (5, 0, "user", None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
-    pairs = preference_format.mismatched_pairs(preference_format.conversations(raw), block=2).collect()
+    pairs = preference_format.mismatched_pairs(preference_format.conversations(raw), rows=1).collect()
     assert {p["conv_id"]: p["rejected"][-1]["text"] for p in pairs} == {1: "r2", 9: "r1"}
 
 
