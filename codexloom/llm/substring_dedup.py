@@ -8,7 +8,7 @@ form one path row, binned by that minimiser, so equal windows of any two documen
 2. A bin whose paths all carry one label is nonbranching: the join that brings the bin's first path to
    each path settles the whole path at once.
 3. In branching bins, equal labels compact onto their first path by a second join; only the first
-   path of each label is opened into single edges, which a third join compares by (bin, edge). A repeated word's equal
+   path of each label is opened into single edges, which a third join compares. A repeated word's equal
    edges in a row are one row with their number.
 4. The surviving spans carry their source's coordinates (document, first word). A span's words are equal to the source's
    under two hashes of independent salts, each made from the words at those coordinates, 128 bits; the words
@@ -98,16 +98,16 @@ def _edge_rows(k: int, m: int):
             probe = np.isin(p["at"][pick], at[later[here] == 1])
             count = p["n"][pick]
             start = np.repeat(p["at"][pick] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            doc, probe, bins = np.repeat(p["doc"][pick], count), np.repeat(probe, count), np.repeat(p["bin"][pick], count)
+            doc, probe = np.repeat(p["doc"][pick], count), np.repeat(probe, count)
             edge, check = words.ranges(start, start + k), words.ranges(start, start + k, SALT)
             new = np.ones(len(start), bool)
             if len(start):
-                new[1:] = (edge[1:] != edge[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (probe[1:] != probe[:-1]) | (bins[1:] != bins[:-1])
+                new[1:] = (edge[1:] != edge[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (probe[1:] != probe[:-1])
             one = np.flatnonzero(new)
             run = np.diff(np.append(one, len(start)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(bins[one]), signed(edge[one]), signed(check[one]), ids[doc[one] + part.start], marks[doc[one] + part.start], (start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one])],
-                names=["bin", "edge", "check", "doc_id", "_t", "at", "n", "probe"],
+                [pa.array(x) for x in (signed(edge[one]), signed(check[one]), ids[doc[one] + part.start], marks[doc[one] + part.start], (start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one])],
+                names=["edge", "check", "doc_id", "_t", "at", "n", "probe"],
             )
 
     return rows
@@ -120,21 +120,23 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame
     range's words are first; a repeated word's range has the place of one window there.
     """
     seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t int, at int, n int")
-    first = F.min(F.struct("doc_id", "_t", "at"))
-    branching = (F.min("label") != F.max("label")) | (F.min("check") != F.max("check"))
-    bins = seen.groupBy("bin").agg(first.alias("lo"), F.max("doc_id").alias("hi"), branching.alias("branching"))
-    shared = cut(seen.join(bins.filter("lo.doc_id < hi").select("bin", "lo", "branching"), "bin"))
-    found = lambda own: ["doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(k - 1)).alias("end"), F.col(f"{own}.doc_id").alias("source"), F.col(f"{own}.at").alias("source_start")]
-    straight = shared.filter("not branching and doc_id > lo.doc_id").select(*found("lo"))
-    forks = shared.filter("branching")
-    labels = forks.groupBy("bin", "label", "check").agg(first.alias("own"))
-    owned = cut(forks.join(labels, ["bin", "label", "check"]))
-    compacted = owned.filter("doc_id > own.doc_id").select(*found("own"))
-    opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo.doc_id)")).alias("opened"))
-    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "bin long, edge long, check long, doc_id long, _t int, at int, n int, probe boolean")
-    firsts = edges.groupBy("bin", "edge", "check").agg(first.alias("own"))
+    first = F.min(F.struct("doc_id", "_t", "at", "check"))
+    bins = seen.groupBy("bin").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") != F.max("label")).alias("branching"))
+    shared = cut(seen.join(bins.filter("lo < hi").select("bin", "lo", "branching"), "bin"))
+    found = ["doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(k - 1)).alias("end"), F.col("own.doc_id").alias("source"), F.col("own.at").alias("source_start")]
+    plain = shared.filter("not branching")
+    heads = plain.filter("doc_id = lo").groupBy("bin").agg(first.alias("own"))
+    straight = plain.filter("doc_id > lo").join(heads, "bin").filter("check = own.check").select(*found)
+    forks = shared.filter("branching").drop("bin")
+    # Equal labels and equal edges lie in one bin, so they are found without it.
+    labels = forks.groupBy("label", "check").agg(first.alias("own"))
+    owned = cut(forks.join(labels, ["label", "check"]))
+    compacted = owned.filter("doc_id > own.doc_id").select(*found)
+    opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
+    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "edge long, check long, doc_id long, _t int, at int, n int, probe boolean")
+    firsts = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
     # A bin's first document has nothing to look for in it.
-    single = edges.filter("probe").join(firsts, ["bin", "edge", "check"]).filter("doc_id > own.doc_id").select(*found("own"))
+    single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*found)
     return straight.unionByName(compacted).unionByName(single)
 
 
