@@ -154,7 +154,7 @@ def notes_rows(spark, d):
     return library.chapter_rows(table(spark, d, "conversations"), {"conv_id": 7, "role": "assistant"}, ["turn"]).select("turn", "text")
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE conv_id < 1000000 ORDER BY conv_id, turn")
+@query("SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn")
 def all_rows(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "text").orderBy("conv_id", "turn")
 
@@ -171,22 +171,11 @@ def orphaned_rows(spark, d):
     return library.orphans({"labels": (table(spark, d, "labels").select(F.col("doc_id").alias("child_id")), "child_id"), "lineitem": (table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey")}, parents, "doc_id")
 
 
-@query("""WITH i AS (SELECT quality AS module, toxic * 2 + doc_id % 7 * 3 AS idx, max(doc_id) AS width, max(toxic) AS height FROM labels WHERE doc_id < 60 GROUP BY 1, 2),
-s AS (SELECT module, unnest(generate_series(0, max(idx))) AS idx FROM i GROUP BY module)
-SELECT module, idx, coalesce(width, 0) AS width, CAST(coalesce(height, 0) AS BIGINT) AS height FROM s LEFT JOIN i USING (module, idx)""")
-def image_gap_fill(spark, d):
-    return _filled(table(spark, d, "labels").filter("doc_id < 60"))
-
-
 @query("""WITH i AS (SELECT quality AS module, toxic * 2 + doc_id % 7 * 3 AS idx, max(doc_id) AS width, max(toxic) AS height FROM labels GROUP BY 1, 2),
 s AS (SELECT module, unnest(generate_series(0, max(idx))) AS idx FROM i GROUP BY module)
 SELECT module, idx, coalesce(width, 0) AS width, CAST(coalesce(height, 0) AS BIGINT) AS height FROM s LEFT JOIN i USING (module, idx)""")
-def image_gap_fill_whole(spark, d):
-    return _filled(table(spark, d, "labels"))
-
-
-def _filled(labels):
-    images = labels.select(F.col("quality").alias("module"), F.expr("toxic * 2 + doc_id % 7 * 3").alias("idx"), F.col("doc_id").alias("width"), F.col("toxic").cast("long").alias("height"))
+def image_gap_fill(spark, d):
+    images = table(spark, d, "labels").select(F.col("quality").alias("module"), F.expr("toxic * 2 + doc_id % 7 * 3").alias("idx"), F.col("doc_id").alias("width"), F.col("toxic").cast("long").alias("height"))
     return library.image_sizes(images, "module").withColumn("idx", F.col("idx").cast("long"))
 
 

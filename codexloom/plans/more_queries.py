@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_key, lookup_word
@@ -10,12 +11,14 @@ from ..sources import blocks
 from .registry import query, table
 
 
-@query("""WITH w AS (SELECT conv_id, turn, text, strlen(string_split(text, ' ')[1]) AS n FROM conversations)
-SELECT conv_id, turn, 'G' || (n % 7) AS strong, CAST(1 AS BIGINT) AS seq FROM w WHERE list_contains(string_split_regex(lower(string_split(text, ' ')[1]), '[^\\p{L}\\p{N}]'), 'the')""")
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS seq FROM conversations)
+SELECT conv_id, turn, 'G' || (strlen(word) % 7) AS strong, min(seq) AS seq FROM w WHERE list_contains(string_split_regex(lower(word), '[^\\p{L}\\p{N}]'), 'the') GROUP BY 1, 2, 3""")
 def strongs_for_word(spark, d):
     verses = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    size = F.octet_length(F.get(F.split("text", " "), F.lit(0)))
-    links = verses.select("conv_id", "turn", F.lit(1).cast("long").alias("seq"), F.lit(0).alias("start"), size.alias("ref_end"), F.concat(F.lit("G"), (size % 7).cast("string")).alias("strong"))
+    words = verses.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "word")).withColumn("size", F.octet_length("word"))
+    before = Window.partitionBy("conv_id", "turn").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    links = words.withColumn("start", F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).cast("int")).withColumn("ref_end", F.col("start") + F.col("size"))
+    links = links.select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("seq"), "start", "ref_end", F.concat(F.lit("G"), (F.col("size") % 7).cast("string")).alias("strong"))
     return library.strongs_for_word(links, verses, ["conv_id", "turn"], F.lit("The")).select("conv_id", "turn", "strong", "seq")
 
 
@@ -31,19 +34,10 @@ def selector_rows(spark, d):
     return library.selector_rows(spine, 8).select("book", "chapter", F.col("row").cast("long").alias("row_no"))
 
 
-@query("SELECT l_orderkey, l_linenumber, b.book FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS chapter, l_suppkey % 10 AS verse FROM lineitem WHERE l_orderkey < 500) n JOIN (SELECT p_size % 10 AS chapter, p_partkey % 10 AS verse, max(p_partkey) AS book FROM part GROUP BY 1, 2) b USING (chapter, verse)")
-def located_notes(spark, d):
-    return _located(table(spark, d, "lineitem").filter("l_orderkey < 500"), table(spark, d, "part"))
-
-
 @query("SELECT l_orderkey, l_linenumber, b.book FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS chapter, l_suppkey % 10 AS verse FROM lineitem) n JOIN (SELECT p_size % 10 AS chapter, p_partkey % 10 AS verse, max(p_partkey) AS book FROM part GROUP BY 1, 2) b USING (chapter, verse)")
-def located_notes_whole(spark, d):
-    return _located(table(spark, d, "lineitem"), table(spark, d, "part"))
-
-
-def _located(lines, parts):
-    notes = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("chapter"), (F.col("l_suppkey") % 10).alias("verse"))
-    verses = parts.select((F.col("p_size") % 10).cast("long").alias("chapter"), (F.col("p_partkey") % 10).alias("verse"), F.col("p_partkey").alias("book"))
+def located_notes(spark, d):
+    notes = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("chapter"), (F.col("l_suppkey") % 10).alias("verse"))
+    verses = table(spark, d, "part").select((F.col("p_size") % 10).cast("long").alias("chapter"), (F.col("p_partkey") % 10).alias("verse"), F.col("p_partkey").alias("book"))
     return library.last_place(notes, verses).select("l_orderkey", "l_linenumber", "book")
 
 
@@ -59,9 +53,11 @@ def display_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", display_key(key, F.col("p_partkey")).alias("display"))
 
 
-@query("SELECT doc_id, nullif(regexp_replace(string_split(text, ' ')[1], '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'), '') AS word FROM documents")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS seq FROM documents)
+SELECT doc_id, seq, nullif(regexp_replace(word, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'), '') AS word FROM w""")
 def lookup_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", lookup_word(F.get(F.split("text", " "), F.lit(0))).alias("word"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    return words.select("doc_id", (F.col("at") + 1).cast("long").alias("seq"), lookup_word(F.col("word")).alias("word"))
 
 
 @query("""WITH k AS (SELECT user_id AS key, max(event_type) AS value FROM events WHERE user_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id AS key, min(event_type) AS value FROM events WHERE user_id % 3 = 0 GROUP BY 1)
@@ -80,20 +76,10 @@ def paragraph_flags(spark, d):
     return documents.settled_paragraphs(rows).groupBy("doc_id").agg(F.count_if("paragraph").alias("flagged"))
 
 
-@query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem WHERE l_suppkey < 20 AND l_linenumber = 7 AND l_quantity < 10),
-g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
-def page_gutters(spark, d):
-    return _gutters(table(spark, d, "lineitem").filter("l_suppkey < 20 and l_linenumber = 7 and l_quantity < 10"))
-
-
 @query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem),
 g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
-def page_gutters_whole(spark, d):
-    return _gutters(table(spark, d, "lineitem"))
-
-
-def _gutters(lines):
-    rows = lines.select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
+def page_gutters(spark, d):
+    rows = table(spark, d, "lineitem").select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
     return documents.gutter(rows).select("page", "gutter_from", "gutter_to")
 
 
