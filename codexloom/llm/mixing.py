@@ -8,6 +8,7 @@ follows its cell's factor. The draw is a hash of doc_id and the seed, so it repe
 With a share, the probability is least(1, c * factor), c such that the expected tokens are that share of all tokens in
 cells. A cell whose factor is 1 / c or more keeps each of its documents once, none twice; what it falls short of its
 raked total goes to the other cells in proportion to theirs, so the raked proportions hold exactly among those.
+Raking goes on until a round changes no cell by more than 1e-6 of its value (``rake``).
 Without a share the largest factor gives 1: all cells keep the raked proportions, but the rarest cell decides how
 much is kept, and nothing bounds that from below.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MARGINS = ("source", "lang", "topic")
+#: The part of all tokens that op8_mixing and the pipeline draw.
+SHARE = 0.5
 
 
 def text_form(text: str = "text") -> Column:
@@ -41,8 +44,13 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("target"))
 
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 10, every: int = 5) -> DataFrame:
-    """Adds ``raked`` to cells (source, lang, topic, tokens > 0). Targets are shares in proportion to tokens^power."""
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 10, every: int = 5, settled: float = 1e-6, most: int = 100) -> DataFrame:
+    """Adds ``raked`` to cells (source, lang, topic, tokens > 0). Targets are shares in proportion to tokens^power.
+
+    At least ``rounds`` rounds, then ``every`` more at a time until the last one has changed no cell by more than
+    ``settled`` of its value. Empty cells can make targets that contradict each other and never settle: after ``most``
+    rounds the cells stand as they are, with the totals of the last marginal exact.
+    """
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     df = cells.withColumn("_whole", whole.cast("double")).withColumn("raked", F.col("tokens").cast("double"))
     for m in MARGINS:
@@ -50,12 +58,16 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = 10, every: in
         df = df.withColumn(f"_sum_{m}", F.sum("tokens").over(own)).withColumn(f"_w_{m}", F.pow(F.col(f"_sum_{m}").cast("double"), F.lit(powers[m])) / F.count("*").over(own))
         df = df.withColumn(f"_t_{m}", F.pow(F.col(f"_sum_{m}").cast("double"), F.lit(powers[m])) / F.sum(f"_w_{m}").over(Window.partitionBy(F.lit(0))))
     df = cut(df.drop(*[f"_sum_{m}" for m in MARGINS], *[f"_w_{m}" for m in MARGINS]))
-    for i in range(rounds):
-        for m in MARGINS:
-            df = df.withColumn("raked", F.col("raked") * F.col(f"_t_{m}") * F.col("_whole") / F.sum("raked").over(Window.partitionBy(m)))
-        if (i + 1) % every == 0:
-            df = cut(df)
-    return df.drop("_whole", *[f"_t_{m}" for m in MARGINS])
+    done = 0
+    while done < most:
+        for _ in range(every):
+            df = df.withColumn("_before", F.col("raked"))
+            for m in MARGINS:
+                df = df.withColumn("raked", F.col("raked") * F.col(f"_t_{m}") * F.col("_whole") / F.sum("raked").over(Window.partitionBy(m)))
+        df, done = cut(df), done + every
+        if done >= rounds and (df.agg(F.max(F.abs(F.col("raked") / F.col("_before") - 1))).first()[0] or 0) <= settled:
+            break
+    return df.drop("_whole", "_before", *[f"_t_{m}" for m in MARGINS])
 
 
 def probabilities(cells: DataFrame, share: float | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import SHARE
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,18 +119,11 @@ def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
-
-
-def op8_mixing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
-
-    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), share=0.5)
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), share=SHARE)
     return rows.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
-def _op8_sql(rounds: int = 10, powers: tuple[float, ...] = (0.7, 0.8, 0.9), seed: str = "mix") -> str:
+def _op8_sql(rounds: int = 10, share: float = SHARE, powers: tuple[float, ...] = (0.7, 0.8, 0.9), seed: str = "mix") -> str:
     """The same raking, one common table expression for each step."""
     margins = ("source", "lang", "topic")
     steps, last = [], "r0"
@@ -142,7 +137,9 @@ WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, CAST(len(reg
 n AS (SELECT doc_id, source, lang, tokens, tokens / (1 + length(text) - length(replace(text, chr(10), ''))) AS per, CASE WHEN per < 8 THEN 'list' WHEN per < 40 THEN 'prose' ELSE 'block' END AS topic FROM d),
 cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM n GROUP BY 1, 2, 3 HAVING sum(tokens) > 0), {", ".join(targets)},
 r0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells), {", ".join(steps)},
-f AS (SELECT source, lang, topic, w / tokens AS weight, round(w / tokens / (SELECT max(w / tokens) FROM {last}), 9) AS probability FROM {last}),
+g AS (SELECT *, w / tokens AS weight, (SELECT sum(tokens) FROM cells) AS whole FROM {last}),
+o AS (SELECT *, (whole * {share} - whole + sum(tokens) OVER onward) / sum(w) OVER onward AS own FROM g WINDOW onward AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT source, lang, topic, weight, round(least(1.0, weight * (SELECT max(own) FROM o)), 9) AS probability FROM o),
 j AS (SELECT n.doc_id, n.source, n.lang, n.topic, n.tokens, coalesce(weight, 1) AS weight, coalesce(probability, 1) AS probability FROM n LEFT JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.lang IS NOT DISTINCT FROM f.lang AND n.topic = f.topic)
 SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability FROM j
 WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 8) AS BIGINT) / 4294967296.0 < probability
@@ -158,7 +155,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
-    "op8_mixing_share": op8_mixing_share,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_cnn": op10_quality_cnn,
 }

@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from codexloom.llm.common import cut, spread_rank
 from codexloom.llm.language_id import UNKNOWN, fit, predict
-from codexloom.llm.mixing import mix
+from codexloom.llm.mixing import SHARE, mix
 from codexloom.llm.ngram_join import similarity_classes
 from codexloom.llm.packing import pack
 from codexloom.llm.queries import word_tokenizer
 from codexloom.llm.substring_dedup import remove_repeats
 from codexloom.llm.training_order import shared_table
 
-#: Of the tokens, what mixing keeps.
-SHARE = 0.5
 #: Repeated doc_ids up to which they are broadcast.
 MOST_REPEATED = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")

@@ -404,6 +404,21 @@ def test_raking_meets_the_targets(spark, docs):
         assert draw < r["probability"]
 
 
+def test_raking_goes_on_until_it_settles(spark):
+    shape, powers = "source string, lang string, topic string, tokens long", {"source": 0.5, "lang": 0.5, "topic": 0.5}
+    cells = [("a", "en", "x", 1000), ("a", "de", "x", 40), ("b", "de", "x", 10)]
+    few = {(r["source"], r["lang"]): r["raked"] for r in mixing.rake(spark.createDataFrame(cells, shape), powers, rounds=5, most=5).collect()}
+    got = {(r["source"], r["lang"]): r["raked"] for r in mixing.rake(spark.createDataFrame(cells, shape), powers, rounds=5).collect()}
+    root_a, root_b, root_en, root_de = 1040**0.5, 10**0.5, 1000**0.5, 50**0.5
+    b, en = 1050 * root_b / (root_a + root_b), 1050 * root_en / (root_en + root_de)
+    exact = {("a", "en"): en, ("b", "de"): b, ("a", "de"): 1050 - en - b}
+    assert all(got[k] == pytest.approx(exact[k], rel=1e-4) for k in exact)
+    assert max(abs(few[k] / exact[k] - 1) for k in exact) > 1e-4
+    apart = [("a", "en", "x", 900), ("b", "de", "y", 100)]  # targets that contradict each other end at the last marginal
+    ends = {r["topic"]: r["raked"] for r in mixing.rake(spark.createDataFrame(apart, shape), {"source": 1.0, "lang": 0.5, "topic": 0.5}, rounds=5, most=10).collect()}
+    assert ends["x"] == pytest.approx(750) and ends["y"] == pytest.approx(250)
+
+
 @pytest.mark.parametrize("share", [0.02, 0.3, 0.5, 0.9, 1.0])
 def test_share_holds_with_a_tiny_cell(spark, share):
     rng = random.Random(6)
