@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..session import importable
 
@@ -238,12 +238,29 @@ def following(keys: DataFrame, key: str, out: str, rows_per_bucket: int = 100_00
     return own.join(after, "_bucket").select(key, F.coalesce("_next", "_after").alias(out))
 
 
-def block_width(ids: DataFrame, key: str, rows: int) -> int:
-    """The width of blocks of integer ids that hold about ``rows`` each, if ids lie evenly; any width gives right blocks."""
+def block_of(ids: DataFrame, key: str, rows: int, quantiles: int = 2048) -> Column:
+    """A column of ``key`` that numbers blocks of ascending integer ids, about ``rows`` in each.
+
+    The ids are split at approximate quantiles and every piece into blocks of even width, so an outlier widens the
+    blocks of its own piece only: whatever the ids are, a block has no more of them than a piece has.
+    """
     from pyspark.sql import functions as F
 
-    low, high, n = ids.agg(F.min(key), F.max(key), F.count(key)).first()
-    return min(1 << 62, max(1, -(-(high - low + 1) * rows // n))) if n else 1
+    n, low, high = ids.agg(F.count(key), F.min(key), F.max(key)).first()
+    if not n:
+        return F.lit(0).cast("long")
+    quantiles = min(quantiles, -(-n // rows))
+    marks = ids.agg(F.percentile_approx(key, [i / quantiles for i in range(quantiles)], 20 * quantiles)).first()[0]
+    bounds = sorted({low, *marks})
+    per = max(1, -(-n // (quantiles * rows)))  # blocks of a piece
+    each = [min(1 << 62, max(1, -(-(b - a) // per))) for a, b in zip(bounds, [*bounds[1:], high + 1], strict=True)]
+    step = 1 << (len(bounds) - 1).bit_length() - 1 if len(bounds) > 1 else 0
+    longs = lambda values: "array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "cast('-9223372036854775808' as bigint)" for v in values) + ")"
+    steps = ", ".join(str(step >> i) for i in range(step.bit_length())) or "0"
+    at = f"aggregate(array({steps}), 0, (i, s) -> if(i + s < {len(bounds)} and get({longs(bounds)}, i + s) <= {key}, i + s, i))"
+    # Differences of ids can leave 64 bits, so they are taken as decimals.
+    inside = f"least(cast({per - 1} as bigint), cast((cast({key} as decimal(38,0)) - get({longs(bounds)}, _at)) div get({longs(each)}, _at) as bigint))"
+    return F.expr(f"get(transform(array({at}), _at -> cast(_at as bigint) * {per} + {inside}), 0)")
 
 
 def batched(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_width, cut, following
+from .common import block_of, cut, following
 
 DENSE, HASHES, FIELDS = 8, 2, 20
 PACKED = HASHES * FIELDS
@@ -76,8 +76,7 @@ def with_next(docs: DataFrame, rows: int = 256, most: int = 1_000_000) -> DataFr
     beyond that. Texts are dealt once; what is ordered across blocks are ids.
     """
     ids = docs.filter("doc_id is not null").select("doc_id")
-    width = block_width(ids, "doc_id", rows)
-    block = F.expr(f"doc_id div {width}L").alias("_block")
+    block = block_of(ids, "doc_id", rows).alias("_block")
     firsts = cut(ids.groupBy(block).agg(F.min("doc_id").alias("_first")))
     after = cut(following(firsts, "_first", "_id").join(firsts, "_first").select("_block", "_id"))
     wanted = after.select("_id")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_width, cut, following
+from .common import block_of, cut, following
 
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -35,7 +35,7 @@ def mismatched_pairs(convs: DataFrame, rows: int = 256) -> DataFrame:
     ends = convs.withColumn("_last", F.expr("array_max(filter(sequence(0, size(turns)), i -> get(turns, i).role = 'assistant'))")).filter("_last is not null")
     ends = ends.select(F.col("conv_id").cast("long").alias("conv_id"), F.expr("slice(turns, 1, _last + 1)").alias("chosen"), F.expr("get(turns, _last)").alias("_reply"))
     ids = cut(convs.filter("exists(turns, t -> t.role = 'assistant')").select(F.col("conv_id").cast("long").alias("conv_id")))
-    block = F.expr(f"conv_id div {block_width(ids, 'conv_id', rows)}L").alias("_block")
+    block = block_of(ids, "conv_id", rows).alias("_block")
     firsts = cut(ids.groupBy(block).agg(F.min("conv_id").alias("_first")))
     after = following(firsts, "_first", "_id").join(firsts, "_first").select("_block", "_id")
     beyond = after.join(ends.select(F.col("conv_id").alias("_id"), F.col("_reply").alias("_beyond")), "_id").select("_block", "_beyond")

@@ -15,7 +15,7 @@ form one path row, binned by that minimiser, so equal windows of any two documen
    themselves do not travel. Spans go back to the text, where their words are removed.
 
 Defined results: null text has no words; null doc_id rows are returned unchanged and are no source for
-others; rows that share a doc_id are never each other's source, and are told apart by their text's hash;
+others; rows that share a doc_id are never each other's source, and are told apart by 128 bits of their text's SHA-256;
 texts of fewer than k words have no window; an empty table gives an empty result; a kept column that carries the name
 of a result is replaced by it; other columns are ignored.
 """
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Words, arrow_map, cut, documents_in, signed
 
 K, MINIMISER, SALT = 50, 16, 0x6A09E667F3BCC909
+#: Repeated doc_ids up to which they are broadcast.
+MOST_REPEATED = 100_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -71,12 +73,12 @@ def paths(words: Words, k: int, m: int) -> dict[str, np.ndarray]:
 def _path_rows(k: int, m: int):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pc.is_valid(batch.column("doc_id")))
-        ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy()
+        ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t")
         for part, words in documents_in(batch):
             p = paths(words, k, m)
             doc = p["doc"] + part.start
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(p["bin"]), signed(p["label"]), signed(p["check"]), ids[doc], marks[doc], (p["at"] - words.first[p["doc"]]).astype(np.int32), p["n"].astype(np.int32))],
+                [*map(pa.array, (signed(p["bin"]), signed(p["label"]), signed(p["check"]), ids[doc])), marks.take(pa.array(doc)), *map(pa.array, ((p["at"] - words.first[p["doc"]]).astype(np.int32), p["n"].astype(np.int32)))],
                 names=["bin", "label", "check", "doc_id", "_t", "at", "n"],
             )
 
@@ -85,7 +87,7 @@ def _path_rows(k: int, m: int):
 
 def _edge_rows(k: int, m: int):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy()
+        ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t")
         opened = batch.column("opened")
         where = np.repeat(np.arange(len(opened)), opened.value_lengths().to_numpy())
         wanted = opened.flatten().to_numpy() >> 1
@@ -106,7 +108,7 @@ def _edge_rows(k: int, m: int):
             one = np.flatnonzero(new)
             run = np.diff(np.append(one, len(start)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (signed(edge[one]), signed(check[one]), ids[doc[one] + part.start], marks[doc[one] + part.start], (start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one])],
+                [*map(pa.array, (signed(edge[one]), signed(check[one]), ids[doc[one] + part.start])), marks.take(pa.array(doc[one] + part.start)), *map(pa.array, ((start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one]))],
                 names=["edge", "check", "doc_id", "_t", "at", "n", "probe"],
             )
 
@@ -116,10 +118,10 @@ def _edge_rows(k: int, m: int):
 def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame:
     """Word ranges [start, end) of documents whose k-word windows all start in documents of smaller doc_id.
 
-    ``docs`` has doc_id, text and _t (the text's hash). Ranges may overlap. ``source`` and ``source_start`` say where a
+    ``docs`` has doc_id, text and _t, which tells rows of one doc_id and different texts apart. Ranges may overlap. ``source`` and ``source_start`` say where a
     range's words are first; a repeated word's range has the place of one window there.
     """
-    seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t int, at int, n int")
+    seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t string, at int, n int")
     first = F.min(F.struct("doc_id", "_t", "at", "check"))
     bins = seen.groupBy("bin").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") != F.max("label")).alias("branching"))
     shared = cut(seen.join(bins.filter("lo < hi").select("bin", "lo", "branching"), "bin"))
@@ -133,7 +135,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame
     owned = cut(forks.join(labels, ["label", "check"]))
     compacted = owned.filter("doc_id > own.doc_id").select(*found)
     opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
-    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "edge long, check long, doc_id long, _t int, at int, n int, probe boolean")
+    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "edge long, check long, doc_id long, _t string, at int, n int, probe boolean")
     firsts = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
     # A bin's first document has nothing to look for in it.
     single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*found)
@@ -185,8 +187,16 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: i
     """Per row of ``docs`` (doc_id, text, ``keep``): these, kept_text, n_words, n_removed, the removed word spans, and the
     sources of what was found (start, end, source document and first word there; null where nothing was)."""
     # All columns go into both steps that read texts, so that Spark deals the texts out once for both.
-    keep = tuple(c for c in keep if c not in (*_ADDED, "doc_id", "text", "_t", "ranges"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.hash("text").alias("_t"))
+    keep = tuple(c for c in keep if c not in (*_ADDED, "doc_id", "text", "_t", "_again", "ranges"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    repeated = cut(base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_again")))
+    n = repeated.count()
+    if n:
+        base = base.join(F.broadcast(repeated) if n <= MOST_REPEATED else repeated, "doc_id", "left")
+        mark = F.when(F.col("_again"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+        base = base.withColumn("_t", F.coalesce(mark, F.lit(""))).drop("_again")
+    else:
+        base = base.withColumn("_t", F.lit(""))
     ranges = repeated_spans(base, k, m).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "end", "source", "source_start")).alias("ranges"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     sources = "array<struct<start: int, end: int, source: long, source_start: int>>"

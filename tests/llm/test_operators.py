@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexloom.llm import language_id, mixing, multiset_fingerprint, outlier_rules, packing, preference_format, quality_cnn, substring_dedup, training_order
+from codexloom.llm.common import block_of
 from codexloom.llm.queries import QUERIES, word_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -313,6 +314,32 @@ def test_next_documents_of_sparse_ids(spark):
         assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize(("ids", "rows"), [([*range(20_000), 2**60], 256), ([*range(3000), *range(10**12, 10**12 + 3000), -(2**63), 2**63 - 1], 16), ([5], 256), ([1] * 50 + [2], 4), ([-(2**63), 2**63 - 1], 1)])
+def test_blocks_of_ids_with_outliers(spark, ids, rows):
+    """One id far from the others widens no block but its own."""
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
+    got = sorted((r[0], r[1]) for r in df.select("doc_id", block_of(df, "doc_id", rows)).collect())
+    blocks = [b for _, b in got]
+    assert blocks == sorted(blocks)
+    assert max(Counter(b for _, b in set(got)).values()) <= 2 * rows
+
+
+def test_next_documents_with_an_outlier(spark):
+    ids = [*range(2000), 2**60]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["next_text"] for r in multiset_fingerprint.with_next(df).collect()}
+    assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
+def test_rows_of_one_doc_id_whose_32_bit_hashes_clash(spark):
+    shared, other = " ".join(f"s{i}" for i in range(50)), " ".join(f"o{i}" for i in range(60))
+    both = spark.range(300_000).selectExpr(f"concat('{shared} ', id) as text").selectExpr("text", "hash(text) as h")
+    pair = both.join(spark.range(300_000).selectExpr(f"concat('{other} ', id) as other").withColumn("h", F.expr("hash(other)")), "h").limit(1).collect()[0]
+    df = spark.createDataFrame([(1, shared), (5, pair["text"]), (5, pair["other"]), (5, pair["other"])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(1, 50, 0), (5, 51, 50), (5, 61, 0), (5, 61, 0)]
+
+
 def test_language_decoding_equals_brute_force(spark):
     """Margins, losses and shares worked out one n-gram and one bit at a time."""
     names, weights = ["aa", "bb", "cc"], np.random.default_rng(4).standard_normal((language_id.SIZE + 1, 3)).astype(np.float32)
