@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import golden_queries, ingest_queries, library_queries, more_queries, study_queries  # noqa: F401
+    from . import document_queries, golden_queries, ingest_queries, library_queries, more_queries, study_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
