@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ordered import CHUNK, carried, chain
+
 # Fixed values of the cost model.
 TOLERANCE, LINE_PENALTY, ADJACENT, DOUBLE_HYPHEN, BAD = 200.0, 10.0, 10_000.0, 10_000.0, 10_000.0
 NO_BREAK, MUST_BREAK, ENDLESS = 10_000, -10_000, 1 << 40
@@ -150,3 +153,70 @@ def plan_columns(kinds: list[int], per_column: int) -> list[int]:
                 end = back + kinds[back:end].index(1)
         at = end
     return starts
+
+
+def _lines(lines: DataFrame, key: list[str], per_column: int, kept: int, size: int) -> DataFrame:
+    """Lines with the content before them, the last heading up to them, the end of a column that starts there."""
+    chunk = F.expr(f"pos div {size}")
+    content, heading = (F.col("kind") == 0).cast("long"), F.col("kind") == 1
+    rows = carried(lines.select(*key, F.col("pos").cast("long").alias("pos"), F.coalesce("kind", F.lit(0)).alias("kind")), key, ["pos"], chunk, lag={"_was": F.col("kind")}, total={"content": content})
+    opens = heading & (F.coalesce("_was", F.lit(0)) != 1)
+    rows = cut(rows.withColumns({"_opens": opens, "_content": content}))
+    # From the far end: where the heading that begins here ends, and how much content lies before that.
+    back = rows.select(*key, (-F.col("pos")).alias("_back"), F.when(~heading, F.struct("pos", "content")).alias("_v"), F.when(F.col("_opens"), F.col("pos")).alias("_g"))
+    back = carried(back, key, ["_back"], F.expr(f"-((-_back) div {size})"), last={"_end": F.col("_v"), "_first": F.col("_g")})
+    rows = rows.join(back.select(*key, (-F.col("_back")).alias("pos"), F.col("_end.content").alias("_end"), "_first"), [*key, "pos"])
+    whole = rows.groupBy(*key).agg(F.max("pos").alias("_last"), F.sum("_content").alias("_all"))
+    rows = rows.join(whole, key).withColumn("_end", F.coalesce("_end", "_all"))
+    # Headings with too little content between them move on together.
+    heads = rows.filter("_opens").select(*key, "pos", "content", "_end")
+    heads = carried(heads, key, ["pos"], chunk, lag={"_p": F.col("_end")})
+    heads = heads.withColumn("_new", F.when(F.coalesce(F.col("content") - F.col("_p") >= kept, F.lit(True)), F.col("pos")))
+    heads = carried(heads, key, ["pos"], chunk, last={"_i": F.col("_new")}).select(*key, "pos", F.coalesce("_new", "_i").alias("_island"))
+    rows = cut(rows.join(heads, [*key, "pos"], "left"))
+    # A column looks at the lines that it would take, so each chunk also gets the first lines of the next one.
+    dealt = rows.withColumn("_chunk", F.explode(F.expr(f"if(pos % {size} < {per_column} and pos >= {size}, array(pos div {size}, pos div {size} - 1), array(pos div {size}))")))
+    if size < per_column:
+        dealt = rows.withColumn("_chunk", F.explode(F.sequence(F.greatest(F.lit(0), F.expr(f"(pos - {per_column}) div {size}")), F.expr(f"pos div {size}"))))
+    w = Window.partitionBy(*key, "_chunk").orderBy("pos")
+    ahead = w.rowsBetween(1, max(1, per_column - 1))
+    heads_ahead = F.collect_list(F.when(F.col("_opens"), F.struct("pos", "_end", "_island"))).over(ahead) if per_column > 1 else F.array().cast("array<struct<pos:bigint,_end:bigint,_island:bigint>>")
+    seen = dealt.withColumns({"_ahead": heads_ahead, "_until": F.lead("content", per_column).over(w)}).filter(f"_chunk = pos div {size}")
+    until = F.coalesce("_until", "_all")
+    bad = F.get(F.filter("_ahead", lambda x: x["_end"] > until - kept), F.lit(0))
+    return seen.withColumn("_bad", bad).withColumn("end", F.when(F.col("_bad").isNotNull(), F.greatest("_first", F.col("_bad._island"))).otherwise(F.least(F.col("pos") + per_column, F.col("_last") + 1)))
+
+
+def columns(lines: DataFrame, key: list[str], per_column: int, kept: int = 2, origins: DataFrame | None = None, settle: bool = True, behind: int = 20, size: int = CHUNK) -> DataFrame:
+    """The first lines (key, start) of columns over lines (key, pos from 0 without gaps, kind: 0 content, 1 heading, 2 blank).
+
+    A column takes ``per_column`` lines, but none that would leave a heading at its foot with fewer than ``kept`` content lines
+    below. Where a column that starts at a line ends is known for every line by itself; which lines do start one, pointers that double
+    find out (``ordered.chain``). From an origin (key, origin) on columns go forward, and backward full ones from there to the first
+    line. An origin that settles moves up by at most half a column, to where the headings behind it are orphans least, the nearest of
+    ``behind`` columns counting more than all that are farther. Origins at or beyond the ends count as none. At least one content line is kept.
+    """
+    rows = cut(_lines(lines, key, per_column, max(1, kept), size))
+    ends = rows.select(*key, "pos", F.when(F.col("end") <= F.col("_last"), F.col("end")).alias("_next"), "_last")
+    if origins is None:
+        return chain(ends, key, "pos", "_next").select(*key, F.col("pos").alias("start"))
+    placed = origins.join(rows.groupBy(*key).agg(F.max("_last").alias("_last")), key).filter("origin > 0 and origin <= _last").select(*key, F.col("origin").cast("long").alias("origin"))
+    if settle:
+        placed = _settled(placed, rows, key, per_column, max(1, kept), behind, size)
+    placed = cut(placed)
+    forward = ends.join(placed, key, "left").filter("pos >= coalesce(origin, 0)")
+    back = placed.select(*key, F.explode(F.expr(f"transform(sequence(1, ceil(origin / {per_column})), k -> greatest(0, origin - k * {per_column}))")).alias("start"))
+    return chain(forward, key, "pos", "_next").select(*key, F.col("pos").alias("start")).unionByName(back.select(*key, F.col("start").cast("long")))
+
+
+def _settled(placed: DataFrame, rows: DataFrame, key: list[str], per_column: int, kept: int, behind: int, size: int) -> DataFrame:
+    """Origins after their move: every shift's columns look up the last heading before their end."""
+    chunk = F.expr(f"pos div {size}")
+    heads = carried(rows.select(*key, "pos", "kind", "content", "_content", "_opens"), key, ["pos"], chunk, last={"_g": F.when(F.col("_opens"), F.col("pos")), "_h": F.when(F.col("kind") == 1, F.struct("pos", "content"))})
+    heads = heads.select(*key, F.col("pos").alias("_foot"), (F.col("content") + F.col("_content")).alias("_upto"), F.when(F.col("_opens"), F.col("pos")).otherwise(F.col("_g")).alias("_g"), F.when(F.col("kind") == 1, F.struct("pos", "content")).otherwise(F.col("_h")).alias("_h"))
+    tries = placed.withColumn("_shift", F.explode(F.expr(f"sequence(0, {per_column // 2})"))).filter("_shift = 0 or origin > _shift")
+    feet = tries.withColumn("_k", F.explode(F.expr(f"sequence(1, {behind})"))).withColumn("_e", F.expr(f"origin - _shift - (_k - 1) * {per_column}")).filter("_e > 0")
+    feet = feet.withColumns({"_s": F.greatest(F.lit(0), F.col("_e") - per_column), "_foot": F.col("_e") - 1}).join(heads, [*key, "_foot"])
+    orphan = (F.col("_h.pos") > F.col("_s")) & (F.col("_upto") - F.col("_h.content") < kept) & (F.col("_g") > F.col("_s"))
+    cost = feet.groupBy(*key, "origin", "_shift").agg(F.sum(F.when(F.coalesce(orphan, F.lit(False)), F.expr(f"shiftleft(1L, {behind} - _k)")).otherwise(0)).alias("_cost"))
+    return cost.groupBy(*key, "origin").agg(F.min(F.struct("_cost", "_shift")).alias("_b")).select(*key, (F.col("origin") - F.col("_b._shift")).alias("origin"))
