@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, verses
+from ..operators import blocks, layout, verses
 from .registry import query, table
 
 # Every sentence of a document is a line; its measures come from its length and place, so that each rule has cases.
@@ -138,3 +138,24 @@ def verse_titles(spark, d):
     """The titles among every document's lines, by the verse that they stand before."""
     _, titles = verses.verses(verse_parts(spark, d))
     return titles.withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS kind, 1 + length(text) // 60 AS n, CASE WHEN role = 'user' THEN 1 + length(text) // 200 ELSE 2 + length(text) // 60 END AS k FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, n, i) - 1 AS pos, CASE WHEN kind = 0 AND i = k - 1 THEN 2 ELSE kind END AS kind FROM (SELECT *, unnest(range(0, k)) AS i FROM s)),
+g AS (SELECT *, kind = 1 AND lag(kind) OVER w IS DISTINCT FROM 1 AS opens, coalesce(sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c, max(pos) OVER (PARTITION BY conv_id) + 1 AS total, first_value(CASE WHEN kind <> 1 THEN pos END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+h AS (SELECT conv_id, pos AS g, coalesce(nx, total) AS g_end FROM g WHERE opens),
+p AS (SELECT conv_id, pos, c FROM g UNION ALL SELECT conv_id, max(total), sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) FROM g GROUP BY conv_id),
+hc AS (SELECT h.*, p.c AS c_end FROM h JOIN p ON p.conv_id = h.conv_id AND p.pos = h.g_end),
+e AS (SELECT g.conv_id, g.pos, least(g.pos + 12, g.total) AS e, false AS done FROM g UNION ALL
+  SELECT e.conv_id, e.pos, coalesce(b.g, e.e), b.g IS NULL FROM e LEFT JOIN LATERAL (SELECT min(hc.g) AS g FROM hc, p WHERE hc.conv_id = e.conv_id AND hc.g > e.pos AND hc.g < e.e AND p.conv_id = e.conv_id AND p.pos = e.e AND p.c - hc.c_end < 2) b ON true WHERE NOT e.done),
+n AS (SELECT conv_id, pos, min(e) AS e FROM e GROUP BY 1, 2),
+c AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS start FROM l UNION ALL SELECT c.conv_id, n.e FROM c JOIN n ON n.conv_id = c.conv_id AND n.pos = c.start JOIN (SELECT conv_id, max(pos) AS m FROM l GROUP BY 1) t ON t.conv_id = c.conv_id WHERE n.e <= t.m)
+SELECT conv_id, start FROM c""")
+def column_starts(spark, d):
+    """Columns of twelve lines over every conversation: a question is a heading, an answer content with a blank line after it."""
+    rows = table(spark, d, "conversations").filter("conv_id is not null").selectExpr("conv_id", "turn", "int(role = 'user') as kind", "length(text) as n").fillna({"n": 0, "kind": 0})
+    rows = rows.selectExpr("conv_id", "turn", "kind", "1 + n div 60 as m", "if(kind = 1, 1 + n div 200, 2 + n div 60) as k")
+    before = F.sum("k").over(Window.partitionBy("conv_id").orderBy("turn", "kind", "m").rowsBetween(Window.unboundedPreceding, -1))
+    lines = rows.withColumn("_at", F.coalesce(before, F.lit(0))).select("conv_id", "_at", "kind", "k", F.expr("explode(sequence(0, k - 1)) as i"))
+    lines = lines.selectExpr("conv_id", "_at + i as pos", "if(kind = 0 and i = k - 1, 2, kind) as kind")
+    return layout.columns(lines, ["conv_id"], 12)
