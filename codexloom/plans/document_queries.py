@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, layout, verses
+from ..operators import blocks, footnotes, layout, verses
 from .registry import query, table
 
 # Every sentence of a document is a line; its measures come from its length and place, so that each rule has cases.
@@ -159,3 +159,21 @@ def column_starts(spark, d):
     lines = rows.withColumn("_at", F.coalesce(before, F.lit(0))).select("conv_id", "_at", "kind", "k", F.expr("explode(sequence(0, k - 1)) as i"))
     lines = lines.selectExpr("conv_id", "_at + i as pos", "if(kind = 0 and i = k - 1, 2, kind) as kind")
     return layout.columns(lines, ["conv_id"], 12)
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split_regex(text, '\. |\n')) AS t, unnest(range(0, len(string_split_regex(text, '\. |\n')))) AS pos FROM documents),
+l AS (SELECT doc_id, pos, pos // 8 AS page, 90.0 * (pos % 8) AS top, CASE WHEN pos % 8 >= 4 AND length(t) % 3 > 0 THEN 8.0 ELSE 10.0 END AS size, length(t) % 11 = 0 AS bold, CASE WHEN length(t) % 5 = 0 THEN (pos % 30) || ' ' || t WHEN length(t) % 5 = 1 THEN 'a ' || t WHEN length(t) % 5 = 2 THEN t || '-' ELSE t END AS text FROM s),
+k AS (SELECT *, size < 8.8 AS small, CASE WHEN regexp_matches(text, '^[a-z] ') THEN text[1] ELSE nullif(regexp_extract(text, '^([0-9]{1,3})\.?[ \x{A0}]', 1), '') END AS lab FROM l),
+r AS (SELECT doc_id, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS page, CAST(NULL AS BIGINT) AS seen, false AS block, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS lab, '' AS text FROM k GROUP BY doc_id
+  UNION ALL SELECT doc_id, pos, page, CASE WHEN inside THEN page ELSE seen END, inside, n + CASE WHEN inside AND lab IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN inside THEN lab END, text
+  FROM (SELECT k.doc_id, k.pos, k.page, k.lab, k.text, r.seen, r.n, (r.block AND r.page = k.page AND k.small) OR (k.small AND top > 400 AND NOT bold AND (k.lab IS NOT NULL OR coalesce(r.seen + 1 = k.page, false))) AS inside FROM r JOIN k ON k.doc_id = r.doc_id AND k.pos = r.pos + 1) a),
+o AS (SELECT *, rtrim(CASE WHEN lab IS NULL THEN text ELSE regexp_replace(text[length(lab) + 1:], '^[. \x{A0}]+', '') END) AS t FROM r WHERE block),
+p AS (SELECT *, lead(t) OVER (PARTITION BY doc_id, n ORDER BY pos) AS nx FROM o)
+SELECT doc_id, n AS note, min(page) AS page, max(lab) AS label, trim(regexp_replace(string_agg(CASE WHEN nx IS NULL THEN t WHEN regexp_matches(t, '\x{AD}$') THEN regexp_replace(t, '\x{AD}$', '') WHEN regexp_matches(t, '.-$') AND regexp_matches(nx, '^\p{Ll}') THEN regexp_replace(t, ' *-$', '') ELSE t || ' ' END, '' ORDER BY pos), '\s+', ' ', 'g')) AS text FROM p GROUP BY doc_id, n""")
+def document_notes(spark, d):
+    """Footnotes of every document, eight lines to a page, over page turns."""
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t")).withColumn("n", F.length("t"))
+    text = F.expr("case when n % 5 = 0 then concat(pos % 30, ' ', t) when n % 5 = 1 then concat('a ', t) when n % 5 = 2 then concat(t, '-') else t end")
+    lines = s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.expr("pos div 8").alias("page"), F.expr("90D * (pos % 8)").alias("top"), F.expr("if(pos % 8 >= 4 and n % 3 > 0, 8D, 10D)").alias("size"), F.expr("n % 11 = 0").alias("bold"), text.alias("text"))
+    profile = lines.select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
+    return footnotes.notes(footnotes.split(lines, profile))
