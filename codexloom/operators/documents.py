@@ -1,7 +1,7 @@
 """Layout inference from positioned text, and interpretation of documents, as dataflows keyed by document.
 
-Fragments are (doc_id, page, x, y, size, width, text); y grows downward. Whatever is a count, a mode or a rank is
-declarative; the two sequential automata (baseline grouping and verse segmentation) run per page and per document.
+Lines come from ``lines``, blocks from ``blocks``, numbered verses of typed parts from ``verses``; here are the counts, modes and ranks
+over them. ``y`` grows downward.
 """
 
 from __future__ import annotations
@@ -15,42 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import importable
 
-LINE = "doc_id long, page int, line int, x double, y double, size double, right double, text string"
-
-
-def lines(fragments: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Fragments whose baselines lie within a share of the line head's size form a line; gaps above a quarter size are spaces."""
-    importable(fragments.sparkSession)
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        out, group = [], []
-        ordered = rows.sort_values(["y", "x"], kind="stable").to_dict("records")
-
-        def close() -> None:
-            parts = sorted(group, key=lambda r: r["x"])
-            text, end = "", None
-            for r in parts:
-                if end is not None and r["x"] - end > 0.25 * r["size"] and not text.endswith(" "):
-                    text += " "
-                text, end = text + r["text"], r["x"] + r["width"]
-            sizes: dict[float, int] = {}
-            for r in parts:
-                sizes[r["size"]] = sizes.get(r["size"], 0) + len(r["text"])
-            size = max(sizes, key=lambda s: (sizes[s], s))
-            out.append((group[0]["doc_id"], group[0]["page"], len(out), parts[0]["x"], group[0]["y"], size, end, " ".join(text.split())))
-
-        for r in ordered:
-            if group and abs(r["y"] - group[0]["y"]) > tolerance * group[0]["size"]:
-                close()
-                group.clear()
-            group.append(r)
-        if group:
-            close()
-        return pd.DataFrame(out, columns=["doc_id", "page", "line", "x", "y", "size", "right", "text"])
-
-    return fragments.groupBy("doc_id", "page").applyInPandas(page, LINE)
-
-
 def profile(rows: DataFrame) -> DataFrame:
     """Per document: body size (weighted mode of characters; a larger size with 40 % of the text takes over), left edge (mode),
     right edge (value at 9/10 of the ordered list), all from counts of distinct values."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, footnotes, layout, verses
+from ..operators import blocks, footnotes, layout, lines, verses
 from .registry import query, table
 
 # Every sentence of a document is a line; its measures come from its length and place, so that each rule has cases.
@@ -87,8 +87,8 @@ def document_measures(spark, d):
 @query(f"WITH RECURSIVE {LINES.lstrip()}, {PROFILE.lstrip()}, {KINDS.lstrip()}, {BLOCKS.lstrip()}")
 def document_blocks(spark, d):
     """Headings, paragraphs, items and tables of every document's lines."""
-    lines = measured_lines(spark, d)
-    found = blocks.blocks(lines, blocks.measures(lines))
+    rows = measured_lines(spark, d)
+    found = blocks.blocks(rows, blocks.measures(rows))
     return found.select("doc_id", "pos", "kind", "style", F.col("level").cast("long").alias("level"), "list", "n_lines", "text")
 
 
@@ -156,9 +156,9 @@ def column_starts(spark, d):
     rows = table(spark, d, "conversations").filter("conv_id is not null").selectExpr("conv_id", "turn", "int(role = 'user') as kind", "length(text) as n").fillna({"n": 0, "kind": 0})
     rows = rows.selectExpr("conv_id", "turn", "kind", "1 + n div 60 as m", "if(kind = 1, 1 + n div 200, 2 + n div 60) as k")
     before = F.sum("k").over(Window.partitionBy("conv_id").orderBy("turn", "kind", "m").rowsBetween(Window.unboundedPreceding, -1))
-    lines = rows.withColumn("_at", F.coalesce(before, F.lit(0))).select("conv_id", "_at", "kind", "k", F.expr("explode(sequence(0, k - 1)) as i"))
-    lines = lines.selectExpr("conv_id", "_at + i as pos", "if(kind = 0 and i = k - 1, 2, kind) as kind")
-    return layout.columns(lines, ["conv_id"], 12)
+    rows = rows.withColumn("_at", F.coalesce(before, F.lit(0))).select("conv_id", "_at", "kind", "k", F.expr("explode(sequence(0, k - 1)) as i"))
+    rows = rows.selectExpr("conv_id", "_at + i as pos", "if(kind = 0 and i = k - 1, 2, kind) as kind")
+    return layout.columns(rows, ["conv_id"], 12)
 
 
 @query(r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split_regex(text, '\. |\n')) AS t, unnest(range(0, len(string_split_regex(text, '\. |\n')))) AS pos FROM documents),
@@ -174,6 +174,45 @@ def document_notes(spark, d):
     """Footnotes of every document, eight lines to a page, over page turns."""
     s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t")).withColumn("n", F.length("t"))
     text = F.expr("case when n % 5 = 0 then concat(pos % 30, ' ', t) when n % 5 = 1 then concat('a ', t) when n % 5 = 2 then concat(t, '-') else t end")
-    lines = s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.expr("pos div 8").alias("page"), F.expr("90D * (pos % 8)").alias("top"), F.expr("if(pos % 8 >= 4 and n % 3 > 0, 8D, 10D)").alias("size"), F.expr("n % 11 = 0").alias("bold"), text.alias("text"))
-    profile = lines.select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
-    return footnotes.notes(footnotes.split(lines, profile))
+    rows = s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.expr("pos div 8").alias("page"), F.expr("90D * (pos % 8)").alias("top"), F.expr("if(pos % 8 >= 4 and n % 3 > 0, 8D, 10D)").alias("size"), F.expr("n % 11 = 0").alias("bold"), text.alias("text"))
+    profile = rows.select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
+    return footnotes.notes(footnotes.split(rows, profile))
+
+
+# Every word of a document is a fragment: ten sentences a page, whose words stand a little off their baselines; every ninth is a raised mark.
+FRAGMENTS = r"""
+s AS (SELECT doc_id, unnest(string_split_regex(text, '\. |\n')) AS t, unnest(range(0, len(string_split_regex(text, '\. |\n')))) AS pos FROM documents),
+w AS (SELECT doc_id, pos, unnest(string_split(t, ' ')) AS w, unnest(range(0, len(string_split(t, ' ')))) AS i FROM s),
+n AS (SELECT *, length(w) AS n, CAST(coalesce(sum(length(w)) OVER (PARTITION BY doc_id, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars FROM w),
+f AS (SELECT doc_id, pos // 10 AS page, 50 + 8.0 * chars + 4 * i + CASE WHEN n % 7 = 6 THEN 20 ELSE 0 END AS x, (1000 + 1400 * (pos % 10) + (n * 7 + i * 3) % 25 * 10 - CASE WHEN i % 9 = 4 THEN 400 ELSE 0 END) / 100 AS y, 0.0 AS rise, 8.0 * n + CASE WHEN i % 5 = 3 THEN 3 ELSE 0 END AS width, CASE WHEN i % 9 = 4 THEN 6.0 ELSE 10.0 END AS size, n % 5 = 0 AS bold, n % 6 = 0 AS italic, CASE WHEN i % 9 = 4 THEN CAST(n % 10 AS VARCHAR) ELSE w END AS text FROM n)"""
+
+
+@query(rf"""WITH RECURSIVE {FRAGMENTS.lstrip()},
+q AS (SELECT *, CAST(round(100 * (y + rise)) AS BIGINT) AS q, row_number() OVER (PARTITION BY doc_id, page ORDER BY CAST(round(100 * (y + rise)) AS BIGINT), x, text, width, size, bold, italic) AS rn FROM f WHERE text <> ''),
+a AS (SELECT doc_id, page, min(q) AS a FROM q GROUP BY 1, 2 UNION ALL SELECT doc_id, page, nx FROM (SELECT a.doc_id, a.page, min(q.q) AS nx FROM a JOIN q ON q.doc_id = a.doc_id AND q.page = a.page AND q.q > a.a + 150 GROUP BY 1, 2) z),
+g AS (SELECT q.*, max(a.a) AS g FROM q JOIN a ON a.doc_id = q.doc_id AND a.page = q.page AND a.a <= q.q GROUP BY ALL),
+h AS (SELECT doc_id, page, g, bool_and(regexp_matches(regexp_replace(trim(text), '[,.;:)]+$', ''), '^([0-9*)]+|[a-z])$')) AS marks, max(size) AS size FROM g GROUP BY 1, 2, 3),
+hb AS (SELECT *, coalesce(marks AND size < 0.8 * lead(size) OVER w AND lead(g) OVER w - g < 70 * lead(size) OVER w, false) AS joins FROM h WINDOW w AS (PARTITION BY doc_id, page ORDER BY g)),
+ht AS (SELECT x.doc_id, x.page, x.g, min(y.g) AS line FROM hb x JOIN hb y ON y.doc_id = x.doc_id AND y.page = x.page AND y.g >= x.g AND NOT y.joins GROUP BY 1, 2, 3),
+r AS (SELECT g.* EXCLUDE (rise), rise + (line - g.g) / 100 AS rise, line FROM g JOIN ht ON ht.doc_id = g.doc_id AND ht.page = g.page AND ht.g = g.g),
+st AS (SELECT doc_id, page, line, max(size) AS any_size, arg_max(s, (n, s)) AS s FROM (SELECT doc_id, page, line, max(size) AS size, CAST(round(size * 10) AS INTEGER) AS s, sum(CASE WHEN abs(rise) <= 0.5 THEN length(text) ELSE 0 END) AS n FROM r GROUP BY doc_id, page, line, CAST(round(size * 10) AS INTEGER), bold, italic) GROUP BY 1, 2, 3),
+k AS (SELECT r.*, s / 10.0 AS ls, lead(x) OVER w AS nx, lead(text) OVER w AS nt FROM r JOIN st ON st.doc_id = r.doc_id AND st.page = r.page AND st.line = r.line WINDOW w AS (PARTITION BY r.doc_id, r.page, r.line ORDER BY x, rn)),
+c AS (SELECT * EXCLUDE (width), CASE WHEN nx > x AND x + width > nx + 0.05 THEN nx - x ELSE width END AS width FROM k),
+l AS (SELECT *, CASE WHEN trim(text) <> '' AND nx - x - width > 0 THEN nx - x - width END AS letter, lag(x + width) OVER w AS e FROM c WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY x, rn)),
+m AS (SELECT doc_id, page, line, list_sort(list(letter) FILTER (letter IS NOT NULL)) AS gaps, count(*) AS m, min(ls) AS ls FROM l GROUP BY 1, 2, 3),
+t AS (SELECT doc_id, page, line, CASE WHEN len(gaps) >= 8 AND 2 * len(gaps) >= m AND gaps[len(gaps) // 2 + 1] < 0.25 * ls THEN gaps[len(gaps) // 2 + 1] ELSE 0 END AS tr FROM m),
+b AS (SELECT l.*, tr, e IS NOT NULL AND NOT (regexp_matches(trim(text), '^[!-/:-@\[-`{{-~–»«’]+$') AND NOT regexp_matches(trim(text), '^[(»„\[]')) AS plain, x - e AS gap FROM l JOIN t ON t.doc_id = l.doc_id AND t.page = l.page AND t.line = l.line),
+z AS (SELECT doc_id, page, line, max(x + width) AS rgt, string_agg(CASE WHEN plain AND gap > 0.625 * ls THEN chr(9) WHEN plain AND gap > 0.15 * ls + tr THEN ' ' ELSE '' END || text, '' ORDER BY x, rn) AS text,
+  array_to_string(list(CASE WHEN (rise > 0.5 OR (size < 0.8 * ls AND q < line - 50)) AND regexp_matches(trim(text), '^([0-9]+|[a-z])[,.;:)]*$') THEN regexp_extract(trim(text), '^([0-9]+|[a-z])', 1) END ORDER BY x, rn), ',') AS marks, min(ls) AS size FROM b GROUP BY 1, 2, 3)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) - 1 AS line, CAST(line / 100 AS DOUBLE) AS top, CAST(size AS DOUBLE) AS size, text, coalesce(marks, '') AS marks FROM z""")
+def page_lines(spark, d):
+    """Lines of every document's words, placed on pages."""
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t"))
+    w = s.select("doc_id", "pos", F.posexplode(F.split("t", " ")).alias("i", "w")).withColumn("n", F.length("w"))
+    w = w.withColumn("chars", F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    fragments = w.selectExpr(
+        "doc_id", "pos div 10 as page", "50D + 8 * chars + 4 * i + if(n % 7 = 6, 20, 0) as x", "(1000 + 1400 * (pos % 10) + (n * 7 + i * 3) % 25 * 10 - if(i % 9 = 4, 400, 0)) / 100D as y", "0D as rise",
+        "8D * n + if(i % 5 = 3, 3, 0) as width", "if(i % 9 = 4, 6D, 10D) as size", "n % 5 = 0 as bold", "n % 6 = 0 as italic", "if(i % 9 = 4, string(n % 10), w) as text",
+    )
+    found = lines.lines(fragments)
+    return found.select("doc_id", "page", F.col("line").cast("long").alias("line"), "top", "size", "text", F.array_join("marks", ",").alias("marks"))

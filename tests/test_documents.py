@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexloom.operators import documents as d
-from codexloom.operators import library, store
+from codexloom.operators import library, lines, store
 from codexloom.plans.golden_queries import NAMES
 from codexloom.schema import canon
 
@@ -17,7 +17,8 @@ def test_lines_profile_and_furniture(spark):
         rows += [(1, page, 50.0, 200.0 + 14 * i, 10.0, 100.0, "some body text here") for i in range(10)]
         rows += [(1, page, 155.0, 201.0, 10.0, 40.0, "joined")]
     frag = spark.createDataFrame(rows, FRAGMENT)
-    found = d.lines(frag)
+    placed = frag.withColumns({"rise": F.lit(0.0), "bold": F.lit(False), "italic": F.lit(None).cast("boolean")})
+    found = lines.lines(placed).withColumnsRenamed({"left": "x", "top": "y"})
     assert found.filter("page = 0 and text = 'some body text here joined'").count() == 1
     kept = d.without_furniture(found)
     assert not {"1", "Chapter one 0"} & {r["text"] for r in kept.collect()}
