@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, footnotes, layout, lines, verses
+from ..operators import blocks, footnotes, intervals, layout, lines, verses
 from .registry import query, table
 
 # Every sentence of a document is a line; its measures come from its length and place, so that each rule has cases.
@@ -216,3 +216,49 @@ def page_lines(spark, d):
     )
     found = lines.lines(fragments)
     return found.select("doc_id", "page", F.col("line").cast("long").alias("line"), "top", "size", "text", F.array_join("marks", ",").alias("marks"))
+
+
+# Every line of a document is a run of characters; links of 30, 40 or 50 characters begin at every fiftieth, some of them touching.
+RUNS = r"""
+s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+r AS (SELECT doc_id, pos AS run, start, start + n AS "end" FROM (SELECT doc_id, pos, length(t) AS n, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)),
+k AS (SELECT doc_id, i AS link, 50 * i + doc_id % 7 AS start, 50 * i + doc_id % 7 + 30 + i % 3 * 10 AS "end" FROM (SELECT doc_id, unnest(range(0, 1 + length(text) // 50)) AS i FROM documents))"""
+
+
+def runs(spark, d) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("run", "t")).withColumn("n", F.length("t"))
+    before = Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))
+    return rows.select("doc_id", F.col("run").cast("long").alias("run"), start.alias("start"), (start + F.col("n")).alias("end"))
+
+
+def links(spark, d) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.expr("explode(sequence(0L, length(text) div 50)) as link"))
+    return rows.selectExpr("doc_id", "link", "50 * link + doc_id % 7 as start", "50 * link + doc_id % 7 + 30 + link % 3 * 10 as end")
+
+
+@query(rf"""WITH {RUNS.lstrip()}, b AS (SELECT DISTINCT doc_id, unnest([start, "end"]) AS p FROM (SELECT doc_id, start, "end" FROM r WHERE start < "end" UNION ALL SELECT doc_id, start, "end" FROM k)),
+g AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nx FROM b)
+SELECT g.doc_id, r.run, g.p AS start, g.nx AS "end", k.link FROM g JOIN r ON r.doc_id = g.doc_id AND r.start <= g.p AND g.p < r."end" LEFT JOIN k ON k.doc_id = g.doc_id AND k.start <= g.p AND g.p < k."end" WHERE g.nx IS NOT NULL""")
+def linked_pieces(spark, d):
+    """Every line of a document cut at the bounds of its links."""
+    return intervals.pieces(runs(spark, d), links(spark, d), ["doc_id"], "run", "link")
+
+
+@query(rf"""WITH {RUNS.lstrip()} SELECT r.doc_id, r.run, min(k.link) AS link FROM r LEFT JOIN k ON k.doc_id = r.doc_id AND k.start < r."end" AND k."end" > r.start GROUP BY 1, 2""")
+def first_links(spark, d):
+    """The first link that every line of a document has a part in."""
+    return intervals.first_overlap(runs(spark, d), links(spark, d), ["doc_id"], "link").select("doc_id", "run", "link")
+
+
+@query(r"""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, CASE WHEN length(text) % 3 > 0 THEN length(text) % 11 END AS name, role = 'user' AS mark FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT * FROM m WHERE NOT mark), n AS (SELECT m.conv_id, m.i, (SELECT min(b.i) FROM b WHERE b.conv_id = m.conv_id AND b.name = m.name) AS body FROM m WHERE mark),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS r FROM n WHERE body IS NULL),
+f AS (SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS r FROM b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conv_id = b.conv_id AND n.body = b.i))
+SELECT n.conv_id, n.i, coalesce(n.body, f.i) AS body FROM n LEFT JOIN l ON l.conv_id = n.conv_id AND l.i = n.i LEFT JOIN f ON f.conv_id = l.conv_id AND f.r = l.r""")
+def note_bodies(spark, d):
+    """Questions of every conversation as marks, answers as bodies: paired by name, the rest by order."""
+    rows = table(spark, d, "conversations").filter("conv_id is not null")
+    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    rows = rows.select("conv_id", i.cast("long").alias("i"), F.expr("if(length(text) % 3 > 0, length(text) % 11, null)").alias("name"), (F.col("role") == "user").alias("mark"))
+    return intervals.paired(rows.filter("mark").drop("mark"), rows.filter("not mark").drop("mark"), ["conv_id"], "i", "name").select("conv_id", "i", "body")

@@ -34,11 +34,11 @@ def selector_rows(spark, d):
     return library.selector_rows(spine, 8).select("book", "chapter", F.col("row").cast("long").alias("row_no"))
 
 
-@query("SELECT l_orderkey, l_linenumber, b.book FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS chapter, l_suppkey % 10 AS verse FROM lineitem) n JOIN (SELECT p_size % 10 AS chapter, p_partkey % 10 AS verse, max(p_partkey) AS book FROM part GROUP BY 1, 2) b USING (chapter, verse)")
+@query("SELECT conv_id, turn, role, b.book FROM (SELECT conv_id, turn, role, conv_id % 50 AS chapter, length(text) % 20 AS verse FROM conversations) n JOIN (SELECT doc_id % 50 AS chapter, n_chars % 20 AS verse, max(doc_id) AS book FROM documents GROUP BY 1, 2) b USING (chapter, verse)")
 def located_notes(spark, d):
-    notes = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 10).alias("chapter"), (F.col("l_suppkey") % 10).alias("verse"))
-    verses = table(spark, d, "part").select((F.col("p_size") % 10).cast("long").alias("chapter"), (F.col("p_partkey") % 10).alias("verse"), F.col("p_partkey").alias("book"))
-    return library.last_place(notes, verses).select("l_orderkey", "l_linenumber", "book")
+    notes = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.col("conv_id") % 50).alias("chapter"), (F.length("text") % 20).cast("long").alias("verse"))
+    verses = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("chapter"), (F.col("n_chars") % 20).alias("verse"), F.col("doc_id").alias("book"))
+    return library.last_place(notes, verses).select("conv_id", "turn", "role", "book")
 
 
 @query("""SELECT conv_id, role, max(turn) AS verse_end, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2""")
@@ -76,11 +76,13 @@ def paragraph_flags(spark, d):
     return documents.settled_paragraphs(rows).groupBy("doc_id").agg(F.count_if("paragraph").alias("flagged"))
 
 
-@query("""WITH b AS (SELECT DISTINCT l_suppkey AS page, unnest(generate_series(CAST(floor(l_partkey / 4) AS BIGINT), CAST(floor((l_partkey + l_quantity) / 4) AS BIGINT))) AS b FROM lineitem),
-g AS (SELECT page, b, lead(b) OVER (PARTITION BY page ORDER BY b) AS n FROM b) SELECT page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1""")
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents), w AS (SELECT doc_id, pos // 5 AS page, unnest(string_split(t, ' ')) AS w, unnest(range(0, len(string_split(t, ' ')))) AS i FROM s),
+f AS (SELECT doc_id, page, i % 7 * 100 + length(w) AS x, 6 * length(w) AS width FROM w), b AS (SELECT DISTINCT doc_id, page, unnest(generate_series(x // 4, (x + width) // 4)) AS b FROM f),
+g AS (SELECT doc_id, page, b, lead(b) OVER (PARTITION BY doc_id, page ORDER BY b) AS n FROM b) SELECT doc_id, page, CAST((arg_max(b, (n - b, -b)) + 1) * 4 AS DOUBLE) AS gutter_from, CAST(arg_max(n, (n - b, -b)) * 4 AS DOUBLE) AS gutter_to FROM g WHERE n > b + 1 GROUP BY 1, 2""")
 def page_gutters(spark, d):
-    rows = table(spark, d, "lineitem").select(F.lit(0).alias("doc_id"), F.col("l_suppkey").alias("page"), F.col("l_partkey").cast("double").alias("x"), F.col("l_quantity").alias("width"))
-    return documents.gutter(rows).select("page", "gutter_from", "gutter_to")
+    """The widest gap of every page of five lines, whose words stand in seven columns."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t")).select("doc_id", F.expr("bigint(pos div 5)").alias("page"), F.posexplode(F.split("t", " ")).alias("i", "w"))
+    return documents.gutter(words.select("doc_id", "page", F.expr("double(i % 7 * 100 + length(w))").alias("x"), F.expr("double(6 * length(w))").alias("width")))
 
 
 @query()
