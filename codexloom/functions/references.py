@@ -17,42 +17,77 @@ from pyspark.sql import functions as F
 
 from ..schema import BOOKS
 
-# The books' short German forms, in canon order.
-SHORT = (
-    "1Mo 2Mo 3Mo 4Mo 5Mo Jos Ri Rut 1Sa 2Sa 1Kö 2Kö 1Ch 2Ch Esr Neh Est Hi Ps Spr Pred Hld Jes Jer Klgl Hes Dan Hos Joel Am Ob Jona Mi Nah "
-    "Hab Zef Hag Sach Mal Mt Mk Lk Joh Apg Rö 1Ko 2Ko Gal Eph Phil Kol 1Th 2Th 1Ti 2Ti Tit Phm Heb Jak 1Pe 2Pe 1Jo 2Jo 3Jo Jud Off"
-).split()
-# English names in canon order; a name with "1-2" stands for one book of each number.
-ENGLISH = (
-    "Genesis, Exodus, Leviticus, Numbers, Deuteronomy, Joshua, Judges, Ruth, 1-2 Samuel, 1-2 Kings, 1-2 Chronicles, Ezra, Nehemiah, Esther, Job, "
-    "Psalms, Proverbs, Ecclesiastes, Song of Solomon, Isaiah, Jeremiah, Lamentations, Ezekiel, Daniel, Hosea, Joel, Amos, Obadiah, Jonah, Micah, "
-    "Nahum, Habakkuk, Zephaniah, Haggai, Zechariah, Malachi, Matthew, Mark, Luke, John, Acts, Romans, 1-2 Corinthians, Galatians, Ephesians, "
-    "Philippians, Colossians, 1-2 Thessalonians, 1-2 Timothy, Titus, Philemon, Hebrews, James, 1-2 Peter, 1-3 John, Jude, Revelation"
-)
-# German names in canon order, written alike.
-GERMAN = (
-    "1-5 Mose, Josua, Richter, Rut, 1-2 Samuel, 1-2 Könige, 1-2 Chronik, Esra, Nehemia, Ester, Hiob, Psalmen, Sprüche, Prediger, Hoheslied, Jesaja, "
-    "Jeremia, Klagelieder, Hesekiel, Daniel, Hosea, Joel, Amos, Obadja, Jona, Micha, Nahum, Habakuk, Zefanja, Haggai, Sacharja, Maleachi, Matthäus, "
-    "Markus, Lukas, Johannes, Apostelgeschichte, Römer, 1-2 Korinther, Galater, Epheser, Philipper, Kolosser, 1-2 Thessalonicher, 1-2 Timotheus, "
-    "Titus, Philemon, Hebräer, Jakobus, 1-2 Petrus, 1-3 Johannes, Judas, Offenbarung"
-)
-# Further abbreviations by OSIS id, in canon order.
-FURTHER = """
-Gen 1mos; Exod 2mos ex; Lev 3mos levitikus; Num 4mos numeri; Deut 5mos dtn dt deuteronomium; 1Sam 1sm; 2Sam 2sm; 1Kgs 1koen 1kg 1ki;
-2Kgs 2koen 2kg 2ki; 1Chr 1chronika; 2Chr 2chronika; Ps psalm pss; Prov prv; Eccl koh kohelet ecc qoh; Song hohelied sos; Lam kla; Ezek ez ezechiel;
-Dan dn; Joel jl; Obad obd; Jonah jon; Nah nam; Zeph zep zephanja; Hag hgg; Zech zec; Matt mat; Mark mrk; Luke luk; John jn; Acts act; Rom rm roem;
-1Cor 1kor 1co; 2Cor 2kor 2co; Phil php; 1Thess 1thes; 2Thess 2thes; Heb hebr; Jas jam; 1Pet 1petr 1pt; 2Pet 2petr 2pt; 1John 1joh 1jn;
-2John 2joh 2jn; 3John 3joh 3jn; Rev offb apk rv
+# Fixed values, a row a book in canon order: OSIS id, English and German name, short form, further abbreviations.
+NAMES = """
+Gen | Genesis | 1. Mose | 1Mo | 1mo 1mos
+Exod | Exodus | 2. Mose | 2Mo | 2mo 2mos ex
+Lev | Leviticus | 3. Mose | 3Mo | 3mo 3mos levitikus
+Num | Numbers | 4. Mose | 4Mo | 4mo 4mos numeri
+Deut | Deuteronomy | 5. Mose | 5Mo | 5mo 5mos dtn dt deuteronomium
+Josh | Joshua | Josua | Jos | jos
+Judg | Judges | Richter | Ri | ri
+Ruth | Ruth | Rut | Rut |
+1Sam | 1 Samuel | 1. Samuel | 1Sa | 1sa 1sm
+2Sam | 2 Samuel | 2. Samuel | 2Sa | 2sa 2sm
+1Kgs | 1 Kings | 1. Könige | 1Kö | 1koen 1kg 1ki
+2Kgs | 2 Kings | 2. Könige | 2Kö | 2koen 2kg 2ki
+1Chr | 1 Chronicles | 1. Chronik | 1Ch | 1ch 1chronika
+2Chr | 2 Chronicles | 2. Chronik | 2Ch | 2ch 2chronika
+Ezra | Ezra | Esra | Esr | esr
+Neh | Nehemiah | Nehemia | Neh |
+Esth | Esther | Ester | Est | est
+Job | Job | Hiob | Hi | hi
+Ps | Psalms | Psalmen | Ps | psalm pss
+Prov | Proverbs | Sprüche | Spr | spr prv
+Eccl | Ecclesiastes | Prediger | Pred | pred koh kohelet ecc qoh
+Song | Song of Solomon | Hoheslied | Hld | hld hohelied sos
+Isa | Isaiah | Jesaja | Jes | jes
+Jer | Jeremiah | Jeremia | Jer |
+Lam | Lamentations | Klagelieder | Klgl | klgl kla
+Ezek | Ezekiel | Hesekiel | Hes | hes ez ezechiel
+Dan | Daniel | Daniel | Dan | dn
+Hos | Hosea | Hosea | Hos |
+Joel | Joel | Joel | Joel | jl
+Amos | Amos | Amos | Am | am
+Obad | Obadiah | Obadja | Ob | obd ob
+Jonah | Jonah | Jona | Jona | jon
+Mic | Micah | Micha | Mi | mi
+Nah | Nahum | Nahum | Nah | nam
+Hab | Habakkuk | Habakuk | Hab |
+Zeph | Zephaniah | Zefanja | Zef | zef zep zephanja
+Hag | Haggai | Haggai | Hag | hgg
+Zech | Zechariah | Sacharja | Sach | sach zec
+Mal | Malachi | Maleachi | Mal |
+Matt | Matthew | Matthäus | Mt | mt mat
+Mark | Mark | Markus | Mk | mk mrk
+Luke | Luke | Lukas | Lk | lk luk
+John | John | Johannes | Joh | joh jn
+Acts | Acts | Apostelgeschichte | Apg | apg act
+Rom | Romans | Römer | Rö | rm roem
+1Cor | 1 Corinthians | 1. Korinther | 1Ko | 1kor 1co
+2Cor | 2 Corinthians | 2. Korinther | 2Ko | 2kor 2co
+Gal | Galatians | Galater | Gal |
+Eph | Ephesians | Epheser | Eph |
+Phil | Philippians | Philipper | Phil | php
+Col | Colossians | Kolosser | Kol | kol
+1Thess | 1 Thessalonians | 1. Thessalonicher | 1Th | 1thes 1th
+2Thess | 2 Thessalonians | 2. Thessalonicher | 2Th | 2thes 2th
+1Tim | 1 Timothy | 1. Timotheus | 1Ti | 1ti
+2Tim | 2 Timothy | 2. Timotheus | 2Ti | 2ti
+Titus | Titus | Titus | Tit | tit
+Phlm | Philemon | Philemon | Phm | phm
+Heb | Hebrews | Hebräer | Heb | hebr
+Jas | James | Jakobus | Jak | jak jam
+1Pet | 1 Peter | 1. Petrus | 1Pe | 1petr 1pt 1pe
+2Pet | 2 Peter | 2. Petrus | 2Pe | 2petr 2pt 2pe
+1John | 1 John | 1. Johannes | 1Jo | 1joh 1jn
+2John | 2 John | 2. Johannes | 2Jo | 2joh 2jn
+3John | 3 John | 3. Johannes | 3Jo | 3joh 3jn
+Jude | Jude | Judas | Jud | jud
+Rev | Revelation | Offenbarung | Off | offb apk rv
 """
-
-
-def numbered(names: str) -> list[str]:
-    """The names of a table, those of several books once for each."""
-    out = []
-    for name in names.split(", "):
-        m = re.fullmatch(r"1-([0-9]) (.*)", name)
-        out += [f"{i} {m[2]}" for i in range(1, int(m[1]) + 1)] if m else [name]
-    return out
+ROWS = [[cell.strip() for cell in row.split("|")] for row in NAMES.strip().splitlines()]
+SHORT = [row[3] for row in ROWS]
 
 
 def book_key(name: str) -> str:
@@ -98,11 +133,8 @@ class Names:
 
     def __init__(self, more: dict[str, int] | None = None):
         self.at: dict[str, int] = {}
-        for table in (BOOKS, SHORT, numbered(ENGLISH), numbered(GERMAN)):
-            self.at |= {book_key(n): i for i, n in enumerate(table)}
-        for line in FURTHER.replace("\n", " ").split(";"):
-            osis, *short = line.split()
-            self.at |= {n: BOOKS.index(osis) for n in short}
+        for i, (osis, english, german, short, further) in enumerate(ROWS):
+            self.at |= {book_key(n): i for n in (osis, english, german, short, *further.split())}
         self.at |= {book_key(n): i for n, i in (more or {}).items()}
         name = "|".join(self._spelling(k) for k in sorted(self.at, key=len, reverse=True))
         book = rf"(?i:{name})(?![^\W\d_])"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -174,24 +175,26 @@ def class_styles_udf():
     return run
 
 
+#: Marks of JPEG segments: those that hold the frame's measures, and those that stand alone.
+FRAMES, BARE = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}, {0x01, *range(0xD0, 0xD9)}
+_MARK = re.compile(rb"\xff+([^\x00\xff])")
+
+
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Mark and content of each segment; bytes between segments are passed over."""
+    found = _MARK.search(data)
+    while found:
+        size = 0 if found[1][0] in BARE else int.from_bytes(data[found.end() : found.end() + 2])
+        yield found[1][0], data[found.end() + 2 : found.end() + size]
+        found = _MARK.search(data, found.end() + size)
+
+
 def picture_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from a PNG's first chunk, or from a JPEG's frame header."""
+    """Width and height from a PNG's first chunk, or from the first frame of a JPEG."""
     if data.startswith(b"\x89PNG\r\n\x1a\n") and len(data) >= 24:
         return struct.unpack(">II", data[16:24])
-    # Segments up to the first frame header, each skipped by its length; fill and stand-alone marks have none.
-    m = re.match(rb"\xff\xd8", data)
-    at = 2 if m else len(data)
-    while at + 9 <= len(data):
-        kind = data[at + 1] if data[at] == 0xFF else None
-        if kind is None:
-            at += 1
-        elif kind in (0x01, 0xFF) or 0xD0 <= kind <= 0xD8:
-            at += 2 if kind != 0xFF else 1
-        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            return struct.unpack(">HH", data[at + 5 : at + 9])[::-1]
-        else:
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    return None
+    frames = (content for mark, content in jpeg_segments(data) if mark in FRAMES and len(content) >= 5) if data.startswith(b"\xff\xd8") else iter(())
+    return next((struct.unpack(">HH", content[1:5])[::-1] for content in frames), None)
 
 
 def picture_size_udf():

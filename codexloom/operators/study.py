@@ -17,11 +17,10 @@ BADGES = "123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def book_names(spark: SparkSession) -> DataFrame:
     """book, osis, english, german, abbrev, category index: a dimension of fixed size."""
-    from ..schema import BOOKS, CATEGORIES
+    from ..schema import CATEGORIES
 
     kind = lambda i: next(k for k, (last, _) in enumerate(CATEGORIES) if i <= last)
-    german = [n if not n[0].isdigit() else n.replace(" ", ". ", 1) for n in refs.numbered(refs.GERMAN)]
-    rows = [(i, osis, refs.numbered(refs.ENGLISH)[i], german[i], refs.SHORT[i], kind(i)) for i, osis in enumerate(BOOKS)]
+    rows = [(i, osis, english, german, short, kind(i)) for i, (osis, english, german, short, _) in enumerate(refs.ROWS)]
     return spark.createDataFrame(rows, "book int, osis string, english string, german string, abbrev string, category int")
 
 

@@ -7,6 +7,7 @@ paragraph flag from the order of its spans and of those in the gap before it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -88,28 +89,39 @@ def spans(content: bytes) -> Iterator[Span]:
             around.append((name, own, n if own != role else owner))
 
 
-def _joined(own: list[Span], role: str) -> list[str]:
-    """Texts of the elements of a role, in order."""
-    found = [s for s in own if s.role == role]
-    texts = (collapse("".join(s.value for s in group)) for _, group in groupby(found, lambda s: s.owner))
-    return [t for t in texts if t]
-
-
 def _headings(own: list[Span], level: int) -> tuple[list[tuple[int, str]], int]:
     """(level, text) of headings, and the level that the next one has. A section's level holds for one heading."""
-    out, start = [], 0
+    out, ends = [], {s.owner: i for i, s in enumerate(own) if s.role == HEADING}
+    parts: dict[int, list[str]] = {}
     for i, s in enumerate(own):
         if s.role == SECTION:
             level = s.value
-        last = s.role == HEADING and not any(x.role == HEADING and x.owner == s.owner for x in own[i + 1 :])
-        if last:
-            texts = _joined([x for x in own[start : i + 1] if x.owner == s.owner], HEADING)
-            out += [(level, t) for t in texts]
-            level = 1 if texts else level
-            start = i + 1
+        elif s.role == HEADING:
+            parts.setdefault(s.owner, []).append(s.value)
+            if i == ends[s.owner]:
+                if text := collapse("".join(parts[s.owner])):
+                    out.append((level, text))
+                    level = 1
+                parts.clear()
     return out, level
 
 
+def _notes(own: list[Span]) -> list[tuple[int, str]]:
+    """Notes with the bytes of text before them, spaces collapsed, in one pass."""
+    size, space, found = 0, False, {}
+    for s in own:
+        if s.role == NOTE:
+            found.setdefault(s.owner, (size, []))[1].append(s.value)
+        elif s.role == BODY:
+            for word in re.findall(r"\s+|\S+", s.value):
+                if word.isspace():
+                    space = size > 0
+                else:
+                    size, space = size + space + len(word.encode()), False
+    texts = ((at, collapse("".join(parts))) for at, parts in found.values())
+    return [(at, text) for at, text in texts if text]
+
+
 def rows(all_spans: list[Span]) -> Iterator[dict]:
     """Rows of verses, headings and notes, in order."""
     bounds = [i for i, s in enumerate(all_spans) if s.role in (VERSE, CLOSE)]
@@ -130,11 +142,7 @@ def rows(all_spans: list[Span]) -> Iterator[dict]:
         opens = opens or any(s.role == PARAGRAPH for s in own[:first])
         made = [{"kind": "heading", "level": n, "text": t} for n, t in waiting]
         waiting = []
-        for owner in dict.fromkeys(s.owner for s in own if s.role == NOTE):
-            at = next(i for i, s in enumerate(own) if s.role == NOTE and s.owner == owner)
-            before = collapse("".join(s.value for s in own[:at] if s.role == BODY))
-            texts = _joined([s for s in own if s.owner == owner], NOTE)
-            made += [{"kind": "note", "offset": len(before.encode()), "text": t} for t in texts]
+        made += [{"kind": "note", "offset": at, "text": text} for at, text in _notes(own)]
         text = collapse("".join(s.value for s in own if s.role == BODY))
         if text:
             made.append({"kind": "verse", "text": text, "paragraph": opens})
@@ -154,7 +162,8 @@ def parse(content: bytes) -> Iterator[dict]:
     root = next((s.value for s in found if s.role == ROOT), {})
     if not root.get("osisIDWork"):
         raise ValueError("no work id")
-    title = (_joined(found, WORK) or [""])[0]
+    titles = (collapse("".join(s.value for s in group)) for _, group in groupby((s for s in found if s.role == WORK), lambda s: s.owner))
+    title = next(filter(None, titles), "")
     for row in out:
         yield row | {"code": root["osisIDWork"], "language": root.get("xml:lang", ""), "title": title}
 
