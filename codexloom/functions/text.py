@@ -100,8 +100,10 @@ def book_key(name: Column) -> Column:
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """Bytes [start, end) of the UTF-8 text; null where the range is outside or cuts a character."""
-    raw = F.substring(F.encode(text, "UTF-8"), start + 1, end - start)
-    inside = (start >= 0) & (end >= start) & (end <= F.octet_length(text))
+    whole = F.encode(text, "UTF-8")
+    raw = F.substring(whole, start + 1, end - start)
+    # The byte at the start opens a character, also where the range is empty.
+    inside = (start >= 0) & (end >= start) & (end <= F.octet_length(text)) & ~F.hex(F.substring(whole, start + 1, F.lit(1))).rlike("^[89AB]")
     return F.when(inside & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
 
 

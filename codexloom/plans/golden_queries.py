@@ -1,4 +1,4 @@
-"""Queries over literal inputs, held against stated results."""
+"""Text and reference functions over the given tables. Stated cases, with their stated results, are dealt to the documents by their ids."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import references as refs
 from ..functions import text as tx
 from ..operators import layout, search
-from ..schema import canon
-from .registry import query
+from .library_queries import SCORES_SQL, SEARCH
+from .registry import query, table
 
 NAMES = refs.built_in()
 
@@ -25,8 +25,6 @@ TOKENS = [
     ("Bäume", "baum"), ("Jahwe liebt Geduld", "herr lieb langmutig"), ("ist", "ist"), ("daß", "da"), ("Himmel—Erde", "himmelerd"), ("a–b", "ab"), ("½", "12"),
     ("ﬁnden", "find"), ("it’s", "its"), ("™", "tm"), ("", ""),
 ]
-# The ranked search's texts.
-PSALM = ["Und die Schlange war listiger denn alle Tiere auf dem Felde.", "Der HERR ist mein Hirte, mir wird nichts mangeln.", "Ich bin der gute Hirte und kenne die Meinen.", "Am Anfang schuf Gott Himmel und Erde."]
 # Strings, and what they parse to.
 PARSED = [
     ("Joh 3,16", "John.3.16", None), ("John 3:16", "John.3.16", None), ("John.3.16", "John.3.16", None), ("1 Kor 13:4-7", "1Cor.13.4-1Cor.13.7", None),
@@ -46,59 +44,88 @@ SCANNED = [
     ("er nicht tun will (V. 15-16), während er das Gute (V. 19) nicht tut; in Kapitel 2 und Vv. 3–5 wie in Gal 2,17-21 und V. 12f.", "Rom", 7, "Rö 7,15-16; Rö 7,19; Rö 2; Rö 7,3-5; Gal 2,17-21; Rö 7,12"),
     ("siehe V. 15", "Rom", None, ""), ("Kol 2; 2Kor 11,1-4.13-15", None, None, "Kol 2; 2Ko 11,1-15"), ("Hi 38,8-11; Ps 104,5.14-17", None, None, "Hi 38,8-11; Ps 104,5-17"), ("Joh 3,16. Denn", None, None, "Joh 3,16"),
 ]
-# A paragraph's items and its lines.
-BROKEN = [("7 11 5 9 13 6 8 10 4 12 9 7 11 5 8", 34, "5 11 17 23 31")]
 # File names, titles and codes.
 TITLES = [("256386_kommentar-zum-roemerbrief_download.pdf", "Kommentar zum roemerbrief", "KommentarZumRoem"), ("a/b/Die_Psalmen-final.epub", "Die Psalmen", "DiePsalmen"), ("2024.pdf", "", "Document")]
 
 
-@query(_values(TOKENS, "text, tokens"))
+def _dealt(rows: list[tuple], columns: str) -> str:
+    """SQL of documents with the case that falls to each."""
+    return f"(SELECT doc_id, c.* EXCLUDE (k) FROM documents d JOIN ({_values([(i, *r) for i, r in enumerate(rows)], f'k, {columns}')}) c ON d.doc_id % {len(rows)} = c.k)"
+
+
+def _cases(spark, d, rows: list[tuple], columns: str):
+    """Documents (doc_id, text) with the case that falls to each; the cases are a handful."""
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_k int, {columns}")
+    return table(spark, d, "documents").select("doc_id").join(F.broadcast(cases), F.col("doc_id") % len(rows) == F.col("_k")).drop("_k")
+
+
+@query(f"SELECT doc_id, trim(tokens || ' ' || doc_id) AS tokens FROM {_dealt(TOKENS, 'text, tokens')}")
 def tokenize_golden(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in TOKENS], "text string").select("text", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+    rows = _cases(spark, d, [(t,) for t, _ in TOKENS], "text string")
+    return rows.select("doc_id", F.array_join(tx.tokens(F.concat_ws(" ", "text", "doc_id")), " ").alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES ('Der Herr ist mein Hirte', 1, CAST(4.487387 AS DOUBLE)), ('Der Herr ist mein Hirte', 2, 2.079442), ('Schlange', 0, 1.094521)) t(query, doc, score)")
+@query("WITH documents AS (SELECT conv_id * 1000 + turn AS doc_id, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1), " + SCORES_SQL.removeprefix("WITH "))
 def bm25_pinned(spark, d):
-    docs = spark.createDataFrame(list(enumerate(PSALM)), "doc int, text string")
-    parts = [search.scores(docs, "doc", "text", q).filter("score > 0").select(F.lit(q).alias("query"), "doc", F.round("score", 6).alias("score")) for q in ("Der Herr ist mein Hirte", "Schlange", "Bäume", "")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """Scores of the turns of all conversations."""
+    turns = table(spark, d, "conversations").filter("conv_id is not null and turn is not null").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")).agg(F.min("text").alias("text"))
+    return search.scores(turns, "doc_id", "text", SEARCH).filter("score > 0").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(_values(PARSED, "input, osis, error"))
+@query(f"SELECT doc_id, input, osis, error FROM {_dealt(PARSED, 'input, osis, error')} UNION ALL SELECT doc_id, b || ' ' || c || ',' || v, o || '.' || c || CASE WHEN v > 0 THEN '.' || v ELSE '' END, NULL FROM (SELECT doc_id, b, o, 1 + n_chars % 40 AS c, 1 + n_chars % 30 AS v FROM documents JOIN ({_values([(i, r[1], r[0]) for i, r in enumerate(refs.ROWS)], 'k, b, o')}) ON k = doc_id % 66) x")
 def reference_parse_golden(spark, d):
-    rows = spark.createDataFrame([(t,) for t, *_ in PARSED], "input string")
-    return rows.select("input", refs.parse_udf(NAMES)("input").alias("r")).select("input", "r.osis", "r.error")
+    """The stated cases, and a verse of every document's own book."""
+    rows = _cases(spark, d, [(t,) for t, *_ in PARSED], "input string")
+    books = spark.createDataFrame([(i, r[1]) for i, r in enumerate(refs.ROWS)], "_k int, b string")
+    own = table(spark, d, "documents").join(F.broadcast(books), F.col("doc_id") % 66 == F.col("_k")).select("doc_id", F.expr("concat(b, ' ', 1 + n_chars % 40, ',', 1 + n_chars % 30)").alias("input"))
+    return rows.unionByName(own).select("doc_id", "input", refs.parse_udf(NAMES)("input").alias("r")).select("doc_id", "input", "r.osis", "r.error")
 
 
-@query(_values([(t, f) for t, _, _, f in SCANNED], "input, found"))
+_BOOK = "[" + ", ".join(f"'{n}'" for n in refs.SHORT) + "]"
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))))) AS i FROM documents)
+SELECT doc_id, string_agg({_BOOK}[(doc_id + i) % 66 + 1] || ' ' || (i % 20 + 1) || ',' || (i % 9 + 1) || '-' || (i % 9 + 3), '; ' ORDER BY i) AS found FROM s GROUP BY doc_id""")
 def reference_scan_golden(spark, d):
-    rows = spark.createDataFrame([x[:3] for x in SCANNED], "input string, book string, chapter int")
-    return rows.select("input", F.array_join(F.transform(refs.scan_udf(NAMES)("input", "book", "chapter"), lambda r: r["concise"]), "; ").alias("found"))
+    """References between the lines of every document, found in its whole text."""
+    books = F.expr(f"array({', '.join(repr(n) for n in refs.SHORT)})")
+    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"), books.alias("b"))
+    text = F.expr("array_join(transform(l, (x, i) -> if(i = 0, x, concat(' (vgl. ', get(b, int((doc_id + i) % 66)), ' ', i % 20 + 1, ',', i % 9 + 1, '-', i % 9 + 3, ') ', x))), '\n')")
+    rows = lines.filter("size(l) > 1").select("doc_id", text.alias("input"), F.lit(None).cast("string").alias("book"), F.lit(None).cast("int").alias("chapter"))
+    return rows.select("doc_id", F.array_join(F.transform(refs.scan_udf(NAMES)("input", "book", "chapter"), lambda r: r["concise"]), "; ").alias("found"))
+
+
+@query(f"SELECT doc_id, input, found FROM {_dealt([(t, f) for t, _, _, f in SCANNED], 'input, found')}")
+def reference_scan_cases(spark, d):
+    rows = _cases(spark, d, [x[:3] for x in SCANNED], "input string, book string, chapter int")
+    return rows.select("doc_id", "input", F.array_join(F.transform(refs.scan_udf(NAMES)("input", "book", "chapter"), lambda r: r["concise"]), "; ").alias("found"))
 
 
-@query("SELECT category, CAST(n AS BIGINT) AS n FROM (VALUES ('Law', 5), ('HistoryOt', 12), ('Wisdom', 5), ('MajorProphets', 5), ('MinorProphets', 12), ('Gospels', 4), ('HistoryNt', 1), ('Epistles', 21), ('Apocalyptic', 1)) t(category, n)")
+@query("""SELECT CASE WHEN b < 5 THEN 'Law' WHEN b < 17 THEN 'HistoryOt' WHEN b < 22 THEN 'Wisdom' WHEN b < 27 THEN 'MajorProphets' WHEN b < 39 THEN 'MinorProphets' WHEN b < 43 THEN 'Gospels' WHEN b = 43 THEN 'HistoryNt' WHEN b < 65 THEN 'Epistles' ELSE 'Apocalyptic' END AS category, count(*) AS n FROM (SELECT doc_id % 66 AS b FROM documents) GROUP BY 1""")
 def book_category(spark, d):
-    return canon(spark).select(refs.category(F.col("book")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select(refs.category((F.col("doc_id") % 66).cast("int")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query(_values(BROKEN, "widths, line, breaks"))
+@query()
 def knuth_plass_golden(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in BROKEN], "widths string, line int")
-    return rows.select("widths", "line", F.array_join(layout.break_words_udf()(F.split("widths", " ").cast("array<int>"), F.col("line")).cast("array<string>"), " ").alias("breaks"))
+    """Line breaks of every turn's words, a character seven units wide; held by tests against stated breaks."""
+    rows = table(spark, d, "conversations").filter("length(trim(text)) > 0").select("conv_id", "turn", F.expr("transform(filter(split(text, ' '), w -> w <> ''), w -> least(200, 7 * length(w)))").alias("widths"))
+    return rows.select("conv_id", "turn", F.array_join(layout.break_words_udf()("widths", F.lit(400)).cast("array<string>"), " ").alias("breaks"))
 
 
-@query(_values(TITLES, "path, title, code"))
+@query(f"SELECT doc_id, doc_id || '/' || path AS path, title, code FROM {_dealt(TITLES, 'path, title, code')}")
 def document_titles(spark, d):
-    rows = spark.createDataFrame([(t,) for t, *_ in TITLES], "path string").withColumn("title", tx.title_from_filename(F.col("path")))
-    return rows.withColumn("code", tx.module_code(F.col("title")))
+    rows = _cases(spark, d, [(t,) for t, *_ in TITLES], "path string").select("doc_id", F.concat_ws("/", "doc_id", "path").alias("path"))
+    return rows.withColumn("title", tx.title_from_filename(F.col("path"))).withColumn("code", tx.module_code(F.col("title")))
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (25, 'z'), (26, 'aa'), (51, 'az'), (52, 'ba'), (701, 'zz'), (702, 'aaa')) t(i, label)")
+@query("SELECT doc_id, CASE WHEN doc_id < 26 THEN chr(97 + i) WHEN doc_id < 702 THEN chr(96 + i // 26) || chr(97 + i % 26) ELSE chr(97 + (i - 702) // 676) || chr(97 + (i - 702) // 26 % 26) || chr(97 + (i - 702) % 26) END AS label FROM (SELECT doc_id, CAST(doc_id AS INTEGER) AS i FROM documents WHERE doc_id < 18278)")
 def marker_labels(spark, d):
-    return spark.createDataFrame([(i,) for i in (0, 25, 26, 51, 52, 701, 702)], "i int").select("i", tx.marker_label(F.col("i")).alias("label"))
+    """Labels of the document ids that three letters name; longer ones by tests."""
+    return table(spark, d, "documents").filter("doc_id < 18278").select("doc_id", tx.marker_label(F.col("doc_id")).alias("label"))
 
 
-@query("SELECT * FROM (VALUES (0, 5, 'Bäum'), (0, 2, NULL), (1, 3, 'ä'), (3, 99, NULL), (0, 0, '')) t(a, b, slice)")
+@query("""WITH p AS (SELECT doc_id, text, doc_id % 50 AS a, doc_id % 50 + n_chars % 40 AS b, list_transform(range(0, 101), lambda i: strlen(left(text, i))) AS cum FROM documents), q AS (SELECT *, list_position(cum, a) AS x, list_position(cum, b) AS y FROM p)
+SELECT doc_id, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN substring(text, x, y - x) END AS slice FROM q""")
 def byte_slices(spark, d):
-    rows = spark.createDataFrame([(0, 5), (0, 2), (1, 3), (3, 99), (0, 0)], "a int, b int")
-    return rows.select("a", "b", tx.byte_slice(F.lit("Bäume"), F.col("a"), F.col("b")).alias("slice"))
+    return table(spark, d, "documents").select("doc_id", tx.byte_slice(F.col("text"), (F.col("doc_id") % 50).cast("int"), (F.col("doc_id") % 50 + F.col("n_chars") % 40).cast("int")).alias("slice"))

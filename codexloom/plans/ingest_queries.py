@@ -37,11 +37,14 @@ def osis_roundtrip(spark, d):
     return osis.documents(rows).select(F.explode(back("xml")).alias("v")).select("v.*")
 
 
-@query("SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false), ('d', false), ('e', false), ('f', false)) t(id, valid)")
+@query("SELECT doc_id, doc_id % 6 < 2 AS valid FROM documents")
 def plan_validation(spark, d):
-    good = '{"name":"Year","source":"x","days":[[{"label":"1Mo 1","osis":"Gen.1"}],[{"label":"Joh 3,16","osis":"John.3.16"}]]}'
-    rows = [("a", good), ("b", good.replace('"source":"x",', "")), ("c", "{}"), ("d", '{"name":"N","days":[]}'), ("e", '{"name":"N","days":[[]]}'), ("f", "no json")]
-    return plans.parsed(spark.createDataFrame(rows, "id string, json string")).select("id", "valid")
+    """A plan for every document: whole, without a source, empty, without days, with an empty day, or no JSON."""
+    day = "array(struct(concat('1Mo ', doc_id % 50 + 1) as label, concat('Gen.', doc_id % 50 + 1) as osis))"
+    whole = f"to_json(struct(concat('Plan ', doc_id) as name, if(doc_id % 6 = 0, source, null) as source, array({day}, {day}) as days))"
+    text = f"case doc_id % 6 when 2 then '{{}}' when 3 then concat('{{\"name\":\"', doc_id, '\",\"days\":[]}}') when 4 then concat('{{\"name\":\"', doc_id, '\",\"days\":[[]]}}') when 5 then left(text, 20) else {whole} end"
+    rows = table(spark, d, "documents").select("doc_id", F.expr(text).alias("json"))
+    return plans.parsed(rows).select("doc_id", "valid")
 
 
 @query(f"WITH {_OPS} SELECT key, value, s[1] AS millis, s[2] AS counter, s[3] AS device FROM ({_FOLD.format('ops')})")

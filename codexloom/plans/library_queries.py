@@ -24,7 +24,7 @@ tok AS (SELECT {key}, {_TOKEN} AS term FROM words WHERE w <> '')"""
 
 _LENGTHS = "len AS (SELECT d.doc_id, coalesce(n, 0) AS len FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) USING (doc_id))"
 _QUERY = f"""q0 AS (SELECT unnest(string_split(lower('{SEARCH}'), ' ')) AS w), q AS (SELECT {_TOKEN} AS term FROM q0)"""
-_SCORES = f"""WITH {_tokens_sql()}, {_LENGTHS}, {_QUERY},
+SCORES_SQL = f"""WITH {_tokens_sql()}, {_LENGTHS}, {_QUERY},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len) FROM len) AS avg),
 scored AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg))), 6) AS score
@@ -36,12 +36,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query(_SCORES + " ORDER BY score DESC, doc_id LIMIT 10")
+@query(SCORES_SQL + " ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
     return search.top_hits(_docs(spark, d), "doc_id", "text", SEARCH, 10)
 
 
-@query(_SCORES)
+@query(SCORES_SQL)
 def bm25_scores(spark, d):
     return search.scores(_docs(spark, d), "doc_id", "text", SEARCH).select("doc_id", F.round("score", 6).alias("score")).filter("score > 0")
 

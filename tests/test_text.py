@@ -128,3 +128,24 @@ def test_built_in_names():
     assert len(names.at) == 294 and set(names.at.values()) == set(range(66))
     found = [f.osis() for f in refs.scan("See Song of Solomon 2:1-3.5, then 4,2; 1. Joh 3,1b and Kap. 2", names)]
     assert found == ["Song.2.1-Song.2.5", "Song.4.2", "Song.2"]
+
+
+def test_scores_of_four_documents(spark):
+    """Scores of a small corpus."""
+    from codexloom.operators import search
+
+    texts = ["Und die Schlange war listiger denn alle Tiere auf dem Felde.", "Der HERR ist mein Hirte, mir wird nichts mangeln.", "Ich bin der gute Hirte und kenne die Meinen.", "Am Anfang schuf Gott Himmel und Erde."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    found = lambda q: {r["doc"]: round(r["score"], 6) for r in search.scores(docs, "doc", "text", q).filter("score > 0").collect()}
+    assert found("Der Herr ist mein Hirte") == {1: 4.487387, 2: 2.079442}
+    assert found("Schlange") == {0: 1.094521} and found("Bäume") == found("") == {}
+
+
+def test_breaks_of_a_paragraph():
+    """A paragraph's widths and the items at which its lines end."""
+    from codexloom.operators.layout import box, break_lines, glue, paragraph
+
+    items = []
+    for i, width in enumerate((7, 11, 5, 9, 13, 6, 8, 10, 4, 12, 9, 7, 11, 5, 8)):
+        items += [glue(400, 200, 100)] * (i > 0) + [box(100 * width)]
+    assert break_lines(paragraph(items), 3400)[0] == [5, 11, 17, 23, 31]

@@ -4,8 +4,7 @@ import pytest
 
 from codexloom.plans import registry
 
-LINES = [(7, 1, 23, 14, 8.0), (499, 2, 15, 33, 3.0), (500, 1, 23, 24, 50.0), (9_000_000, 7, 36, 21, 12.0), (9_000_000, 3, 1, 21, 2.0), (9_000_001, 7, 90, 21, 9.0), (None, 1, 26, 1002, 1.0)]
-PARTS = [(14, 3), (24, 13), (31, 5), (41, 6), (52, 46), (3, 5)]
+DOCS = [(0, "a bb", 4), (51, "one\ntwo three four five six\n\n\n\nnext page", 43), (9_000_001, "x", 1), (500, "y" * 21, 21), (550, "z", 1), (600, None, None), (None, "n", 1)]
 LABELS = [(4, 1, 0), (59, 1, 1), (60, 1, 1), (701, 0, 0), (80_003, 0, 1), (80_004, 2, 1)]
 TURNS = [(0, 0, "a"), (999_999, 1, "b"), (1_000_000, 0, "c"), (5_000_000_000, 3, "d"), (None, 2, "e")]
 
@@ -14,10 +13,9 @@ TURNS = [(0, 0, "a"), (999_999, 1, "b"), (1_000_000, 0, "c"), (5_000_000_000, 3,
 def place(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("whole")
     for name, rows, shape in (
-        ("lineitem", LINES, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"),
-        ("part", PARTS, "p_partkey long, p_size int"),
+        ("documents", DOCS, "doc_id long, text string, n_chars long"),
         ("labels", LABELS, "doc_id long, quality int, toxic int"),
-        ("conversations", TURNS, "conv_id long, turn int, text string"),
+        ("conversations", [(*t, "user") for t in TURNS], "conv_id long, turn int, text string, role string"),
     ):
         spark.createDataFrame(rows, shape).write.parquet(f"{at}/{name}.parquet")
     return str(at)
@@ -33,22 +31,25 @@ def test_all_rows_keeps_large_and_null_ids(spark, place):
 
 def test_located_notes(spark, place):
     expected = []
-    for order, line, part, supplier, _ in LINES:
-        books = [p for p, size in PARTS if size % 10 == part % 10 and p % 10 == supplier % 10]
-        expected += [(order, line, max(books))] if books else []
-    assert {None, 500, 9_000_000} <= {r[0] for r in expected}
+    for conv, turn, text in TURNS:
+        books = [i for i, _, n in DOCS if None not in (i, n, conv) and i % 50 == conv % 50 and n % 20 == len(text) % 20]
+        expected += [(conv, turn, "user", max(books))] if books else []
+    assert {r[0] for r in expected} == {0, 1_000_000, 5_000_000_000} and {r[3] for r in expected} == {550}
     assert sorted(rows_of(spark, place, "located_notes"), key=str) == sorted(expected, key=str)
 
 
 def test_page_gutters(spark, place):
     expected = []
-    for page in {r[3] for r in LINES}:
-        bins = sorted({b for _, _, x, own, width in LINES if own == page for b in range(int(x // 4), int((x + width) // 4) + 1)})
-        gaps = [(b - a, -a, b) for a, b in zip(bins[:-1], bins[1:], strict=True) if b > a + 1]
-        if gaps:
-            _, a, b = max(gaps)
-            expected.append((page, (1 - a) * 4.0, b * 4.0))
-    assert [r[0] for r in expected] == [21]
+    for doc, text, _ in DOCS:
+        lines = (text or "").split("\n")
+        for page in range(0, len(lines), 5):
+            words = [(i % 7 * 100 + len(w), 6 * len(w)) for line in lines[page : page + 5] for i, w in enumerate(line.split(" "))]
+            bins = sorted({b for x, width in words for b in range(x // 4, (x + width) // 4 + 1)})
+            gaps = [(b - a, -a, b) for a, b in zip(bins[:-1], bins[1:], strict=True) if b > a + 1]
+            if gaps:
+                _, a, b = max(gaps)
+                expected.append((doc, page // 5, (1 - a) * 4.0, b * 4.0))
+    assert {(r[0], r[1]) for r in expected} == {(0, 0), (51, 0), (51, 1)}
     assert sorted(rows_of(spark, place, "page_gutters")) == sorted(expected)
 
 
