@@ -62,34 +62,40 @@ def _place(rows: DataFrame, value: str, at: str) -> DataFrame:
     return upto.filter(F.col("_u") > F.expr(at)).groupBy("doc_id").agg(F.min(value).alias(value))
 
 
+_TEXT = "array_join(transform(cells, c -> coalesce(c.text, '')), ' ')"
+
+
 def _measured(lines: DataFrame, profile: DataFrame, size: int) -> DataFrame:
-    """Lines with their text, what the line before says, and what the rules ask of them by themselves."""
+    """What the rules ask of each line by itself and by the line before. Texts stay behind: only what they say goes on."""
     number = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("top", "left", "right", "size")}
-    rows = lines.select("doc_id", "pos", "page", *(v.alias(c) for c, v in number.items()), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("bold", "italic")), F.coalesce("cells", F.array().cast("array<struct<left:double,text:string>>")).alias("cells"))
-    rows = rows.withColumn("text", F.expr("array_join(transform(cells, c -> coalesce(c.text, '')), ' ')")).withColumn("n_cells", F.size("cells"))
+    rows = lines.select("doc_id", "pos", "page", *(v.alias(c) for c, v in number.items()), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("bold", "italic")), F.coalesce("cells", F.array().cast("array<struct<left:double,text:string>>")).alias("cells"), F.expr(f"coalesce({_TEXT}, '')").alias("text"))
+    text, ended = F.col("text"), F.rtrim("text")
+    rows = rows.select(
+        "doc_id", "pos", "page", *number, "bold", "italic", F.size("cells").alias("n_cells"), F.expr("if(size(cells) >= 2, transform(slice(cells, 2, size(cells)), c -> c.left), null)").alias("_columns"),
+        F.expr(r"forall(cells, c -> size(filter(split(coalesce(c.text, ''), '\\s+'), w -> w <> '')) <= 4)").alias("_brief"), F.trim(text).rlike("^[0-9]*$").alias("digits"), list_mark(text).isNotNull().alias("mark"), list_number(text).alias("number"),
+        (F.col("bold") & text.rlike(r"^\s*[0-9]{1,3}\s")).alias("scripture"), ended.rlike("(­|.-)$").alias("_hyphen"), ended.rlike(":$").alias("_colon"),
+    )
     rows = rows.join(profile.select("doc_id", "body_size", "body_pitch", "body_left", "body_right"), "doc_id")
-    before = F.struct("page", "top", "right", "size", "bold", "text")
-    rows = carried(rows, ["doc_id"], ["pos"], F.expr(f"pos div {size}"), lag={"prev": before}, last={"columns": F.when(F.col("n_cells") >= 2, F.expr("transform(slice(cells, 2, n_cells), c -> c.left)"))})
+    before = F.struct("page", "top", "right", "size", "bold", "_hyphen", "_colon")
+    rows = carried(rows, ["doc_id"], ["pos"], F.expr(f"pos div {size}"), lag={"prev": before}, last={"columns": F.col("_columns")})
     measure = F.col("body_right") - F.col("body_left")
     edge = F.col("body_right") - 0.25 * measure
     turned = F.when((F.col("prev.page") < F.col("page")) & (F.col("prev.right") >= edge), F.col("body_pitch"))
     gap = F.coalesce(F.when(F.col("prev.page") == F.col("page"), F.col("top") - F.col("prev.top")), turned, F.lit(float("inf")))
     rows = rows.withColumn("gap", gap)
     short, larger = (F.col("right") - F.col("left")) < 0.85 * measure, F.col("size") > F.col("body_size") + 0.4
-    digits = F.trim("text").rlike("^[0-9]*$")
     joins = F.coalesce(F.expr(f"exists(columns, c -> abs(c - left) < {COLUMN})"), F.lit(False)) & (F.col("n_cells") == 1) & (F.col("gap") < GAP * F.col("body_pitch"))
-    spread = (F.col("n_cells") >= 2) & (F.col("right") >= F.col("body_right") - F.col("body_size")) & (F.abs(F.col("size") - F.col("body_size")) < 0.3) & F.expr(r"forall(cells, c -> size(filter(split(coalesce(c.text, ''), '\\s+'), w -> w <> '')) <= 4)")
-    hyphen = F.rtrim("prev.text").rlike("(­|.-)$")
+    spread = (F.col("n_cells") >= 2) & (F.col("right") >= F.col("body_right") - F.col("body_size")) & (F.abs(F.col("size") - F.col("body_size")) < 0.3) & F.col("_brief")
+    says = lambda c: F.coalesce(F.col(f"prev.{c}"), F.lit(False))
     return rows.select(
-        "doc_id", "pos", "page", "left", "right", "size", "bold", "cells", "n_cells", "text", "gap", "body_size", "body_left", "body_pitch",
-        ((larger & (short | digits)) | ((F.col("size") > 1.3 * F.col("body_size")) & ~digits)).alias("heading"),
-        (F.col("bold") & short & ~digits & (F.col("n_cells") == 1)).alias("soft"),
+        "doc_id", "pos", "page", "left", "size", "n_cells", "mark", "number", "scripture", "body_size", "body_left",
+        ((larger & (short | F.col("digits"))) | ((F.col("size") > 1.3 * F.col("body_size")) & ~F.col("digits"))).alias("heading"),
+        (F.col("bold") & short & ~F.col("digits") & (F.col("n_cells") == 1)).alias("soft"),
         joins.alias("joins"), spread.alias("spread"),
         (F.col("gap") > GAP * F.col("body_pitch")).alias("far"),
         F.coalesce((F.col("prev.bold") != F.col("bold")) & ~F.col("italic") | (F.abs(F.col("prev.size") - F.col("size")) > 0.4), F.lit(False)).alias("restyled"),
         F.coalesce(F.col("prev.right") < edge, F.lit(False)).alias("after_short"),
-        F.coalesce(F.rtrim("prev.text").rlike(":$"), F.lit(False)).alias("after_colon"),
-        F.coalesce(hyphen, F.lit(False)).alias("hyphen"),
+        says("_colon").alias("after_colon"), says("_hyphen").alias("hyphen"),
         (F.col("left") > F.col("body_left") + 0.6 * F.col("body_size")).alias("indented"),
         (F.col("right") < edge).alias("is_short"),
     )
@@ -143,12 +149,11 @@ def _fold() -> str:
 
 def _steps(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, pos and ``step`` of the paragraph lines."""
-    text = F.col("text")
-    mark, indented = list_mark(text).isNotNull() & ~F.col("lone"), F.col("indented") & ~F.col("lone")
+    mark, indented = F.col("mark") & ~F.col("lone"), F.col("indented") & ~F.col("lone")
     sure = F.col("far") | F.col("restyled") | F.col("after_short")
     slim = rows.filter(F.col("kind") == PARAGRAPH).select(
-        "doc_id", "pos", "left", mark.alias("mark"), F.when(mark, list_number(text)).alias("number"), sure.alias("sure"), (F.col("far") | F.col("after_short") | indented | F.col("after_colon")).alias("evidence"),
-        indented.alias("indented"), (F.col("hyphen") & ~F.col("lone")).alias("hyphen"), _scripture().alias("scripture"), F.col("body_left").alias("body"), F.col("body_size").alias("size"),
+        "doc_id", "pos", "left", mark.alias("mark"), F.when(mark, F.col("number")).alias("number"), sure.alias("sure"), (F.col("far") | F.col("after_short") | indented | F.col("after_colon")).alias("evidence"),
+        indented.alias("indented"), (F.col("hyphen") & ~F.col("lone")).alias("hyphen"), "scripture", F.col("body_left").alias("body"), F.col("body_size").alias("size"),
         ((F.col("was") != PARAGRAPH) | F.col("lone") | (sure & ~F.col("hyphen") & ~mark & ~indented)).cast("long").alias("_new"),
     )
     slim = carried(slim, ["doc_id"], ["pos"], F.expr(f"pos div {size}"), total={"_stretch": F.col("_new")}).withColumn("_stretch", F.col("_stretch") + F.col("_new"))
@@ -158,10 +163,6 @@ def _steps(rows: DataFrame, size: int) -> DataFrame:
     return found.select("doc_id", "pos", F.expr("int(substring(_out, _i + 1, 1))").alias("step"))
 
 
-def _scripture() -> Column:
-    return F.col("bold") & F.col("text").rlike(r"^\s*[0-9]{1,3}\s")
-
-
 def _pieces(rows: DataFrame) -> DataFrame:
     """Paragraph texts from their lines. A soft hyphen at a line's end goes, a hard one before a small letter, and neither leaves a space."""
     after = Window.partitionBy("doc_id", "block").orderBy("pos")
@@ -183,14 +184,15 @@ def blocks(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame
     steps = cut(_steps(rows, size))
     steps = carried(steps, ["doc_id"], ["pos"], chunk, last={"_own": F.when(opens, F.col("pos")), "_of": F.when(F.col("step") == NEW_LIST, F.col("pos"))})
     steps = steps.select("doc_id", "pos", "step", F.when(opens, F.col("pos")).otherwise(F.col("_own")).alias("block"), F.when(F.col("step") == NEW_LIST, F.col("pos")).when(F.col("step").isin(ITEM, INSIDE), F.col("_of")).alias("list"))
-    own = rows.select("doc_id", "pos", "page", "text", "is_short", _scripture().alias("scripture")).join(steps, ["doc_id", "pos"])
+    texts = lines.select("doc_id", "pos", F.expr(f"coalesce({_TEXT}, '')").alias("text"))
+    own = rows.select("doc_id", "pos", "page", "is_short", "scripture").join(steps, ["doc_id", "pos"]).join(texts, ["doc_id", "pos"])
     made = _pieces(own.withColumn("text", F.when(item, without_list_mark(F.col("text"))).otherwise(F.col("text"))))
     style = F.when(F.col("_head.scripture"), "scripture").when(F.col("_head.step") == QUOTES, "quote").otherwise("body")
     single = F.col("_head.list").isNull() & (style == "body") & (F.col("n_lines") == 1) & F.col("_head.is_short")
     kind = F.when(F.col("_head.step").isin(ITEM, NEW_LIST), "item").otherwise("paragraph")
     made = made.select("doc_id", "pos", "page", kind.alias("kind"), style.alias("style"), F.lit(None).cast("int").alias("level"), F.col("_head.list").alias("list"), "n_lines", "text", single.alias("_single")).filter("text <> ''")
     grids = rows.filter((F.col("kind") == TABLE) & (F.col("was") != TABLE)).select("doc_id", "pos", "page", F.lit("table").alias("kind"))
-    both = cut(made.unionByName(_headings(rows, chunk)).unionByName(grids, allowMissingColumns=True))
+    both = cut(made.unionByName(_headings(rows, texts, chunk)).unionByName(grids, allowMissingColumns=True))
     # Runs of single short lines are set as they stand.
     flags = carried(both, ["doc_id"], ["pos"], chunk, lag={"_a": F.col("_single")})
     flags = carried(flags.withColumn("_back", -F.col("pos")), ["doc_id"], ["_back"], F.expr(f"-(pos div {size})"), lag={"_z": F.col("_single")})
@@ -198,9 +200,9 @@ def blocks(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame
     return flags.withColumn("style", F.when(poetry, "poetry").otherwise(F.col("style"))).select("doc_id", "pos", "page", "kind", "style", "level", "list", "n_lines", "text")
 
 
-def _headings(rows: DataFrame, chunk: Column) -> DataFrame:
+def _headings(rows: DataFrame, texts: DataFrame, chunk: Column) -> DataFrame:
     """Heading lines with levels by rank of size, at most 6; consecutive ones of one size are one heading."""
-    heads = rows.filter(F.col("kind") == HEADING).select("doc_id", "pos", "page", "text", F.round(F.col("size") * 10).cast("int").alias("_size"))
+    heads = rows.filter(F.col("kind") == HEADING).select("doc_id", "pos", "page", F.round(F.col("size") * 10).cast("int").alias("_size"))
     sizes = heads.select("doc_id", "_size").distinct()
     levels = sizes.withColumn("level", F.least(F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("_size"))), F.lit(6)))
     heads = carried(heads, ["doc_id"], ["pos"], chunk, lag={"_p": F.struct("pos", "_size")})
@@ -208,7 +210,7 @@ def _headings(rows: DataFrame, chunk: Column) -> DataFrame:
     heads = heads.withColumn("_new", F.when(~F.coalesce(goes, F.lit(False)), F.col("pos")))
     heads = carried(heads, ["doc_id"], ["pos"], chunk, last={"_of": F.col("_new")}).withColumn("_of", F.coalesce("_new", "_of"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    made = heads.join(levels, ["doc_id", "_size"]).groupBy("doc_id", F.col("_of").alias("pos")).agg(F.min("page").alias("page"), F.first("level").alias("level"), F.count("*").alias("n_lines"), collapse_space(text).alias("text"))
+    made = heads.join(texts, ["doc_id", "pos"]).join(levels, ["doc_id", "_size"]).groupBy("doc_id", F.col("_of").alias("pos")).agg(F.min("page").alias("page"), F.first("level").alias("level"), F.count("*").alias("n_lines"), collapse_space(text).alias("text"))
     return made.select("doc_id", "pos", "page", F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("style"), "level", F.lit(None).cast("long").alias("list"), "n_lines", "text", F.lit(False).alias("_single"))
 
 
@@ -221,6 +223,7 @@ def tables(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame
     rows = kinds(lines, profile, size).filter(F.col("kind") == TABLE)
     chunk = F.expr(f"pos div {size}")
     rows = carried(rows.withColumn("_new", F.when(F.col("was") != TABLE, F.col("pos"))), ["doc_id"], ["pos"], chunk, last={"_of": F.col("_new")}).withColumn("table", F.coalesce("_new", "_of"))
+    rows = rows.select("doc_id", "pos", "table").join(lines.select("doc_id", "pos", "cells"), ["doc_id", "pos"])
     cells = rows.select("doc_id", "table", "pos", F.posexplode("cells").alias("i", "c")).select("doc_id", "table", "pos", "i", "c.left", F.coalesce("c.text", F.lit("")).alias("text"))
     edges = cells.select("doc_id", "table", "left").distinct()
     w = Window.partitionBy("doc_id", "table").orderBy("left")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space
+from ..session import cut
 from .ordered import CHUNK, carried
 
 _STOP = r"[.!?:;«»\"]\s*$"
@@ -37,12 +38,14 @@ def parts_of(blocks: DataFrame) -> DataFrame:
 
 
 def _numbered(parts: DataFrame, size: int) -> DataFrame:
-    """Parts inside chapters with their start's number, book and chapter, and the number that each text has in the end."""
+    """Parts inside chapters with their start's number, book and chapter, the number that each has in the end, and what its text says.
+
+    Texts stay behind; ``cut`` tells how many characters of a number to take off when they are joined again."""
     text = F.trim(F.coalesce("text", F.lit("")))
-    rows = parts.withColumn("text", text).filter("kind <> 'text' or number is not null or text <> ''")
-    start, lead = F.col("kind") == "start", F.regexp_extract("text", "^([0-9]{1,3}) ", 1)
-    lead = F.when((F.col("kind") == "text") & F.col("number").isNull() & (lead != ""), lead.cast("int"))
-    rows = rows.withColumn("_lead", lead)
+    start, lead = F.col("kind") == "start", F.regexp_extract(text, "^([0-9]{1,3}) ", 1)
+    body = F.when((F.col("kind") == "text") & F.col("number").isNull() & (lead != ""), F.length(lead))
+    rows = parts.select("doc_id", "pos", "part", "kind", "book", "chapter", "number", F.when(body.isNotNull(), lead.cast("int")).alias("_lead"), body.alias("_digits"), (text == "").alias("_empty"), (~text.rlike(_STOP)).alias("open_end"), text.rlike(r"^\p{Ll}").alias("small"))
+    rows = rows.filter("kind <> 'text' or number is not null or not _empty")
     rows = carried(
         rows, ["doc_id"], ["pos", "part"], F.expr(f"pos div {size}"),
         last={"_place": F.when(start, F.struct("book", "chapter")), "_fresh": F.when(start, True).when((F.col("kind") == "text") & F.coalesce("number", "_lead").isNotNull(), False)},
@@ -51,19 +54,18 @@ def _numbered(parts: DataFrame, size: int) -> DataFrame:
     rows = rows.filter(~start & (F.col("_place.chapter") > 0))
     taken = F.col("_fresh") & F.col("_lead").isNotNull()
     n = F.when(taken, F.greatest(F.lit(1), F.when(F.col("_lead") == F.col("_place.chapter"), 1).otherwise(F.col("_lead")))).otherwise(F.greatest(F.lit(1), F.col("number")))
-    return rows.select("doc_id", "pos", "part", "kind", "_start", F.col("_place.book").alias("book"), F.col("_place.chapter").alias("first"), F.when(F.col("number").isNotNull() | taken, n).alias("number"), F.when(taken, F.ltrim(F.regexp_replace("text", "^[0-9]+", ""))).otherwise(F.col("text")).alias("text"))
+    return rows.select("doc_id", "pos", "part", "kind", "_start", F.col("_place.book").alias("book"), F.col("_place.chapter").alias("first"), F.when(F.col("number").isNotNull() | taken, n).alias("number"), F.when(taken, F.col("_digits")).otherwise(0).alias("cut"), "open_end", "small")
 
 
 def verses(parts: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Verses (doc_id, ordinal, book, chapter, verse, paragraph, text) in order, and titles (doc_id, ordinal, seq, text) by the verse
     that they stand before. ``size`` paragraphs are a chunk; the result does not depend on it."""
     chunk = F.expr(f"pos div {size}")
-    rows = _numbered(parts, size)
+    rows = cut(_numbered(parts, size))
     numbered, waits = F.col("number").isNotNull(), (F.col("kind") == "text") & F.col("number").isNull()
-    open_end = ~F.col("text").rlike(_STOP)
     rows = carried(
         rows, ["doc_id", "_start"], ["pos", "part"], chunk,
-        last={"_verse": F.col("number"), "_held": F.when(numbered, F.lit(-1)).when(waits, open_end.cast("int")), "_begun": F.when(numbered | waits, F.col("pos"))},
+        last={"_verse": F.col("number"), "_held": F.when(numbered, F.lit(-1)).when(waits, F.col("open_end").cast("int")), "_begun": F.when(numbered | waits, F.col("pos"))},
     )
     verse, held = F.coalesce("_verse", F.lit(0)), F.coalesce(F.col("_held") >= 0, F.lit(False))
     rolls = numbered & (verse >= 2) & (F.col("number") < verse) & (F.col("number") <= 3) & held
@@ -72,24 +74,27 @@ def verses(parts: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
             "_step": (numbered & (verse > 0) & (F.col("number") == 1) | rolls).cast("int"),
             "_opens": numbered & (F.col("number") >= 2) & held & ((verse == 0) | rolls),
             "_flag": numbered & ~F.coalesce(F.col("_begun") == F.col("pos"), F.lit(False)),
-            "_apart": (waits & ~(held & ((verse == 0) | (F.col("_held") == 1) | F.col("text").rlike(r"^\p{Ll}")))).cast("int"),
+            "_apart": (waits & ~(held & ((verse == 0) | (F.col("_held") == 1) | F.col("small")))).cast("int"),
         }
     )
     rows = carried(rows, ["doc_id", "_start"], ["pos", "part"], chunk, total={"_moved": F.col("_step")})
-    rows = carried(rows, ["doc_id"], ["pos", "part"], chunk, total={"_n": numbered.cast("long"), "_group": F.col("_apart")})
+    rows = cut(carried(rows, ["doc_id"], ["pos", "part"], chunk, total={"_n": numbered.cast("long"), "_group": F.col("_apart")}))
     chapter = (F.col("first") + F.col("_moved") + F.col("_step")).cast("int")
     own = rows.filter(numbered)
     heads = own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "book", chapter.alias("chapter"), F.col("number").alias("verse"), F.col("_flag").alias("paragraph"))
     opened = own.filter("_opens").select("doc_id", (2 * F.col("_n") + 2).alias("ordinal"), "book", chapter.alias("chapter"), F.lit(1).alias("verse"), F.lit(True).alias("paragraph"), "_group")
     pieces = rows.filter(waits).withColumn("_group", F.col("_group") + F.col("_apart"))
     pieces = pieces.join(opened.select("doc_id", "_group", F.col("ordinal").alias("_to")), ["doc_id", "_group"], "left")
-    pieces = pieces.select("doc_id", F.coalesce("_to", 2 * F.col("_n") + 1).alias("ordinal"), "pos", "part", "text").filter("ordinal > 1")
-    texts = pieces.unionByName(own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "pos", "part", "text")).withColumn("text", collapse_space(F.col("text"))).filter("text <> ''")
+    pieces = pieces.select("doc_id", F.coalesce("_to", 2 * F.col("_n") + 1).alias("ordinal"), "pos", "part", "cut").filter("ordinal > 1")
+    pieces = pieces.unionByName(own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "pos", "part", "cut"))
+    whole = parts.filter("kind = 'text'").select("doc_id", "pos", "part", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = pieces.join(whole, ["doc_id", "pos", "part"]).withColumn("text", collapse_space(F.expr("substring(text, cut + 1)"))).filter("text <> ''")
     joined = texts.groupBy("doc_id", "ordinal").agg(_joined("pos", "part", "text").alias("text"))
     found = heads.unionByName(opened.drop("_group")).join(joined, ["doc_id", "ordinal"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     found = found.select("doc_id", "ordinal", "book", "chapter", "verse", "paragraph", "text")
     # A title's verse: the next number of its chapter's start, or the verse 1 that this number opens.
-    titles = rows.filter("kind = 'title'").select("doc_id", "_start", F.col("_n"), "pos", "part", "text")
+    titles = rows.filter("kind = 'title'").select("doc_id", "_start", "_n", "pos", "part")
+    titles = titles.join(parts.select("doc_id", "pos", "part", F.trim(F.coalesce("text", F.lit(""))).alias("text")), ["doc_id", "pos", "part"])
     to = own.select("doc_id", "_start", "_n", (2 * F.col("_n") + F.when(F.col("_opens"), 2).otherwise(3)).alias("ordinal"))
     seq = F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("pos", "part"))
     return found, titles.join(to, ["doc_id", "_start", "_n"]).select("doc_id", "ordinal", seq.alias("seq"), "text")

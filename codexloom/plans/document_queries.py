@@ -179,10 +179,11 @@ def document_notes(spark, d):
     return footnotes.notes(footnotes.split(rows, profile))
 
 
-# Every word of a document is a fragment: ten sentences a page, whose words stand a little off their baselines; every ninth is a raised mark.
+# Every part of a turn between commas is a fragment: ten sentences a page, whose parts stand a little off their baselines; every ninth is a raised mark.
 FRAGMENTS = r"""
-s AS (SELECT doc_id, unnest(string_split_regex(text, '\. |\n')) AS t, unnest(range(0, len(string_split_regex(text, '\. |\n')))) AS pos FROM documents),
-w AS (SELECT doc_id, pos, unnest(string_split(t, ' ')) AS w, unnest(range(0, len(string_split(t, ' ')))) AS i FROM s),
+d AS (SELECT conv_id * 1000 + turn AS doc_id, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1),
+s AS (SELECT doc_id, unnest(string_split_regex(text, '\. |\n')) AS t, unnest(range(0, len(string_split_regex(text, '\. |\n')))) AS pos FROM d),
+w AS (SELECT doc_id, pos, unnest(string_split(t, ', ')) AS w, unnest(range(0, len(string_split(t, ', ')))) AS i FROM s),
 n AS (SELECT *, length(w) AS n, CAST(coalesce(sum(length(w)) OVER (PARTITION BY doc_id, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars FROM w),
 f AS (SELECT doc_id, pos // 10 AS page, 50 + 8.0 * chars + 4 * i + CASE WHEN n % 7 = 6 THEN 20 ELSE 0 END AS x, (1000 + 1400 * (pos % 10) + (n * 7 + i * 3) % 25 * 10 - CASE WHEN i % 9 = 4 THEN 400 ELSE 0 END) / 100 AS y, 0.0 AS rise, 8.0 * n + CASE WHEN i % 5 = 3 THEN 3 ELSE 0 END AS width, CASE WHEN i % 9 = 4 THEN 6.0 ELSE 10.0 END AS size, n % 5 = 0 AS bold, n % 6 = 0 AS italic, CASE WHEN i % 9 = 4 THEN CAST(n % 10 AS VARCHAR) ELSE w END AS text FROM n)"""
 
@@ -206,9 +207,10 @@ z AS (SELECT doc_id, page, line, max(x + width) AS rgt, string_agg(CASE WHEN pla
   array_to_string(list(CASE WHEN (rise > 0.5 OR (size < 0.8 * ls AND q < line - 50)) AND regexp_matches(trim(text), '^([0-9]+|[a-z])[,.;:)]*$') THEN regexp_extract(trim(text), '^([0-9]+|[a-z])', 1) END ORDER BY x, rn), ',') AS marks, min(ls) AS size FROM b GROUP BY 1, 2, 3)
 SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) - 1 AS line, CAST(line / 100 AS DOUBLE) AS top, CAST(size AS DOUBLE) AS size, text, coalesce(marks, '') AS marks FROM z""")
 def page_lines(spark, d):
-    """Lines of every document's words, placed on pages."""
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t"))
-    w = s.select("doc_id", "pos", F.posexplode(F.split("t", " ")).alias("i", "w")).withColumn("n", F.length("w"))
+    """Lines of every turn's parts, placed on pages."""
+    turns = table(spark, d, "conversations").filter("conv_id is not null and turn is not null").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")).agg(F.min("text").alias("text"))
+    s = turns.select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t"))
+    w = s.select("doc_id", "pos", F.posexplode(F.split("t", ", ")).alias("i", "w")).withColumn("n", F.length("w"))
     w = w.withColumn("chars", F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     fragments = w.selectExpr(
         "doc_id", "pos div 10 as page", "50D + 8 * chars + 4 * i + if(n % 7 = 6, 20, 0) as x", "(1000 + 1400 * (pos % 10) + (n * 7 + i * 3) % 25 * 10 - if(i % 9 = 4, 400, 0)) / 100D as y", "0D as rise",
