@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, footnotes, intervals, layout, lines, verses
+from ..functions import references as refs
+from ..operators import blocks, footnotes, hits, intervals, layout, lines, titles, verses
 from .registry import query, table
 
 # Every sentence of a document is a line; its measures come from its length and place, so that each rule has cases.
@@ -264,3 +265,32 @@ def note_bodies(spark, d):
     i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
     rows = rows.select("conv_id", i.cast("long").alias("i"), F.expr("if(length(text) % 3 > 0, length(text) % 11, null)").alias("name"), (F.col("role") == "user").alias("mark"))
     return intervals.paired(rows.filter("mark").drop("mark"), rows.filter("not mark").drop("mark"), ["conv_id"], "i", "name").select("conv_id", "i", "body")
+
+
+@query("""WITH m AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS mark, pos, length(t) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents) s),
+k AS (SELECT doc_id, mark, 7.0 * (n % 60) AS lft, 15.0 * pos AS top, 2.0 + n % 40 AS width, 6.0 AS height FROM m), p AS (SELECT doc_id, pos AS place, 11.0 * (n % 50) AS x, 20.0 * pos + n % 13 AS y FROM m),
+h AS (SELECT p.doc_id, p.place, arg_min(mark, (abs(x - lft - width / 2) + abs(y - top - height / 2), mark)) AS mark FROM p JOIN k ON k.doc_id = p.doc_id AND x BETWEEN lft - greatest(22, 1.5 * width) AND lft + width + greatest(22, 1.5 * width) AND y BETWEEN top - 22 AND top + height + 22 GROUP BY 1, 2)
+SELECT p.doc_id, p.place, h.mark FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.place = p.place""")
+def nearest_marks(spark, d):
+    """The mark next to a place in every line of a document, each line having one mark."""
+    lines_of = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("t").alias("n"))
+    marks = lines_of.selectExpr("doc_id", "pos + 1 as mark", "7D * (n % 60) as left", "15D * pos as top", "2D + n % 40 as width", "6D as height")
+    places = lines_of.selectExpr("doc_id", "pos as at", "11D * (n % 50) as x", "20D * pos + n % 13 as y")
+    return hits.nearest_marks(places, marks, ["doc_id"]).select("doc_id", F.col("at").alias("place"), "mark")
+
+
+_NAMES = refs.built_in().at
+
+
+@query(rf"""WITH b AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{r[2]}')" for i, r in enumerate(refs.ROWS))}) t(k, name)), names AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {i})" for n, i in _NAMES.items())}) t(key, book)),
+t AS (SELECT page_id, coalesce(regexp_extract(html, '<title[^>]*>([^<]*)', 1), '') || ' ' || name || ['', 'brief', 'evangelium', 'xyz', '-Brief'][page_id % 5 + 1] || ' Auslegung' AS title FROM pages JOIN b ON k = page_id % 66),
+w AS (SELECT page_id, list_filter(string_split_regex(title, '[^\p{{L}}\p{{N}}.]+'), lambda x: x <> '') AS w FROM t), i AS (SELECT page_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), g AS (SELECT page_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT *, unnest([1, 2, 3]) AS n FROM i) x WHERE i + n - 1 <= len(w)),
+f AS (SELECT page_id, i, n, 0 AS f, t FROM g UNION ALL SELECT page_id, i, n, s.f, regexp_replace(t[:length(t) - length(s.s)], '-+$', '') FROM g JOIN (VALUES (1, 'brief'), (2, 'briefes'), (3, '-Brief'), (4, 'evangelium'), (5, 'buch')) s(f, s) ON suffix(t, s.s)),
+r AS (SELECT page_id, arg_min(book, (i, -n, f)) AS book FROM f JOIN names ON key = replace(replace(replace(replace(regexp_replace(lower(t), '[. \t]', '', 'g'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') GROUP BY 1)
+SELECT t.page_id, t.title, r.book FROM t LEFT JOIN r ON r.page_id = t.page_id""")
+def title_books(spark, d):
+    """The book that every page's title names, a German name being put behind it."""
+    books = spark.createDataFrame([(i, r[2]) for i, r in enumerate(refs.ROWS)], "_k int, name string")
+    title = F.concat(F.coalesce(F.regexp_extract("html", "<title[^>]*>([^<]*)", 1), F.lit("")), F.lit(" "), "name", F.expr("get(array('', 'brief', 'evangelium', 'xyz', '-Brief'), int(page_id % 5))"), F.lit(" Auslegung"))
+    rows = table(spark, d, "pages").join(F.broadcast(books), F.col("page_id") % 66 == F.col("_k")).select("page_id", title.alias("title"))
+    return titles.book_in_title(rows, ["page_id"], "title", titles.name_table(spark, _NAMES))
