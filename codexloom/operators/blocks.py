@@ -73,7 +73,7 @@ def _measured(lines: DataFrame, profile: DataFrame, size: int) -> DataFrame:
     rows = rows.select(
         "doc_id", "pos", "page", *number, "bold", "italic", F.size("cells").alias("n_cells"), F.expr("if(size(cells) >= 2, transform(slice(cells, 2, size(cells)), c -> c.left), null)").alias("_columns"),
         F.expr(r"forall(cells, c -> size(filter(split(coalesce(c.text, ''), '\\s+'), w -> w <> '')) <= 4)").alias("_brief"), F.trim(text).rlike("^[0-9]*$").alias("digits"), list_mark(text).isNotNull().alias("mark"), list_number(text).alias("number"),
-        (F.col("bold") & text.rlike(r"^\s*[0-9]{1,3}\s")).alias("scripture"), ended.rlike("(­|.-)$").alias("_hyphen"), ended.rlike(":$").alias("_colon"),
+        (F.col("bold") & text.rlike(r"^\s*[0-9]{1,3}\s")).alias("scripture"), ended.rlike("(­|.-)$").alias("_hyphen"), ended.rlike(":$").alias("_colon"), (collapse_space(text) == "").alias("blank"), (collapse_space(without_list_mark(text)) == "").alias("bare"),
     )
     rows = rows.join(profile.select("doc_id", "body_size", "body_pitch", "body_left", "body_right"), "doc_id")
     before = F.struct("page", "top", "right", "size", "bold", "_hyphen", "_colon")
@@ -87,25 +87,31 @@ def _measured(lines: DataFrame, profile: DataFrame, size: int) -> DataFrame:
     joins = F.coalesce(F.expr(f"exists(columns, c -> abs(c - left) < {COLUMN})"), F.lit(False)) & (F.col("n_cells") == 1) & (F.col("gap") < GAP * F.col("body_pitch"))
     spread = (F.col("n_cells") >= 2) & (F.col("right") >= F.col("body_right") - F.col("body_size")) & (F.abs(F.col("size") - F.col("body_size")) < 0.3) & F.col("_brief")
     says = lambda c: F.coalesce(F.col(f"prev.{c}"), F.lit(False))
-    return rows.select(
-        "doc_id", "pos", "page", "left", "size", "n_cells", "mark", "number", "scripture", "body_size", "body_left",
-        ((larger & (short | F.col("digits"))) | ((F.col("size") > 1.3 * F.col("body_size")) & ~F.col("digits"))).alias("heading"),
-        (F.col("bold") & short & ~F.col("digits") & (F.col("n_cells") == 1)).alias("soft"),
-        joins.alias("joins"), spread.alias("spread"),
-        (F.col("gap") > GAP * F.col("body_pitch")).alias("far"),
-        F.coalesce((F.col("prev.bold") != F.col("bold")) & ~F.col("italic") | (F.abs(F.col("prev.size") - F.col("size")) > 0.4), F.lit(False)).alias("restyled"),
-        F.coalesce(F.col("prev.right") < edge, F.lit(False)).alias("after_short"),
-        says("_colon").alias("after_colon"), says("_hyphen").alias("hyphen"),
-        (F.col("left") > F.col("body_left") + 0.6 * F.col("body_size")).alias("indented"),
-        (F.col("right") < edge).alias("is_short"),
-    )
+    heading = (larger & (short | F.col("digits"))) | ((F.col("size") > 1.3 * F.col("body_size")) & ~F.col("digits"))
+    soft = F.col("bold") & short & ~F.col("digits") & (F.col("n_cells") == 1)
+    flags = {
+        "mark": F.col("mark"), "scripture": F.col("scripture"), "blank": F.col("blank"), "bare": F.col("bare"), "far": F.col("gap") > GAP * F.col("body_pitch"),
+        "restyled": F.coalesce((F.col("prev.bold") != F.col("bold")) & ~F.col("italic") | (F.abs(F.col("prev.size") - F.col("size")) > 0.4), F.lit(False)),
+        "after_short": F.coalesce(F.col("prev.right") < edge, F.lit(False)), "after_colon": says("_colon"), "hyphen": says("_hyphen"), "indented": F.col("left") > F.col("body_left") + 0.6 * F.col("body_size"), "is_short": F.col("right") < edge,
+    }
+    assert tuple(flags) == FLAGS
+    bits = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(flags.values())), F.lit(0))
+    return rows.select("doc_id", "pos", F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), "left", "size", "number", "body_size", "body_left", _code(heading, soft, joins, spread).alias("moves"), bits.alias("flags"))
+
+
+#: What is told of a line, a bit each.
+FLAGS = ("mark", "scripture", "blank", "bare", "far", "restyled", "after_short", "after_colon", "hyphen", "indented", "is_short")
+
+
+def _flag(name: str) -> Column:
+    return F.col("flags").bitwiseAND(1 << FLAGS.index(name)) != 0
 
 
-def _code() -> Column:
+def _code(heading: Column, soft: Column, joins: Column, spread: Column) -> Column:
     """Next states by the states START, HEADING, TABLE, PARAGRAPH, FIRST_ROW."""
-    plain = F.when(F.col("heading"), "11111").when(F.col("soft"), "11133").otherwise("33333")
+    plain = F.when(heading, "11111").when(soft, "11133").otherwise("33333")
     joined = F.concat(F.substring(plain, 1, 2), F.lit("2"), F.substring(plain, 4, 1), F.lit("2"))
-    return F.when(F.col("spread"), "44232").when(F.col("n_cells") >= 2, "44242").when(F.col("joins"), joined).otherwise(plain)
+    return F.when(spread, "44232").when(F.col("n_cells") >= 2, "44242").when(joins, joined).otherwise(plain)
 
 
 def kinds(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -114,13 +120,13 @@ def kinds(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame:
     A table of one row is a paragraph's line that lies alone.
     """
     rows = cut(_measured(lines, profile, size))
-    slim = states(rows.select("doc_id", "pos", _code().alias("_moves")), ["doc_id"], "pos", F.col("_moves"), "_was", START, max(2, min(size, FOLD)))
+    slim = states(rows.select("doc_id", "pos", F.col("moves").alias("_moves")), ["doc_id"], "pos", F.col("_moves"), "_was", START, max(2, min(size, FOLD)))
     slim = slim.withColumn("_kind", F.expr("int(substring(_moves, _was + 1, 1))")).withColumn("_back", -F.col("pos"))
     slim = carried(slim, ["doc_id"], ["_back"], F.expr(f"-(pos div {size})"), lag={"_next": F.col("_kind")})  # from the far end: the line after
     lone = (F.col("_kind") == FIRST_ROW) & (F.coalesce("_next", F.lit(START)) != TABLE)
     kind = F.when(lone, PARAGRAPH).when(F.col("_kind") == FIRST_ROW, TABLE).otherwise(F.col("_kind"))
     was = F.when((F.col("_was") == FIRST_ROW) & (F.col("_kind") != TABLE), PARAGRAPH).when(F.col("_was") == FIRST_ROW, TABLE).otherwise(F.col("_was"))
-    return rows.join(slim.select("doc_id", "pos", kind.alias("kind"), was.alias("was"), lone.alias("lone")), ["doc_id", "pos"])
+    return rows.drop("moves").join(slim.select("doc_id", "pos", kind.alias("kind"), was.alias("was"), lone.alias("lone")), ["doc_id", "pos"])
 
 
 #: What a paragraph line does: goes on, or opens a paragraph, a quotation, an item, an item of a new list, a paragraph inside an item.
@@ -149,12 +155,12 @@ def _fold() -> str:
 
 def _steps(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, pos and ``step`` of the paragraph lines."""
-    mark, indented = F.col("mark") & ~F.col("lone"), F.col("indented") & ~F.col("lone")
-    sure = F.col("far") | F.col("restyled") | F.col("after_short")
+    mark, indented = _flag("mark") & ~F.col("lone"), _flag("indented") & ~F.col("lone")
+    sure = _flag("far") | _flag("restyled") | _flag("after_short")
     slim = rows.filter(F.col("kind") == PARAGRAPH).select(
-        "doc_id", "pos", "left", mark.alias("mark"), F.when(mark, F.col("number")).alias("number"), sure.alias("sure"), (F.col("far") | F.col("after_short") | indented | F.col("after_colon")).alias("evidence"),
-        indented.alias("indented"), (F.col("hyphen") & ~F.col("lone")).alias("hyphen"), "scripture", F.col("body_left").alias("body"), F.col("body_size").alias("size"),
-        ((F.col("was") != PARAGRAPH) | F.col("lone") | (sure & ~F.col("hyphen") & ~mark & ~indented)).cast("long").alias("_new"),
+        "doc_id", "pos", "left", mark.alias("mark"), F.when(mark, F.col("number")).alias("number"), sure.alias("sure"), (_flag("far") | _flag("after_short") | indented | _flag("after_colon")).alias("evidence"),
+        indented.alias("indented"), (_flag("hyphen") & ~F.col("lone")).alias("hyphen"), _flag("scripture").alias("scripture"), F.col("body_left").alias("body"), F.col("body_size").alias("size"),
+        ((F.col("was") != PARAGRAPH) | F.col("lone") | (sure & ~_flag("hyphen") & ~mark & ~indented)).cast("long").alias("_new"),
     )
     slim = carried(slim, ["doc_id"], ["pos"], F.expr(f"pos div {size}"), total={"_stretch": F.col("_new")}).withColumn("_stretch", F.col("_stretch") + F.col("_new"))
     fields = [c for c in slim.columns if c not in ("doc_id", "_new", "_stretch")]
@@ -163,45 +169,48 @@ def _steps(rows: DataFrame, size: int) -> DataFrame:
     return found.select("doc_id", "pos", F.expr("int(substring(_out, _i + 1, 1))").alias("step"))
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """Paragraph texts from their lines. A soft hyphen at a line's end goes, a hard one before a small letter, and neither leaves a space."""
-    after = Window.partitionBy("doc_id", "block").orderBy("pos")
-    text, following = F.rtrim("text"), F.lead("text").over(after)
-    soft, hard = text.rlike("­$"), text.rlike(".-$")
-    piece = F.when(following.isNull(), text).when(soft, F.regexp_replace(text, "­$", "")).when(hard & following.rlike(r"^\p{Ll}"), F.regexp_replace(text, " *-$", "")).when(hard, text).otherwise(F.concat(text, F.lit(" ")))
-    pieces = rows.withColumn("_piece", piece)
+def _texts(lines: DataFrame, own: DataFrame) -> DataFrame:
+    """Texts of blocks from their lines (doc_id, pos, block, kind). A soft hyphen at a line's end goes, a hard one before a small letter, and
+    neither leaves a space; lines of a heading are parted by spaces, and an item's mark is cut off."""
+    rows = lines.select("doc_id", "pos", F.expr(f"coalesce({_TEXT}, '')").alias("text")).join(own, ["doc_id", "pos"])
+    rows = rows.withColumn("text", F.when(F.col("kind") == "item", without_list_mark(F.col("text"))).otherwise(F.col("text")))
+    text, following = F.rtrim("text"), F.lead("text").over(Window.partitionBy("doc_id", "block").orderBy("pos"))
+    soft, hard, plain = text.rlike("­$"), text.rlike(".-$"), F.col("kind") == "heading"
+    piece = F.when(following.isNull() & ~plain, text).when(plain, F.concat("text", F.lit(" "))).when(soft, F.regexp_replace(text, "­$", "")).when(hard & following.rlike(r"^\p{Ll}"), F.regexp_replace(text, " *-$", "")).when(hard, text).otherwise(F.concat(text, F.lit(" ")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_piece"))), lambda x: x["_piece"]), "")
-    head = F.min_by(F.struct("page", "step", "list", "is_short", "scripture"), "pos")
-    made = pieces.groupBy("doc_id", "block").agg(F.min("pos").alias("pos"), F.count("*").alias("n_lines"), collapse_space(whole).alias("text"), head.alias("_head"))
-    return made.withColumn("page", F.col("_head.page"))
+    return rows.withColumn("_piece", piece).groupBy("doc_id", "block").agg(collapse_space(whole).alias("text")).withColumnRenamed("block", "pos")
 
 
 def blocks(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame:
     """doc_id, pos (first line), page, kind (heading, paragraph, item, table), style (body, quote, scripture, poetry), level, list (first line
     of its list), n_lines, text. A table has no text here; ``tables`` has its cells. ``size`` lines are a chunk; the result does not depend on it."""
-    rows, chunk = cut(kinds(lines, profile, size)), F.expr(f"pos div {size}")
+    rows, chunk = cut(kinds(lines, profile, size).drop("body_right")), F.expr(f"pos div {size}")
     opens, item = F.col("step") != GOES_ON, F.col("step").isin(ITEM, NEW_LIST)
     steps = cut(_steps(rows, size))
     steps = carried(steps, ["doc_id"], ["pos"], chunk, last={"_own": F.when(opens, F.col("pos")), "_of": F.when(F.col("step") == NEW_LIST, F.col("pos"))})
     steps = steps.select("doc_id", "pos", "step", F.when(opens, F.col("pos")).otherwise(F.col("_own")).alias("block"), F.when(F.col("step") == NEW_LIST, F.col("pos")).when(F.col("step").isin(ITEM, INSIDE), F.col("_of")).alias("list"))
-    texts = lines.select("doc_id", "pos", F.expr(f"coalesce({_TEXT}, '')").alias("text"))
-    own = rows.select("doc_id", "pos", "page", "is_short", "scripture").join(steps, ["doc_id", "pos"]).join(texts, ["doc_id", "pos"])
-    made = _pieces(own.withColumn("text", F.when(item, without_list_mark(F.col("text"))).otherwise(F.col("text"))))
-    style = F.when(F.col("_head.scripture"), "scripture").when(F.col("_head.step") == QUOTES, "quote").otherwise("body")
-    single = F.col("_head.list").isNull() & (style == "body") & (F.col("n_lines") == 1) & F.col("_head.is_short")
-    kind = F.when(F.col("_head.step").isin(ITEM, NEW_LIST), "item").otherwise("paragraph")
-    made = made.select("doc_id", "pos", "page", kind.alias("kind"), style.alias("style"), F.lit(None).cast("int").alias("level"), F.col("_head.list").alias("list"), "n_lines", "text", single.alias("_single")).filter("text <> ''")
+    blank = F.when(item, _flag("bare")).otherwise(_flag("blank"))
+    steps = rows.select("doc_id", "pos", "page", "flags").join(steps, ["doc_id", "pos"]).withColumn("_blank", blank.cast("int"))
+    head = F.min_by(F.struct("page", "step", "list", _flag("is_short").alias("is_short"), _flag("scripture").alias("scripture")), "pos")
+    made = steps.groupBy("doc_id", F.col("block").alias("pos")).agg(F.count("*").alias("n_lines"), F.min("_blank").alias("_blank"), head.alias("_h")).filter("_blank = 0")
+    style = F.when(F.col("_h.scripture"), "scripture").when(F.col("_h.step") == QUOTES, "quote").otherwise("body")
+    single = F.col("_h.list").isNull() & (style == "body") & (F.col("n_lines") == 1) & F.col("_h.is_short")
+    kind = F.when(F.col("_h.step").isin(ITEM, NEW_LIST), "item").otherwise("paragraph")
+    made = made.select("doc_id", "pos", F.col("_h.page").alias("page"), kind.alias("kind"), style.alias("style"), F.lit(None).cast("int").alias("level"), F.col("_h.list").alias("list"), "n_lines", single.alias("_single"))
+    heads, head_lines = _headings(rows, chunk)
     grids = rows.filter((F.col("kind") == TABLE) & (F.col("was") != TABLE)).select("doc_id", "pos", "page", F.lit("table").alias("kind"))
-    both = cut(made.unionByName(_headings(rows, texts, chunk)).unionByName(grids, allowMissingColumns=True))
+    both = cut(made.unionByName(heads).unionByName(grids, allowMissingColumns=True))
     # Runs of single short lines are set as they stand.
     flags = carried(both, ["doc_id"], ["pos"], chunk, lag={"_a": F.col("_single")})
     flags = carried(flags.withColumn("_back", -F.col("pos")), ["doc_id"], ["_back"], F.expr(f"-(pos div {size})"), lag={"_z": F.col("_single")})
     poetry = F.coalesce("_single", F.lit(False)) & (F.coalesce("_a", F.lit(False)) | F.coalesce("_z", F.lit(False)))
-    return flags.withColumn("style", F.when(poetry, "poetry").otherwise(F.col("style"))).select("doc_id", "pos", "page", "kind", "style", "level", "list", "n_lines", "text")
+    found = flags.withColumn("style", F.when(poetry, "poetry").otherwise(F.col("style"))).select("doc_id", "pos", "page", "kind", "style", "level", "list", "n_lines")
+    own = steps.select("doc_id", "pos", "block", F.when(item, "item").otherwise("paragraph").alias("kind")).unionByName(head_lines)
+    return found.join(_texts(lines, own), ["doc_id", "pos"], "left")
 
 
-def _headings(rows: DataFrame, texts: DataFrame, chunk: Column) -> DataFrame:
-    """Heading lines with levels by rank of size, at most 6; consecutive ones of one size are one heading."""
+def _headings(rows: DataFrame, chunk: Column) -> tuple[DataFrame, DataFrame]:
+    """Headings with levels by rank of size, at most 6, and their lines; consecutive lines of one size are one heading."""
     heads = rows.filter(F.col("kind") == HEADING).select("doc_id", "pos", "page", F.round(F.col("size") * 10).cast("int").alias("_size"))
     sizes = heads.select("doc_id", "_size").distinct()
     levels = sizes.withColumn("level", F.least(F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("_size"))), F.lit(6)))
@@ -209,9 +218,10 @@ def _headings(rows: DataFrame, texts: DataFrame, chunk: Column) -> DataFrame:
     goes = (F.col("_p.pos") == F.col("pos") - 1) & (F.col("_p._size") == F.col("_size"))
     heads = heads.withColumn("_new", F.when(~F.coalesce(goes, F.lit(False)), F.col("pos")))
     heads = carried(heads, ["doc_id"], ["pos"], chunk, last={"_of": F.col("_new")}).withColumn("_of", F.coalesce("_new", "_of"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    made = heads.join(texts, ["doc_id", "pos"]).join(levels, ["doc_id", "_size"]).groupBy("doc_id", F.col("_of").alias("pos")).agg(F.min("page").alias("page"), F.first("level").alias("level"), F.count("*").alias("n_lines"), collapse_space(text).alias("text"))
-    return made.select("doc_id", "pos", "page", F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("style"), "level", F.lit(None).cast("long").alias("list"), "n_lines", "text", F.lit(False).alias("_single"))
+    heads = cut(heads.select("doc_id", "pos", "page", "_size", "_of"))
+    made = heads.join(levels, ["doc_id", "_size"]).groupBy("doc_id", F.col("_of").alias("pos")).agg(F.min("page").alias("page"), F.first("level").alias("level"), F.count("*").alias("n_lines"))
+    made = made.select("doc_id", "pos", "page", F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("style"), "level", F.lit(None).cast("long").alias("list"), "n_lines", F.lit(False).alias("_single"))
+    return made, heads.select("doc_id", "pos", F.col("_of").alias("block"), F.lit("heading").alias("kind"))
 
 
 def tables(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame:
