@@ -7,15 +7,13 @@ character never contains such a byte, so splitting bytes equals splitting code p
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..session import importable
+from ..session import importable, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes at once; a single longer document is a step of its own.
@@ -33,10 +31,8 @@ _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; set a local one only where none is set, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codexloom-checkpoints"))
+    """Keep the cluster's ``spark.checkpoint.dir``; a local session that has none gets a local one, a cluster is asked to name one."""
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
