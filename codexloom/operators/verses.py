@@ -69,21 +69,18 @@ def verses(parts: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     )
     verse, held = F.coalesce("_verse", F.lit(0)), F.coalesce(F.col("_held") >= 0, F.lit(False))
     rolls = numbered & (verse >= 2) & (F.col("number") < verse) & (F.col("number") <= 3) & held
-    rows = rows.withColumns(
-        {
-            "_step": (numbered & (verse > 0) & (F.col("number") == 1) | rolls).cast("int"),
-            "_opens": numbered & (F.col("number") >= 2) & held & ((verse == 0) | rolls),
-            "_flag": numbered & ~F.coalesce(F.col("_begun") == F.col("pos"), F.lit(False)),
-            "_apart": (waits & ~(held & ((verse == 0) | (F.col("_held") == 1) | F.col("small")))).cast("int"),
-        }
-    )
+    said = (numbered, waits, numbered & (F.col("number") >= 2) & held & ((verse == 0) | rolls), numbered & ~F.coalesce(F.col("_begun") == F.col("pos"), F.lit(False)), waits & ~(held & ((verse == 0) | (F.col("_held") == 1) | F.col("small"))))
+    bits = sum((F.coalesce(c, F.lit(False)).cast("int") * (1 << i) for i, c in enumerate(said)), F.lit(0))
+    step = (numbered & (verse > 0) & (F.col("number") == 1) | rolls).cast("int")
+    rows = rows.select("doc_id", "pos", "part", "_start", "book", "first", "number", "cut", F.coalesce(step, F.lit(0)).alias("_step"), bits.alias("_bits"))
+    numbered, waits, opens, flag, apart = (F.col("_bits").bitwiseAND(1 << i) != 0 for i in range(5))
     rows = carried(rows, ["doc_id", "_start"], ["pos", "part"], chunk, total={"_moved": F.col("_step")})
-    rows = cut(carried(rows, ["doc_id"], ["pos", "part"], chunk, total={"_n": numbered.cast("long"), "_group": F.col("_apart")}))
-    chapter = (F.col("first") + F.col("_moved") + F.col("_step")).cast("int")
+    rows = rows.select("doc_id", "pos", "part", "_start", "book", (F.col("first") + F.col("_moved") + F.col("_step")).cast("int").alias("chapter"), "number", "cut", "_bits")
+    rows = cut(carried(rows, ["doc_id"], ["pos", "part"], chunk, total={"_n": numbered.cast("long"), "_group": apart.cast("int")}))
     own = rows.filter(numbered)
-    heads = own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "book", chapter.alias("chapter"), F.col("number").alias("verse"), F.col("_flag").alias("paragraph"))
-    opened = own.filter("_opens").select("doc_id", (2 * F.col("_n") + 2).alias("ordinal"), "book", chapter.alias("chapter"), F.lit(1).alias("verse"), F.lit(True).alias("paragraph"), "_group")
-    pieces = rows.filter(waits).withColumn("_group", F.col("_group") + F.col("_apart"))
+    heads = own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "book", "chapter", F.col("number").alias("verse"), flag.alias("paragraph"))
+    opened = own.filter(opens).select("doc_id", (2 * F.col("_n") + 2).alias("ordinal"), "book", "chapter", F.lit(1).alias("verse"), F.lit(True).alias("paragraph"), "_group")
+    pieces = rows.filter(waits).withColumn("_group", F.col("_group") + apart.cast("int"))
     pieces = pieces.join(opened.select("doc_id", "_group", F.col("ordinal").alias("_to")), ["doc_id", "_group"], "left")
     pieces = pieces.select("doc_id", F.coalesce("_to", 2 * F.col("_n") + 1).alias("ordinal"), "pos", "part", "cut").filter("ordinal > 1")
     pieces = pieces.unionByName(own.select("doc_id", (2 * F.col("_n") + 3).alias("ordinal"), "pos", "part", "cut"))
@@ -93,9 +90,9 @@ def verses(parts: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     found = heads.unionByName(opened.drop("_group")).join(joined, ["doc_id", "ordinal"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     found = found.select("doc_id", "ordinal", "book", "chapter", "verse", "paragraph", "text")
     # A title's verse: the next number of its chapter's start, or the verse 1 that this number opens.
-    titles = rows.filter("kind = 'title'").select("doc_id", "_start", "_n", "pos", "part")
+    titles = rows.filter(~numbered & ~waits).select("doc_id", "_start", "_n", "pos", "part")
     titles = titles.join(parts.select("doc_id", "pos", "part", F.trim(F.coalesce("text", F.lit(""))).alias("text")), ["doc_id", "pos", "part"])
-    to = own.select("doc_id", "_start", "_n", (2 * F.col("_n") + F.when(F.col("_opens"), 2).otherwise(3)).alias("ordinal"))
+    to = own.select("doc_id", "_start", "_n", (2 * F.col("_n") + F.when(opens, 2).otherwise(3)).alias("ordinal"))
     seq = F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("pos", "part"))
     return found, titles.join(to, ["doc_id", "_start", "_n"]).select("doc_id", "ordinal", seq.alias("seq"), "text")
 
