@@ -581,5 +581,5 @@ def test_no_language_to_learn(spark):
 
 
 def test_registered():
-    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}) == list(range(1, 14))
     assert json.dumps(sorted(QUERIES))
