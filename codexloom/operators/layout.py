@@ -105,18 +105,97 @@ def break_lines(items: list[Item], width: int) -> tuple[list[int], list[float],
     raise ValueError("no feasible breaks")
 
 
+#: Words of one vectorised step of ``_word_breaks``; a longer text is a step of its own.
+STEP_WORDS = 1 << 16
+
+
+def _words(own: np.ndarray) -> list[Item]:
+    items: list[Item] = []
+    for i, x in enumerate(own):
+        items += [glue(400, 200, 100)] * (i > 0) + [box(int(x) * 100)]
+    return paragraph(items)
+
+
+def _word_breaks(words: np.ndarray, first: np.ndarray, widths: np.ndarray, tolerance: float, spares: np.ndarray) -> list[list[int] | None]:
+    """``_pass`` without overfull lines for texts of words alone; text t has the words from ``first[t]`` to ``first[t + 1]``.
+
+    How good a line is depends on its first and last word only, so all lines of all texts that may be set are rated in one
+    vector step, and the least total is sought among these few. Sums are made in ``_pass``'s order, so they are the same to the bit.
+    """
+    n, count = len(words), np.diff(first)
+    text = np.repeat(np.arange(len(count)), count)
+    w = words.astype(np.int64) * 100
+    natural, least = (np.concatenate(([0], np.cumsum(w + g))) for g in (400, 300))
+    last = np.zeros(n, bool)
+    last[first[1:] - 1] = True
+    # Lines that start before ``low`` are overfull at this word, and at all later ones.
+    low = np.maximum(np.searchsorted(least, least[1:] - 300 - widths[text], "left"), first[text])
+    end = np.arange(n)
+    size = np.maximum(end + 1 - low, 0)
+    b = np.repeat(end, size)
+    s = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[b]
+    slack = (widths[text[b]] - (natural[b + 1] - natural[s] - 400)).astype(float)
+    gaps = b - s
+    stretch, shrink = (200 * gaps + np.where(last[b], ENDLESS, 0) + spares[text[b]]).astype(float), (100 * gaps).astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.where(slack > 0, np.where(stretch > 0, slack / stretch, np.inf), np.where(slack < 0, np.where(shrink > 0, slack / shrink, -np.inf), 0.0))
+        bad = np.minimum(100 * np.abs(r) ** 3, BAD)
+    able = np.flatnonzero((bad <= tolerance) | last[b])
+    fitness = np.where(r < -0.5, 0, np.where(r <= 0.5, 1, np.where(r <= 1, 2, 3)))[able].tolist()
+    base = ((LINE_PENALTY + bad) ** 2 + 0.0)[able].tolist()
+    s, b = s[able], b[able]
+    bounds = np.searchsorted(b, first)
+    s, b, out = s.tolist(), b.tolist(), []
+    for t in range(len(count)):
+        # Partial solutions by the first word of their next line: fitness, total, the solution before, the break.
+        at, done = int(first[t]), int(first[t + 1]) - 1
+        known: dict[int, list[tuple]] = {at: [(1, 0.0, None, -1)]}
+        i, stop = int(bounds[t]), int(bounds[t + 1])
+        while i < stop:
+            here, best = b[i], [None] * 4
+            while i < stop and b[i] == here:
+                f, d0 = fitness[i], base[i]
+                for node in known.get(s[i], ()):
+                    d = d0 + (ADJACENT if abs(f - node[0]) > 1 else 0.0) + node[1]
+                    if best[f] is None or d < best[f][1]:
+                        best[f] = (f, d, node, 2 * (here - at) + 1)
+                i += 1
+            if any(best):
+                known[here + 1] = [x for x in best if x]
+        final = min(known.get(done + 1, ()), key=lambda x: x[1], default=None)
+        if final is None:
+            out.append(None)
+            continue
+        breaks, node = [2 * (done - at) + 3], final[2]
+        while node[2] is not None:
+            breaks.append(node[3])
+            node = node[2]
+        out.append(breaks[::-1])
+    return out
+
+
+def break_words(texts: list[np.ndarray], widths: np.ndarray) -> list[list[int]]:
+    """Line breaks of each text's words as ``break_lines`` finds them; texts that need overfull lines or have no words are left to it."""
+    out: list[list[int] | None] = [None] * len(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    rest = np.flatnonzero(size)
+    for spare in (False, True):
+        step = np.cumsum(size[rest]) // STEP_WORDS
+        for own in np.split(rest, np.flatnonzero(np.diff(step)) + 1):
+            if len(own):
+                first = np.concatenate(([0], np.cumsum(size[own])))
+                for i, found in zip(own, _word_breaks(np.concatenate([texts[i] for i in own]), first, widths[own], TOLERANCE, widths[own] // 8 * spare), strict=True):
+                    out[i] = found
+        rest = np.array([i for i in rest if out[i] is None], np.int64)
+    return [found if found is not None else break_lines(_words(own), int(width))[0] for found, own, width in zip(out, texts, widths, strict=True)]
+
+
 def break_words_udf():
     """Line breaks (item positions) of words of the given widths, set with spaces of 4 plus 2 minus 1 units, 100 to a unit."""
 
     @F.pandas_udf("array<int>")
     def run(widths: pd.Series, width: pd.Series) -> pd.Series:
-        out = []
-        for own, line in zip(widths, width, strict=True):
-            items: list[Item] = []
-            for i, x in enumerate(own):
-                items += [glue(400, 200, 100)] * (i > 0) + [box(int(x) * 100)]
-            out.append(break_lines(paragraph(items), int(line) * 100)[0])
-        return pd.Series(out)
+        return pd.Series(break_words([np.asarray(x, np.int64) for x in widths], width.to_numpy(np.int64) * 100), dtype=object)
 
     return run
 

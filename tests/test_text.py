@@ -157,3 +157,25 @@ def test_breaks_of_a_paragraph():
     for i, width in enumerate((7, 11, 5, 9, 13, 6, 8, 10, 4, 12, 9, 7, 11, 5, 8)):
         items += [glue(400, 200, 100)] * (i > 0) + [box(100 * width)]
     assert break_lines(paragraph(items), 3400)[0] == [5, 11, 17, 23, 31]
+
+
+@given(st.lists(st.lists(st.sampled_from([0, 7, 14, 21, 35, 42, 56, 70, 98, 200, 410]), max_size=40), max_size=6), st.sampled_from([60, 150, 400]), st.sampled_from([1, 25, 1 << 16]))
+@settings(max_examples=150, deadline=None)
+def test_words_break_as_items_do(texts, width, step):
+    import numpy as np
+
+    kept, layout.STEP_WORDS = layout.STEP_WORDS, step
+    try:
+        found = layout.break_words([np.array(t, np.int64) for t in texts], np.full(len(texts), width * 100))
+    finally:
+        layout.STEP_WORDS = kept
+    assert found == [layout.break_lines(layout._words(t), width * 100)[0] for t in texts]
+
+
+def test_lines_of_all_texts_are_rated_together(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(layout, "break_lines", None)  # no text of common words is broken by itself
+    rng = np.random.default_rng(1)
+    texts = [7 * rng.integers(1, 12, n) for n in (1, 30, 400)]
+    assert [len(x) > 0 and x[-1] == 2 * len(t) + 1 for x, t in zip(layout.break_words(texts, np.full(3, 40_000)), texts, strict=True)] == [True] * 3
