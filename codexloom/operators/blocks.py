@@ -2,7 +2,7 @@
 
 A line is a heading, part of a table or part of a paragraph; some lines take their kind from the line before (a short bold line is
 a heading unless a paragraph is open, a line of spread words is a table row unless one is). That is an automaton of five states,
-whose steps ``ordered.states`` composes. Paragraph lines then fall into stretches: after any line that surely closes paragraph and list
+whose steps ``ordered.moves`` composes. Paragraph lines then fall into stretches: after any line that surely closes paragraph and list
 (a gap, a short line or another style before it, no indent and no list mark) nothing before matters. A stretch is a paragraph or a list at
 most; its lines' measures, not their texts, meet in one list that is folded for margins and list numbers.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import list_mark, list_number, without_list_mark
 from ..functions.text import collapse_space
 from ..session import cut
-from .ordered import CHUNK, FOLD, carried, states
+from .ordered import CHUNK, FOLD, carried, moves
 
 START, HEADING, TABLE, PARAGRAPH, FIRST_ROW = range(5)
 #: Points within which cells share a column, and pitches that a gap must exceed.
@@ -120,7 +120,7 @@ def kinds(lines: DataFrame, profile: DataFrame, size: int = CHUNK) -> DataFrame:
     A table of one row is a paragraph's line that lies alone.
     """
     rows = cut(_measured(lines, profile, size))
-    slim = states(rows.select("doc_id", "pos", F.col("moves").alias("_moves")), ["doc_id"], "pos", F.col("_moves"), "_was", START, max(2, min(size, FOLD)))
+    slim = moves(rows.select("doc_id", "pos", F.col("moves").alias("_moves")), ["doc_id"], "pos", "_moves", "_was", START, max(2, min(size, FOLD)))
     slim = slim.withColumn("_kind", F.expr("int(substring(_moves, _was + 1, 1))")).withColumn("_back", -F.col("pos"))
     slim = carried(slim, ["doc_id"], ["_back"], F.expr(f"-(pos div {size})"), lag={"_next": F.col("_kind")})  # from the far end: the line after
     lone = (F.col("_kind") == FIRST_ROW) & (F.coalesce("_next", F.lit(START)) != TABLE)

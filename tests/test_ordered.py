@@ -153,3 +153,30 @@ def test_parts_of(spark):
     rows = [(1, 0, "heading", 2, 3, "Kapitel 3", None), (1, 1, "paragraph", None, None, "abcdef", [(0, 1), (2, 2), (2, 3)]), (1, 2, "paragraph", None, None, "x", None), (1, 3, "heading", None, None, "T", []), (1, 4, "paragraph", 9, 9, None, [])]
     got = sorted((r.pos, r.part, r.kind, r.book, r.chapter, r.number, r.text) for r in verses.parts_of(spark.createDataFrame(rows, kind)).collect())
     assert got == [(0, 0, "start", 2, 3, None, "Kapitel 3"), (1, 0, "text", None, None, None, ""), (1, 1, "text", None, None, 1, "ab"), (1, 2, "text", None, None, 2, ""), (1, 3, "text", None, None, 3, "cdef"), (2, 0, "text", None, None, None, "x"), (3, 0, "title", None, None, None, "T"), (4, 0, "text", None, None, None, None)]
+
+
+@pytest.mark.parametrize("size, joins", [(100, False), (4, True)])
+def test_only_keys_of_several_chunks_are_joined(spark, size, joins):
+    rows = [("a", i, i % 3) for i in range(3)] + [("b", i, None if i % 4 else i) for i in range(11)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    found = ordered.carried(df, ["k"], ["i"], F.expr(f"i div {size}"), {"g": F.col("v")}, {"l": F.col("v")}, {"t": F.col("v")})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == joins
+    expected = []
+    for k in "ab":
+        own = [v for x, _, v in rows if x == k]
+        for i, v in enumerate(own):
+            past = [x for x in own[:i] if x is not None]
+            expected.append((k, i, v, own[i - 1] if i else None, past[-1] if past else None, sum(past)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_moves_give_the_rows_back(spark):
+    df = spark.createDataFrame([("a", i, "10" if i % 3 else "01") for i in range(9)], "k string, i int, c string")
+    got = sorted(map(tuple, ordered.moves(df, ["k"], "i", "c", "s", 0, 2).select("k", "i", "c", "s").collect()))
+    state, expected = 0, []
+    for i in range(9):
+        c = "10" if i % 3 else "01"
+        expected.append(("a", i, c, state))
+        state = int(c[state])
+    assert got == expected
