@@ -15,6 +15,8 @@ from ..functions.text import canonical, fold, forms, tokens, words
 from ..session import cut
 
 K1, B = 1.5, 0.75
+#: Repeated keys up to which they are broadcast.
+MOST_REPEATED = 100_000
 
 
 def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,9 +30,27 @@ def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Words are counted as they are, so suffixes and aliases are worked out once for each different word of a document."""
-    each = docs.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return each.select(key, canonical(F.col("word")).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    """Terms are counted inside each row; only rows that share a key go on to a shuffle."""
+    counted = lambda rows: rows.select(F.col(key), F.explode(_counts(tokens(F.col(text)))).alias("_c")).select(key, "_c.term", "_c.tf")
+    repeated = cut(docs.groupBy(F.col(key).alias("_k")).count().filter("count > 1").select("_k"))
+    n = repeated.count()
+    if not n:
+        return counted(docs)
+    again = docs[key].eqNullSafe(repeated["_k"])
+    few = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
+    shared = counted(docs.join(few, again, "left_semi")).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return counted(docs.join(few, again, "left_anti")).unionByName(shared)
+
+
+def _counts(terms: Column) -> Column:
+    """Each different term of an array and how often it is there: terms in order lie in runs."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda p: F.transform(p, lambda x, j: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - x).cast("long").alias("tf")))
+        return F.when(F.size(s) > 0, F.get(F.transform(F.array(starts), run), F.lit(0)))
+
+    return F.get(F.transform(F.array(F.sort_array(terms)), runs), F.lit(0))
 
 
 def _distinct(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Queries over whole tables, against brute force; with large, repeated and null ids."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codexloom.plans import registry
 
@@ -72,3 +73,17 @@ def test_references_of_the_lines_themselves_are_not_between_lines(spark, tmp_pat
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     expected = duck.sql(registry.oracle_sql()["reference_scan_golden"]).fetchall()
     assert sorted(rows_of(spark, str(tmp_path), "reference_scan_golden")) == sorted(expected)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_terms_are_counted_inside_rows(spark, again):
+    from collections import Counter
+
+    from codexloom.operators import search
+
+    rows = [(1, "b a b ab1 liebe Liebt"), (2, None), (3, ""), (None, "a"), *([(1, "a b"), (None, "c a")] if again else [])]
+    found = search.term_frequencies(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()) == again
+    expected = Counter((k, {"liebe": "lieb", "liebt": "lieb"}.get(w, w)) for k, t in rows for w in (t or "").lower().split())
+    assert {(k, t): n for k, t, n in found.collect()} == expected
+    assert found.count() == len(expected)
