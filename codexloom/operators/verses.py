@@ -91,7 +91,7 @@ def verses(parts: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     found = found.select("doc_id", "ordinal", "book", "chapter", "verse", "paragraph", "text")
     # A title's verse: the next number of its chapter's start, or the verse 1 that this number opens.
     titles = rows.filter(~numbered & ~waits).select("doc_id", "_start", "_n", "pos", "part")
-    titles = titles.join(parts.select("doc_id", "pos", "part", F.trim(F.coalesce("text", F.lit(""))).alias("text")), ["doc_id", "pos", "part"])
+    titles = titles.join(parts.filter("kind not in ('text', 'start')").select("doc_id", "pos", "part", F.trim(F.coalesce("text", F.lit(""))).alias("text")), ["doc_id", "pos", "part"])
     to = own.select("doc_id", "_start", "_n", (2 * F.col("_n") + F.when(opens, 2).otherwise(3)).alias("ordinal"))
     seq = F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("pos", "part"))
     return found, titles.join(to, ["doc_id", "_start", "_n"]).select("doc_id", "ordinal", seq.alias("seq"), "text")

@@ -87,3 +87,12 @@ def test_terms_are_counted_inside_rows(spark, again):
     expected = Counter((k, {"liebe": "lieb", "liebt": "lieb"}.get(w, w)) for k, t in rows for w in (t or "").lower().split())
     assert {(k, t): n for k, t, n in found.collect()} == expected
     assert found.count() == len(expected)
+
+
+def test_only_titles_are_joined_for_titles(spark):
+    from codexloom.operators import verses
+
+    rows = [(1, 0, 0, "start", 1, 2, None, "Kap"), (1, 1, 0, "title", None, None, None, " T "), (1, 2, 0, "text", None, None, 1, "x"), (1, 3, 0, "title", None, None, None, "U"), (1, 4, 0, "text", None, None, 2, "y")]
+    _, titles = verses.verses(spark.createDataFrame(rows, "doc_id long, pos long, part int, kind string, book int, chapter int, number int, text string"))
+    assert sorted(map(tuple, titles.select("ordinal", "seq", "text").collect())) == [(3, 1, "T"), (5, 1, "U")]
+    assert "text,start" in titles._jdf.queryExecution().optimizedPlan().toString().replace(" ", "").replace("start,text", "text,start")
