@@ -41,9 +41,11 @@ def without_furniture(rows: DataFrame, band: float = 0.09, least: int = 3, page_
 
 def gutter(fragments: DataFrame, bin_width: float = 4.0) -> DataFrame:
     """Per page the widest empty run between covered bins of x: gutter_from, gutter_to."""
-    bins = fragments.select("doc_id", "page", F.explode(F.sequence(F.floor(F.col("x") / bin_width), F.floor((F.col("x") + F.col("width")) / bin_width))).alias("b")).distinct()
-    w = Window.partitionBy("doc_id", "page").orderBy("b")
-    gaps = bins.withColumn("_next", F.lead("b").over(w)).filter("_next > b + 1")
+    ends = fragments.select("doc_id", "page", F.floor(F.col("x") / bin_width).alias("_a"), F.floor((F.col("x") + F.col("width")) / bin_width).alias("_b")).filter("_a is not null and _b is not null")
+    # A fragment covers all bins between its ends, so of those that begin in one bin the farthest end tells all, and no bin becomes a row.
+    covered = ends.groupBy("doc_id", "page", F.least("_a", "_b").alias("_next")).agg(F.max(F.greatest("_a", "_b")).alias("_to"))
+    before = Window.partitionBy("doc_id", "page").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = covered.withColumn("b", F.max("_to").over(before)).filter("_next > b + 1")
     best = gaps.groupBy("doc_id", "page").agg(F.max_by(F.struct("b", "_next"), F.struct(F.col("_next") - F.col("b"), -F.col("b"))).alias("g"))
     return best.select("doc_id", "page", ((F.col("g.b") + 1) * bin_width).alias("gutter_from"), (F.col("g._next") * bin_width).alias("gutter_to"))
 

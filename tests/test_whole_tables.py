@@ -96,3 +96,11 @@ def test_only_titles_are_joined_for_titles(spark):
     _, titles = verses.verses(spark.createDataFrame(rows, "doc_id long, pos long, part int, kind string, book int, chapter int, number int, text string"))
     assert sorted(map(tuple, titles.select("ordinal", "seq", "text").collect())) == [(3, 1, "T"), (5, 1, "U")]
     assert "text,start" in titles._jdf.queryExecution().optimizedPlan().toString().replace(" ", "").replace("start,text", "text,start")
+
+
+def test_wide_fragments_are_no_rows(spark):
+    from codexloom.operators import documents
+
+    rows = [(1, 0, 0.0, 4e12), (1, 0, 4e12 + 40, 8.0), (1, 0, 4e12 + 100, -20.0), (1, 0, None, 4.0), (1, 1, 8.0, 0.0)]
+    found = documents.gutter(spark.createDataFrame(rows, "doc_id long, page long, x double, width double")).collect()
+    assert [tuple(r) for r in found] == [(1, 0, 4e12 + 4, 4e12 + 40)]
