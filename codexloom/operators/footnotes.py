@@ -25,11 +25,11 @@ def split(lines: DataFrame, profile: DataFrame, page_height: float = 800.0, size
     Small is less than the body's size by 12 %, and by 0.6 at least. ``size`` lines are a chunk; the result does not depend on it."""
     rows = lines.filter("page is not null").select("doc_id", "pos", F.col("page").cast("long").alias("page"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("top", "size")), F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.select("doc_id", "pos", "page", "text")
+    rows = rows.withColumn("label", note_label(F.col("text"))).drop("text")  # texts stay behind: only labels go on
     rows = rows.join(profile.select("doc_id", "body_size"), "doc_id")
     small = F.col("size") < F.col("body_size") - F.greatest(0.12 * F.col("body_size"), F.lit(0.6))
     low = small & (F.col("top") > 0.5 * page_height) & ~F.col("bold")
-    label = note_label(F.col("text"))
-    rows = cut(rows.select("doc_id", "pos", "page", label.alias("label"), small.alias("small"), low.alias("low")))
+    rows = cut(rows.select("doc_id", "pos", "page", "label", small.alias("small"), low.alias("low")))
     found = rows.filter("low").groupBy("doc_id", "page").agg(F.count("label").alias("_labels"), F.min_by(F.struct(F.col("label").isNull().alias("bare"), "pos"), "pos").alias("_first"))
     pages = rows.select("doc_id", "page").distinct().join(found, ["doc_id", "page"], "left")
     pages = carried(pages, ["doc_id"], ["page"], F.expr(f"page div {size}"), lag={"_was": F.col("page")})

@@ -176,7 +176,7 @@ def document_notes(spark, d):
     s = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. |\n")).alias("pos", "t")).withColumn("n", F.length("t"))
     text = F.expr("case when n % 5 = 0 then concat(pos % 30, ' ', t) when n % 5 = 1 then concat('a ', t) when n % 5 = 2 then concat(t, '-') else t end")
     rows = s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.expr("pos div 8").alias("page"), F.expr("90D * (pos % 8)").alias("top"), F.expr("if(pos % 8 >= 4 and n % 3 > 0, 8D, 10D)").alias("size"), F.expr("n % 11 = 0").alias("bold"), text.alias("text"))
-    profile = rows.select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
+    profile = table(spark, d, "documents").select("doc_id").distinct().withColumn("body_size", F.lit(10.0))
     return footnotes.notes(footnotes.split(rows, profile))
 
 

@@ -104,3 +104,15 @@ def test_wide_fragments_are_no_rows(spark):
     rows = [(1, 0, 0.0, 4e12), (1, 0, 4e12 + 40, 8.0), (1, 0, 4e12 + 100, -20.0), (1, 0, None, 4.0), (1, 1, 8.0, 0.0)]
     found = documents.gutter(spark.createDataFrame(rows, "doc_id long, page long, x double, width double")).collect()
     assert [tuple(r) for r in found] == [(1, 0, 4e12 + 4, 4e12 + 40)]
+
+
+def test_labels_are_read_before_lines_meet_their_profile(spark, monkeypatch):
+    from codexloom.operators import footnotes
+
+    seen, cut = [], footnotes.cut
+    monkeypatch.setattr(footnotes, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    rows = [(1, 0, 0, 100.0, 10.0, False, "body"), (1, 1, 0, 700.0, 8.0, False, "3 note"), (1, 2, 0, 710.0, 8.0, False, "more")]
+    lines = spark.createDataFrame(rows, "doc_id long, pos long, page long, top double, size double, bold boolean, text string")
+    found = footnotes.notes(footnotes.split(lines, lines.select("doc_id").distinct().withColumn("body_size", F.lit(10.0))))
+    assert [tuple(r) for r in found.select("note", "label", "text").collect()] == [(1, "3", "note more")]
+    assert seen[0].index("Join") < seen[0].index("regexp")
