@@ -8,8 +8,10 @@ form one path row, binned by that minimiser, so equal windows of any two documen
 2. A bin whose paths all carry one label is nonbranching: the join that brings the bin's first path to
    each path settles the whole path at once.
 3. In branching bins, equal labels compact onto their first path by a second join; only the first
-   path of each label is opened into single edges, which a third join compares. A repeated word's equal
-   edges in a row are one row with their number.
+   path of each label is opened, into runs of edges that end where an edge's own hash says so, about every eighth.
+   Near copies share all runs but those about their changes, so runs compact by label once more, and only the
+   first run of each label is opened into single edges, which a last join compares. A repeated word's equal
+   edges in a row are one edge with their number.
 4. The surviving spans carry their source's coordinates (document, first word). A span's words are equal to the source's
    under two hashes of independent salts, each made from the words at those coordinates, 128 bits; the words
    themselves do not travel. Spans go back to the text, where their words are removed.
@@ -36,6 +38,8 @@ K, MINIMISER, SALT = 50, 16, 0x6A09E667F3BCC909
 #: Repeated doc_ids up to which they are broadcast.
 MOST_REPEATED = 100_000
 _LOW = np.uint64((1 << 24) - 1)
+#: A run of edges begins at an edge whose hash has none of these bits.
+_EIGHTH = 7
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +89,7 @@ def _path_rows(k: int, m: int):
     return rows
 
 
-def _edge_rows(k: int, m: int):
+def _run_rows(k: int, m: int):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t")
         opened = batch.column("opened")
@@ -107,9 +111,20 @@ def _edge_rows(k: int, m: int):
                 new[1:] = (edge[1:] != edge[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (probe[1:] != probe[:-1])
             one = np.flatnonzero(new)
             run = np.diff(np.append(one, len(start)))
+            path = np.repeat(np.arange(len(count)), count)[one]
+            head = (edge[one] & np.uint64(_EIGHTH)) == 0
+            head[:1] = True
+            head[1:] |= (path[1:] != path[:-1]) | (start[one[1:]] != start[one[:-1]] + run[:-1])
+            lead = np.flatnonzero(head)
+            bounds = np.append(lead, len(one))
+            upto = np.concatenate(([0], np.cumsum(run)))
+            n = upto[bounds[1:]] - upto[bounds[:-1]]
+            begin, own = start[one[lead]], doc[one[lead]]
+            at = (start[one] - words.first[doc[one]]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (signed(edge[one]), signed(check[one]), at, run.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (signed(edge[one]), signed(check[one]), ids[doc[one] + part.start])), marks.take(pa.array(doc[one] + part.start)), *map(pa.array, ((start[one] - words.first[doc[one]]).astype(np.int32), run.astype(np.int32), probe[one]))],
-                names=["edge", "check", "doc_id", "_t", "at", "n", "probe"],
+                [*map(pa.array, (signed(words.ranges(begin, begin + n + k - 1)), signed(words.ranges(begin, begin + n + k - 1, SALT)), ids[own + part.start])), marks.take(pa.array(own + part.start)), *map(pa.array, (at[lead], n.astype(np.int32), probe[one[lead]])), *lists],
+                names=["label", "check", "doc_id", "_t", "at", "n", "probe", "edges", "checks", "ats", "ns"],
             )
 
     return rows
@@ -135,11 +150,17 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame
     owned = cut(forks.join(labels, ["label", "check"]))
     compacted = owned.filter("doc_id > own.doc_id").select(*found)
     opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
-    edges = arrow_map(docs.join(opened, ["doc_id", "_t"]), _edge_rows(k, m), "edge long, check long, doc_id long, _t string, at int, n int, probe boolean")
+    runs = cut(arrow_map(docs.join(opened, ["doc_id", "_t"]), _run_rows(k, m), "label long, check long, doc_id long, _t string, at int, n int, probe boolean, edges array<long>, checks array<long>, ats array<int>, ns array<int>"))
+    leads = runs.groupBy("label", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
+    alike = runs.filter("probe").select("label", "check", "doc_id", "_t", "at", "n").join(leads, ["label", "check"]).filter("doc_id > own.doc_id").select(*found)
+    # A run that starts in an earlier document has nothing to say about its edges that this one's does not.
+    each = F.explode(F.arrays_zip("edges", "checks", "ats", "ns")).alias("e")
+    edges = runs.join(leads, ["label", "check"]).filter("doc_id = own.doc_id").select("doc_id", "_t", "probe", each)
+    edges = edges.select(F.col("e.edges").alias("edge"), F.col("e.checks").alias("check"), "doc_id", "_t", F.col("e.ats").alias("at"), F.col("e.ns").alias("n"), "probe")
     firsts = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
     # A bin's first document has nothing to look for in it.
     single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*found)
-    return straight.unionByName(compacted).unionByName(single)
+    return straight.unionByName(compacted).unionByName(alike).unionByName(single)
 
 
 _ADDED = ("kept_text", "n_words", "n_removed", "spans", "sources")

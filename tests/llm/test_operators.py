@@ -104,6 +104,31 @@ def test_strings_that_defeat_polynomial_hashes(spark, tmp_path):
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
 
 
+@pytest.mark.parametrize("n", [40, 80])
+def test_near_copies_compact_in_runs_of_edges(spark, n, monkeypatch):
+    """Each copy has one word of its own; few of its windows are compared singly, and what goes is what brute force takes."""
+    from codexloom.llm import substring_dedup as sd
+
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[: 60 + 3 * d], f"own{d}", *base[60 + 3 * d :]]) for d in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = sd.repeated_spans(df.withColumn("_t", F.lit("")))
+    single = spans.filter("end - start = 50").count()
+    opened = n * 2 * 50  # at least the windows around each own word's path would be compared singly
+    assert single < opened / 5
+    got = {r["doc_id"]: r["n_removed"] for r in sd.remove_repeats(df).collect()}
+    seen, expected = set(), {}
+    for d, text in enumerate(texts):
+        w, gone = text.split(), set()
+        windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        for i, x in enumerate(windows):
+            if x in seen:
+                gone.update(range(i, i + 50))
+        seen.update(windows)
+        expected[d] = len(gone)
+    assert got == expected
+
+
 def test_texts_longer_than_a_step(spark):
     """One document of about 2.4 MB, which is a step of its own, in each operator that reads texts in steps."""
     from codexloom.llm import ngram_join
