@@ -11,7 +11,8 @@ form one path row, binned by that minimiser, so equal windows of any two documen
    path of each label is opened, into runs of edges that end where an edge's own hash says so, about every eighth.
    Near copies share all runs but those about their changes, so runs compact by label once more, and only the
    first run of each label is opened into single edges, which a last join compares. A repeated word's equal
-   edges in a row are one edge with their number.
+   edges in a row are one edge with their number. A line that a document repeats has few different edges, each of
+   which is a run of its own; equal runs of a document are one row with their places.
 4. The surviving spans carry their source's coordinates (document, first word). A span's words are equal to the source's
    under two hashes of independent salts, each made from the words at those coordinates, 128 bits; the words
    themselves do not travel. Spans go back to the text, where their words are removed.
@@ -89,6 +90,16 @@ def _path_rows(k: int, m: int):
     return rows
 
 
+def _again_within(k: int, edge: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each edge, in order of start, has an equal one of its document at most k words away."""
+    order = np.argsort(edge, kind="stable")
+    e, s, d = edge[order], start[order], doc[order]
+    near = (e[1:] == e[:-1]) & (d[1:] == d[:-1]) & (s[1:] - s[:-1] <= k)
+    out = np.zeros(len(edge), bool)
+    out[order[1:][near]] = out[order[:-1][near]] = True
+    return out
+
+
 def _run_rows(k: int, m: int):
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("_t")
@@ -115,32 +126,42 @@ def _run_rows(k: int, m: int):
             head = (edge[one] & np.uint64(_EIGHTH)) == 0
             head[:1] = True
             head[1:] |= (path[1:] != path[:-1]) | (start[one[1:]] != start[one[:-1]] + run[:-1])
+            again = _again_within(k, edge[one], start[one], doc[one])
+            head |= again
+            head[1:] |= again[:-1]
             lead = np.flatnonzero(head)
             bounds = np.append(lead, len(one))
             upto = np.concatenate(([0], np.cumsum(run)))
             n = upto[bounds[1:]] - upto[bounds[:-1]]
-            begin, own = start[one[lead]], doc[one[lead]]
-            at = (start[one] - words.first[doc[one]]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (signed(edge[one]), signed(check[one]), at, run.astype(np.int32))]
+            begin, own, probe = start[one[lead]], doc[one[lead]], probe[one[lead]]
+            after = (start[one] - np.repeat(begin, np.diff(bounds))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (signed(edge[one]), signed(check[one]), after, run.astype(np.int32))]
+            label, label_check = words.ranges(begin, begin + n + k - 1), words.ranges(begin, begin + n + k - 1, SALT)
+            # Equal runs of a document are one row.
+            order = np.lexsort((probe, label_check, label, own))
+            differ = np.ones(len(order), bool)
+            differ[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (own, label, label_check, probe)], axis=0)
+            first = np.flatnonzero(differ)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array((begin - words.first[own])[order].astype(np.int32)))
+            kept = order[first]
+            own = pa.array(own[kept] + part.start)
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, (signed(words.ranges(begin, begin + n + k - 1)), signed(words.ranges(begin, begin + n + k - 1, SALT)), ids[own + part.start])), marks.take(pa.array(own + part.start)), *map(pa.array, (at[lead], n.astype(np.int32), probe[one[lead]])), *lists],
-                names=["label", "check", "doc_id", "_t", "at", "n", "probe", "edges", "checks", "ats", "ns"],
+                [pa.array(signed(label[kept])), pa.array(signed(label_check[kept])), pa.array(ids).take(own), marks.take(own), places, pa.array(n[kept].astype(np.int32)), pa.array(probe[kept]), *(x.take(pa.array(kept)) for x in lists)],
+                names=["label", "check", "doc_id", "_t", "places", "n", "probe", "edges", "checks", "after", "ns"],
             )
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame:
-    """Word ranges [start, end) of documents whose k-word windows all start in documents of smaller doc_id.
-
-    ``docs`` has doc_id, text and _t, which tells rows of one doc_id and different texts apart. Ranges may overlap. ``source`` and ``source_start`` say where a
-    range's words are first; a repeated word's range has the place of one window there.
-    """
+def _found_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
+    """What ``repeated_spans`` returns, as arrays: doc_id, _t, ranges."""
     seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t string, at int, n int")
     first = F.min(F.struct("doc_id", "_t", "at", "check"))
     bins = seen.groupBy("bin").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") != F.max("label")).alias("branching"))
     shared = cut(seen.join(bins.filter("lo < hi").select("bin", "lo", "branching"), "bin"))
-    found = ["doc_id", "_t", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(k - 1)).alias("end"), F.col("own.doc_id").alias("source"), F.col("own.at").alias("source_start")]
+    span = lambda at: F.struct(at.alias("start"), (at + F.col("n") + F.lit(k - 1)).alias("end"), F.col("own.doc_id").alias("source"), F.col("own.at").alias("source_start"))
+    found = ["doc_id", "_t", F.array(span(F.col("at"))).alias("ranges")]
+    at_places = ["doc_id", "_t", F.transform("places", span).alias("ranges")]
     plain = shared.filter("not branching")
     heads = plain.filter("doc_id = lo").groupBy("bin").agg(first.alias("own"))
     straight = plain.filter("doc_id > lo").join(heads, "bin").filter("check = own.check").select(*found)
@@ -150,19 +171,29 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame
     owned = cut(forks.join(labels, ["label", "check"]))
     compacted = owned.filter("doc_id > own.doc_id").select(*found)
     opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
-    runs = cut(arrow_map(docs.join(opened, ["doc_id", "_t"]), _run_rows(k, m), "label long, check long, doc_id long, _t string, at int, n int, probe boolean, edges array<long>, checks array<long>, ats array<int>, ns array<int>"))
-    leads = runs.groupBy("label", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
-    alike = runs.filter("probe").select("label", "check", "doc_id", "_t", "at", "n").join(leads, ["label", "check"]).filter("doc_id > own.doc_id").select(*found)
+    runs = cut(arrow_map(docs.join(opened, ["doc_id", "_t"]), _run_rows(k, m), "label long, check long, doc_id long, _t string, places array<int>, n int, probe boolean, edges array<long>, checks array<long>, after array<int>, ns array<int>"))
+    earliest = F.min(F.struct("doc_id", F.col("places")[0].alias("at"))).alias("own")
+    leads = runs.groupBy("label", "check").agg(earliest)
+    alike = runs.filter("probe").select("label", "check", "doc_id", "_t", "places", "n").join(leads, ["label", "check"]).filter("doc_id > own.doc_id").select(*at_places)
     # A run that starts in an earlier document has nothing to say about its edges that this one's does not.
-    each = F.explode(F.arrays_zip("edges", "checks", "ats", "ns")).alias("e")
-    edges = runs.join(leads, ["label", "check"]).filter("doc_id = own.doc_id").select("doc_id", "_t", "probe", each)
-    edges = edges.select(F.col("e.edges").alias("edge"), F.col("e.checks").alias("check"), "doc_id", "_t", F.col("e.ats").alias("at"), F.col("e.ns").alias("n"), "probe")
-    firsts = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "at")).alias("own"))
+    each = F.explode(F.arrays_zip("edges", "checks", "after", "ns")).alias("e")
+    edges = runs.join(leads, ["label", "check"]).filter("doc_id = own.doc_id").select("doc_id", "_t", "probe", "places", each)
+    edges = edges.select(F.col("e.edges").alias("edge"), F.col("e.checks").alias("check"), "doc_id", "_t", F.transform("places", lambda p: p + F.col("e.after")).alias("places"), F.col("e.ns").alias("n"), "probe")
+    firsts = edges.groupBy("edge", "check").agg(earliest)
     # A bin's first document has nothing to look for in it.
-    single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*found)
+    single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*at_places)
     return straight.unionByName(compacted).unionByName(alike).unionByName(single)
 
 
+def repeated_spans(docs: DataFrame, k: int = K, m: int = MINIMISER) -> DataFrame:
+    """Word ranges [start, end) of documents whose k-word windows all start in documents of smaller doc_id.
+
+    ``docs`` has doc_id, text and _t, which tells rows of one doc_id and different texts apart. Ranges may overlap. ``source`` and ``source_start`` say where a
+    range's words are first; a repeated word's range has the place of one window there.
+    """
+    return _found_ranges(docs, k, m).select("doc_id", "_t", F.inline("ranges"))
+
+
 _ADDED = ("kept_text", "n_words", "n_removed", "spans", "sources")
 
 
@@ -218,7 +249,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: i
         base = base.withColumn("_t", F.coalesce(mark, F.lit(""))).drop("_again")
     else:
         base = base.withColumn("_t", F.lit(""))
-    ranges = repeated_spans(base, k, m).groupBy("doc_id", "_t").agg(F.collect_list(F.struct("start", "end", "source", "source_start")).alias("ranges"))
+    ranges = _found_ranges(base, k, m).groupBy("doc_id", "_t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     sources = "array<struct<start: int, end: int, source: long, source_start: int>>"
     out = arrow_map(base.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, F.col("ranges").cast(sources).alias("ranges")), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>, sources {sources}")

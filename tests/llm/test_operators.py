@@ -129,6 +129,46 @@ def test_near_copies_compact_in_runs_of_edges(spark, n, monkeypatch):
     assert got == expected
 
 
+def rows_of_joins(df):
+    """Rows that each join of a collected query made."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.mark.parametrize("period", [2, 3, 6])
+def test_a_line_that_many_documents_repeat_is_asked_for_once_each(spark, period):
+    """Each document repeats one line between words of its own; joins make a row for each different window, not for each."""
+    docs, times = 12, 100
+    lines = [" ".join(f"p{line}w{i}" for i in range(period)) for line in range(4)]
+    texts = [" ".join(f"own{d}a{i}" for i in range(5 + d)) + "\n" + "\n".join([lines[d % 4]] * (times + d)) + f"\nend{d}" for d in range(docs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = substring_dedup.remove_repeats(df)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in out.collect()}
+    assert max(rows_of_joins(out)) <= docs * (period + 2)
+    seen, expected = set(), {}
+    for d, text in enumerate(texts):
+        w, gone = text.split(), set()
+        windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        for i, x in enumerate(windows):
+            if x in seen:
+                gone.update(range(i, i + 50))
+        seen.update(windows)
+        expected[d] = (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    assert got == expected and all(expected[d][0] >= times * period for d in range(4, docs))
+
+
 def test_texts_longer_than_a_step(spark):
     """One document of about 2.4 MB, which is a step of its own, in each operator that reads texts in steps."""
     from codexloom.llm import ngram_join
