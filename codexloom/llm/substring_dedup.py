@@ -4,13 +4,13 @@ Edges of the graph are the k-word windows (k = 50). The graph is held in the com
 consecutive windows of a document with the same minimiser (the least-hashed 16-word run inside the window)
 form one path row, binned by that minimiser, so equal windows of any two documents always share a bin.
 
-1. A bin that only one document touches cannot hold a repeat and goes (aggregation, then join).
-2. A bin whose paths all carry one label is nonbranching: the join that brings the bin's first path to
-   each path settles the whole path at once.
-3. In branching bins, equal labels compact onto their first path by a second join; only the first
+1. A bin that only one document touches cannot hold a repeat and goes (a window over the bin).
+2. A bin whose paths all carry one label is nonbranching: the same window brings the bin's first path to
+   each path, which settles the whole path at once.
+3. In branching bins, equal labels compact onto their first path by a second window; only the first
    path of each label is opened, into runs of edges that end where an edge's own hash says so, about every eighth.
    Near copies share all runs but those about their changes, so runs compact by label once more, and only the
-   first run of each label is opened into single edges, which a last join compares. A repeated word's equal
+   first run of each label is opened into single edges, which a last window compares. A repeated word's equal
    edges in a row are one edge with their number. A line that a document repeats has few different edges, each of
    which is a run of its own; equal runs of a document are one row with their places.
 4. The surviving spans carry their source's coordinates (document, first word). A span's words are equal to the source's
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, cut, documents_in, signed
@@ -135,7 +135,8 @@ def _run_rows(k: int, m: int):
             n = upto[bounds[1:]] - upto[bounds[:-1]]
             begin, own, probe = start[one[lead]], doc[one[lead]], probe[one[lead]]
             after = (start[one] - np.repeat(begin, np.diff(bounds))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (signed(edge[one]), signed(check[one]), after, run.astype(np.int32))]
+            edges = pa.StructArray.from_arrays([*map(pa.array, (signed(edge[one]), signed(check[one]), after, run.astype(np.int32)))], ["edge", "check", "after", "n"])
+            edges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), edges)
             label, label_check = words.ranges(begin, begin + n + k - 1), words.ranges(begin, begin + n + k - 1, SALT)
             # Equal runs of a document are one row.
             order = np.lexsort((probe, label_check, label, own))
@@ -146,42 +147,46 @@ def _run_rows(k: int, m: int):
             kept = order[first]
             own = pa.array(own[kept] + part.start)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(label[kept])), pa.array(signed(label_check[kept])), pa.array(ids).take(own), marks.take(own), places, pa.array(n[kept].astype(np.int32)), pa.array(probe[kept]), *(x.take(pa.array(kept)) for x in lists)],
-                names=["label", "check", "doc_id", "_t", "places", "n", "probe", "edges", "checks", "after", "ns"],
+                [pa.array(signed(label[kept])), pa.array(signed(label_check[kept])), pa.array(ids).take(own), marks.take(own), places, pa.array(n[kept].astype(np.int32)), pa.array(probe[kept]), edges.take(pa.array(kept))],
+                names=["label", "check", "doc_id", "_t", "places", "n", "probe", "edges"],
             )
 
     return rows
 
 
+def _with_first(rows: DataFrame, keys: list[str], *first: str | Column) -> DataFrame:
+    """Adds ``own``, the least of ``first`` among the rows that share the keys. Rows are dealt out before, so that no column is shuffled twice."""
+    return rows.repartition(*keys).withColumn("own", F.min(F.struct(*first)).over(Window.partitionBy(*keys)))
+
+
 def _found_ranges(docs: DataFrame, k: int, m: int) -> DataFrame:
     """What ``repeated_spans`` returns, as arrays: doc_id, _t, ranges."""
     seen = arrow_map(docs, _path_rows(k, m), "bin long, label long, check long, doc_id long, _t string, at int, n int")
-    first = F.min(F.struct("doc_id", "_t", "at", "check"))
-    bins = seen.groupBy("bin").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") != F.max("label")).alias("branching"))
-    shared = cut(seen.join(bins.filter("lo < hi").select("bin", "lo", "branching"), "bin"))
+    # A group's first row and its others meet in a window, so rows are shuffled once for each way they are grouped.
+    first, bin_ = ("doc_id", "_t", "at", "check"), Window.partitionBy("bin")
+    bins = _with_first(seen, ["bin"], *first).withColumns({"hi": F.max("doc_id").over(bin_), "branching": F.min("label").over(bin_) != F.max("label").over(bin_)})
+    shared = bins.filter("own.doc_id < hi and (branching or doc_id > own.doc_id and check = own.check)")
+    shared = cut(shared.select("label", "check", "doc_id", "_t", "at", "n", "branching", F.struct("own.doc_id", "own.at").alias("own")))
     span = lambda at: F.struct(at.alias("start"), (at + F.col("n") + F.lit(k - 1)).alias("end"), F.col("own.doc_id").alias("source"), F.col("own.at").alias("source_start"))
     found = ["doc_id", "_t", F.array(span(F.col("at"))).alias("ranges")]
     at_places = ["doc_id", "_t", F.transform("places", span).alias("ranges")]
-    plain = shared.filter("not branching")
-    heads = plain.filter("doc_id = lo").groupBy("bin").agg(first.alias("own"))
-    straight = plain.filter("doc_id > lo").join(heads, "bin").filter("check = own.check").select(*found)
-    forks = shared.filter("branching").drop("bin")
+    straight = shared.filter("not branching").select(*found)
     # Equal labels and equal edges lie in one bin, so they are found without it.
-    labels = forks.groupBy("label", "check").agg(first.alias("own"))
-    owned = cut(forks.join(labels, ["label", "check"]))
+    forks = shared.filter("branching").select("label", "check", "doc_id", "_t", "at", "n", F.col("own.doc_id").alias("lo"))
+    owned = cut(_with_first(forks, ["label", "check"], *first).drop("label", "check"))
     compacted = owned.filter("doc_id > own.doc_id").select(*found)
     opened = owned.filter("doc_id = own.doc_id").groupBy("doc_id", "_t").agg(F.collect_set(F.expr("2 * at + int(doc_id > lo)")).alias("opened"))
-    runs = cut(arrow_map(docs.join(opened, ["doc_id", "_t"]), _run_rows(k, m), "label long, check long, doc_id long, _t string, places array<int>, n int, probe boolean, edges array<long>, checks array<long>, after array<int>, ns array<int>"))
-    earliest = F.min(F.struct("doc_id", F.col("places")[0].alias("at"))).alias("own")
-    leads = runs.groupBy("label", "check").agg(earliest)
-    alike = runs.filter("probe").select("label", "check", "doc_id", "_t", "places", "n").join(leads, ["label", "check"]).filter("doc_id > own.doc_id").select(*at_places)
+    edges = "edges array<struct<edge: long, check: long, after: int, n: int>>"
+    runs = arrow_map(docs.join(opened, ["doc_id", "_t"]), _run_rows(k, m), f"label long, check long, doc_id long, _t string, places array<int>, n int, probe boolean, {edges}")
+    earliest = ("doc_id", F.col("places")[0].alias("at"))
+    # This holds for every run. It makes both steps that read runs ask for all columns, so that Spark makes and shuffles the runs once for both.
+    runs = _with_first(runs, ["label", "check"], *earliest).filter("n > 0 and size(edges) > 0")
+    alike = runs.filter("probe and doc_id > own.doc_id").select(*at_places)
     # A run that starts in an earlier document has nothing to say about its edges that this one's does not.
-    each = F.explode(F.arrays_zip("edges", "checks", "after", "ns")).alias("e")
-    edges = runs.join(leads, ["label", "check"]).filter("doc_id = own.doc_id").select("doc_id", "_t", "probe", "places", each)
-    edges = edges.select(F.col("e.edges").alias("edge"), F.col("e.checks").alias("check"), "doc_id", "_t", F.transform("places", lambda p: p + F.col("e.after")).alias("places"), F.col("e.ns").alias("n"), "probe")
-    firsts = edges.groupBy("edge", "check").agg(earliest)
+    edges = runs.filter("doc_id = own.doc_id").select("doc_id", "_t", "probe", "places", F.explode("edges").alias("e"))
+    edges = edges.select("e.edge", "e.check", "doc_id", "_t", F.transform("places", lambda p: p + F.col("e.after")).alias("places"), "e.n", "probe")
     # A bin's first document has nothing to look for in it.
-    single = edges.filter("probe").join(firsts, ["edge", "check"]).filter("doc_id > own.doc_id").select(*at_places)
+    single = _with_first(edges, ["edge", "check"], *earliest).filter("probe and doc_id > own.doc_id").select(*at_places)
     return straight.unionByName(compacted).unionByName(alike).unionByName(single)
 
 
@@ -238,7 +243,7 @@ def _cut_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: int = MINIMISER) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, ``keep``): these, kept_text, n_words, n_removed, the removed word spans, and the
     sources of what was found (start, end, source document and first word there; null where nothing was)."""
-    # All columns go into both steps that read texts, so that Spark deals the texts out once for both.
+    # All columns go into both steps that read texts, and only rows with a doc_id, so that Spark deals the texts out once for both.
     keep = tuple(c for c in keep if c not in (*_ADDED, "doc_id", "text", "_t", "_again", "ranges"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     repeated = cut(base.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("_again")))
@@ -249,8 +254,12 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), k: int = K, m: i
         base = base.withColumn("_t", F.coalesce(mark, F.lit(""))).drop("_again")
     else:
         base = base.withColumn("_t", F.lit(""))
-    ranges = _found_ranges(base, k, m).groupBy("doc_id", "_t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    named = base.filter("doc_id is not null")
+    ranges = _found_ranges(named, k, m).groupBy("doc_id", "_t").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     sources = "array<struct<start: int, end: int, source: long, source_start: int>>"
-    out = arrow_map(base.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, F.col("ranges").cast(sources).alias("ranges")), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>, sources {sources}")
+    both = named.join(ranges, ["doc_id", "_t"], "left").select(*base.columns, F.col("ranges").cast(sources).alias("ranges"))
+    rest = base.filter("doc_id is null").withColumn("ranges", F.lit(None).cast(sources))
+    # The first side of a union keeps its aliases, and with one the texts' shuffle would not be that of the other step.
+    out = arrow_map(rest.unionByName(both), _cut_rows, f"{kinds}, kept_text string, n_words long, n_removed long, spans array<struct<start: int, end: int>>, sources {sources}")
     return out.drop("_t")

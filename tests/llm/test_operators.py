@@ -169,6 +169,65 @@ def test_a_line_that_many_documents_repeat_is_asked_for_once_each(spark, period)
     assert got == expected and all(expected[d][0] >= times * period for d in range(4, docs))
 
 
+def shuffles(df):
+    """The columns of each shuffle of a collected query; one that is read again counts once."""
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        if node.nodeName() == "Exchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def shuffled_bytes(spark):
+    """Bytes that each stage of the session has shuffled so far."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_texts_and_runs_of_edges_are_shuffled_once(spark, again):
+    """Long random words, so that the texts outweigh the rest; near copies of one passage, so that paths are opened."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=60))
+    passage = [word() for _ in range(120)]
+    texts = [" ".join([*(word() for _ in range(200)), *passage[: 60 + d], word(), *passage[60 + d :]]) for d in range(24)]
+    rows = [*enumerate(texts), (None, texts[0]), *([(3, texts[4])] if again else [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = shuffled_bytes(spark)
+        out = substring_dedup.remove_repeats(df)
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
+        written = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in known)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("text" in columns for columns in shuffles(out)) == sum("edges" in columns for columns in shuffles(out)) == 1
+    assert written < 1.6 * sum(len(t) for _, t in rows)
+    first, expected = {}, Counter()
+    for i, t in rows:
+        w = t.split(" ")
+        for a in range(len(w) - 49):
+            if i is not None:
+                first[tuple(w[a : a + 50])] = min(first.get(tuple(w[a : a + 50]), i), i)
+    for i, t in rows:
+        w = t.split(" ")
+        gone = {j for a in range(len(w) - 49) if i is not None and first[tuple(w[a : a + 50])] < i for j in range(a, a + 50)}
+        expected[i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    assert got == expected and sum(n for _, _, n, _ in got) > 1000
+
+
 def test_texts_longer_than_a_step(spark):
     """One document of about 2.4 MB, which is a step of its own, in each operator that reads texts in steps."""
     from codexloom.llm import ngram_join
